@@ -144,3 +144,115 @@ def side_metrics_sql(metrics: dict[str, str], w: int = 5, part: str = "pool, tea
     body = (roll_sql("r", w, part) + f",\nm AS (SELECT match_id, side, {sel} FROM r)\n"
             + pivot_sql("m", list(metrics), list(diffs)))
     return with_tm(body)
+
+
+def multi_metrics_sql(spec: dict[int, dict[str, str]], part: str = "pool, team",
+                      diffs: list[tuple[str, str]] = ()) -> str:
+    """Several frame lengths: ``spec`` maps w -> {output: METRIC_SQL key}."""
+    ctes, sels, joins = [], [], []
+    for i, (w, metrics) in enumerate(spec.items()):
+        ctes.append(roll_sql(f"r{w}", w, part))
+        sel = ", ".join(f"{METRIC_SQL[k]} AS {out}" for out, k in metrics.items())
+        ctes.append(f"m{w} AS (SELECT match_id, side, {sel} FROM r{w})")
+        sels += list(metrics)
+        if i:
+            first = next(iter(spec))
+            joins.append(f"JOIN m{w} USING (match_id, side)")
+    first = next(iter(spec))
+    ctes.append(f"mm AS (SELECT * FROM m{first} {' '.join(joins)})")
+    return with_tm(",\n".join(ctes) + "\n" + pivot_sql("mm", sels, list(diffs)))
+
+
+STREAK_SQL = """
+s1 AS (SELECT match_id, side, pool, team, res,
+              row_number() OVER (PARTITION BY pool, team ORDER BY ts, match_id) AS rn FROM tmx),
+s2 AS (SELECT *, rn - row_number() OVER (PARTITION BY pool, team, res ORDER BY rn) AS grp FROM s1),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY pool, team, res, grp ORDER BY rn) AS runlen FROM s2),
+s4 AS (SELECT match_id, side, lag(res) OVER (PARTITION BY pool, team ORDER BY rn) AS pres,
+              lag(runlen) OVER (PARTITION BY pool, team ORDER BY rn) AS plen FROM s3),
+sk AS (SELECT match_id, side,
+              CAST(CASE WHEN pres IS NULL OR pres = 0 THEN 0 ELSE pres * least(plen, {w}) END AS INTEGER)
+              AS streak FROM s4)"""
+
+
+def streak_sql(w: int = 5) -> str:
+    return with_tm(STREAK_SQL.format(w=w) + "\n" + pivot_sql("sk", ["streak"], [("streak_diff", "streak")]))
+
+
+SEASON_SQL = """
+sh AS (
+  SELECT match_id, side, ts,
+    CAST(coalesce(sum(points) OVER ws, 0) AS INTEGER) AS season_pts,
+    coalesce(sum(CASE WHEN points = 3 THEN 1 ELSE 0 END) OVER ws, 0) AS wins,
+    coalesce(count(*) OVER ws, 0) AS games,
+    lag(ts) OVER (PARTITION BY pool, team ORDER BY ts, match_id) AS prev_ts
+  FROM tmx
+  WINDOW ws AS (PARTITION BY pool, team, season ORDER BY ts, match_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+shx AS (
+  SELECT match_id, side, season_pts,
+    CASE WHEN games > 0 THEN wins / CAST(games AS DOUBLE) ELSE 0.33 END AS team_season_win_rate,
+    CAST(CASE WHEN prev_ts IS NULL THEN 7
+              ELSE floor((epoch(ts) - epoch(prev_ts)) / 86400.0) END AS INTEGER) AS rest_days
+  FROM sh
+)"""
+
+
+def season_sql(cols: list[str], diffs: list[tuple[str, str]] = ()) -> str:
+    return with_tm(SEASON_SQL + "\n" + pivot_sql("shx", cols, list(diffs)))
+
+
+H2H_SQL = """
+hh AS (
+  SELECT match_id, count(*) OVER wp AS n,
+         avg(CASE WHEN ftr = 'H' THEN 1 ELSE 0 END) OVER wp AS hw,
+         avg(CASE WHEN ftr = 'D' THEN 1 ELSE 0 END) OVER wp AS dr
+  FROM contest
+  WINDOW wp AS (PARTITION BY pool, home, away ORDER BY ts, match_id
+                ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
+),
+h2h AS (
+  SELECT match_id, CASE WHEN n = 0 THEN 0.5 ELSE hw END AS h2h_home_win_rate,
+         CASE WHEN n = 0 THEN 0.27 ELSE dr END AS h2h_draw_rate
+  FROM hh
+)"""
+
+# Elo as a recursive CTE carrying three MAP states per pool.
+ELO_SQL = """
+seq AS (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY ts, match_id) AS rn,
+               match_id, home, away,
+               CASE ftr WHEN 'H' THEN 1.0e0 WHEN 'A' THEN 0.0e0 ELSE 0.5e0 END AS sh
+        FROM contest),
+elo_rec AS (
+  SELECT pool, rn, match_id, rh, ra, rhh, raa,
+         MAP {home: rh + 20 * (sh - eh), away: ra + 20 * ((1 - sh) - (1 - eh))} AS m_all,
+         MAP {home: rhh + 24 * (sh - ehh)} AS m_home,
+         MAP {away: raa + 16 * ((1 - sh) - (1 - ehh))} AS m_away
+  FROM (SELECT *, 1500.0e0 AS rh, 1500.0e0 AS ra, 1500.0e0 AS rhh, 1500.0e0 AS raa,
+               0.5e0 AS eh, 0.5e0 AS ehh FROM seq WHERE rn = 1) b
+  UNION ALL
+  SELECT pool, rn, match_id, rh, ra, rhh, raa,
+         map_concat(m_all, MAP {home: rh + 20 * (sh - eh), away: ra + 20 * ((1 - sh) - (1 - eh))}),
+         map_concat(m_home, MAP {home: rhh + 24 * (sh - ehh)}),
+         map_concat(m_away, MAP {away: raa + 16 * ((1 - sh) - (1 - ehh))})
+  FROM (
+    SELECT y.*, 1 / (1 + pow(10, (ra - rh) / 400)) AS eh, 1 / (1 + pow(10, (raa - rhh) / 400)) AS ehh
+    FROM (
+      SELECT s.pool, s.rn, s.match_id, s.home, s.away, s.sh,
+             coalesce(r.m_all[s.home], 1500.0e0) AS rh, coalesce(r.m_all[s.away], 1500.0e0) AS ra,
+             coalesce(r.m_home[s.home], 1500.0e0) AS rhh, coalesce(r.m_away[s.away], 1500.0e0) AS raa,
+             r.m_all, r.m_home, r.m_away
+      FROM elo_rec r JOIN seq s ON s.pool = r.pool AND s.rn = r.rn + 1
+    ) y
+  ) x
+),
+elo AS (
+  SELECT match_id, rh AS home_elo, ra AS away_elo, rh - ra AS elo_diff,
+         rhh AS home_elo_home, raa AS away_elo_away, rhh - raa AS venue_elo_diff
+  FROM elo_rec
+)"""
+
+
+def elo_sql(cols: list[str]) -> str:
+    return "WITH RECURSIVE " + CONTEST_SQL + ",\n" + ELO_SQL + f"\nSELECT match_id, {', '.join(cols)} FROM elo"

@@ -105,3 +105,94 @@ FORECAST = {"avg_forecast_w": "avg_forecast_win", "avg_forecast_d": "avg_forecas
 @register("rolling_forecast", O.side_metrics_sql({k: k for k in FORECAST}, 5))
 def q_rolling_forecast(spark, sf):
     return side_rolling(spark, sf, 5, FORECAST)
+
+
+@register("streak", O.streak_sql(5))
+def q_streak(spark, sf):
+    return side_rolling(spark, sf, 5, {"streak": "streak"}, [("streak_diff", "streak")])
+
+
+VENUE = {"venue_form": "form_points", "venue_scored": "avg_scored",
+         "venue_conceded": "avg_conceded", "venue_xg": "xg_proxy"}
+
+
+@register("venue_form", O.side_metrics_sql(
+    {"venue_form": "form_points", "venue_scored": "avg_goals_scored",
+     "venue_conceded": "avg_goals_conceded", "venue_xg": "xg_proxy"}, 5, part="pool, team, side"))
+def q_venue_form(spark, sf):
+    return side_rolling(spark, sf, 5, VENUE, venue=True)
+
+
+def _multi_spec():
+    return {w: {f"form_pts_w{w}": "form_points", f"avg_xg_w{w}": "avg_real_xg",
+                f"avg_ppda_w{w}": "avg_ppda"} for w in (3, 10, 19)}
+
+
+@register("multi_window", O.multi_metrics_sql(_multi_spec(),
+                                              diffs=[(f"xg_diff_w{w}", f"avg_xg_w{w}") for w in (3, 10, 19)]))
+def q_multi_window(spark, sf):
+    tm = sequence_ordinal(entries(contests(spark, sf)), ["pool", "team"])
+    spec = _multi_spec()
+    names = {(m, w): out for w, d in spec.items() for out, m in d.items()}
+    r = rolling(tm, {w: list(d.values()) for w, d in spec.items()}, name=lambda m, w: names[(m, w)])
+    cols = [out for d in spec.values() for out in d]
+    p = repivot(r.select("match_id", "side", *cols), cols)
+    p = p.select("*", *[(F.col(f"home_avg_xg_w{w}") - F.col(f"away_avg_xg_w{w}")).alias(f"xg_diff_w{w}")
+                        for w in (3, 10, 19)])
+    return round_doubles(p)
+
+
+def _season_side(spark, sf):
+    from .operators.history import prev_ts_column, rest_days, season_totals
+    from .operators.sequence import chunk_with_halo
+    from pyspark.sql import Window
+    keys = ["pool", "team"]
+    tm = sequence_ordinal(entries(contests(spark, sf)), keys)
+    c = chunk_with_halo(tm, "k", halo=1)
+    c = c.select("*", prev_ts_column(Window.partitionBy(*keys, "_chunk").orderBy("k")))
+    c = season_totals(c, keys).where(~F.col("_halo"))
+    return c.select("match_id", "side", "season_pts",
+                    F.col("season_win_rate").alias("team_season_win_rate"),
+                    rest_days().alias("rest_days"))
+
+
+@register("season_points", O.season_sql(["season_pts"], [("season_pts_diff", "season_pts")]))
+def q_season_points(spark, sf):
+    s = _season_side(spark, sf)
+    p = repivot(s.select("match_id", "side", "season_pts"), ["season_pts"])
+    return p.select("*", (F.col("home_season_pts") - F.col("away_season_pts")).alias("season_pts_diff"))
+
+
+@register("season_win_rate", O.season_sql(["team_season_win_rate"]))
+def q_season_win_rate(spark, sf):
+    s = _season_side(spark, sf)
+    return round_doubles(repivot(s.select("match_id", "side", "team_season_win_rate"),
+                                 ["team_season_win_rate"]))
+
+
+@register("rest_days", O.season_sql(["rest_days"], [("rest_diff", "rest_days")]))
+def q_rest_days(spark, sf):
+    s = _season_side(spark, sf)
+    p = repivot(s.select("match_id", "side", "rest_days"), ["rest_days"])
+    return p.select("*", (F.col("home_rest_days") - F.col("away_rest_days")).alias("rest_diff"))
+
+
+@register("h2h", O.with_contest(O.H2H_SQL + "\nSELECT * FROM h2h"))
+def q_h2h(spark, sf):
+    from .operators.history import head_to_head
+    h = head_to_head(contest_view(spark, sf).select("match_id", "ts", "pool", "home", "away", "ftr"))
+    return round_doubles(h.select("match_id", "h2h_home_win_rate", "h2h_draw_rate"))
+
+
+@register("elo", O.elo_sql(["home_elo", "away_elo", "elo_diff"]))
+def q_elo(spark, sf):
+    from .operators.elo import elo_ratings
+    e = elo_ratings(contest_view(spark, sf))
+    return round_doubles(e.select("match_id", "home_elo", "away_elo", "elo_diff"))
+
+
+@register("elo_venue", O.elo_sql(["home_elo_home", "away_elo_away", "venue_elo_diff"]))
+def q_elo_venue(spark, sf):
+    from .operators.elo import elo_ratings
+    e = elo_ratings(contest_view(spark, sf))
+    return round_doubles(e.select("match_id", "home_elo_home", "away_elo_away", "venue_elo_diff"))
