@@ -256,3 +256,79 @@ elo AS (
 
 def elo_sql(cols: list[str]) -> str:
     return "WITH RECURSIVE " + CONTEST_SQL + ",\n" + ELO_SQL + f"\nSELECT match_id, {', '.join(cols)} FROM elo"
+
+
+ODDS_SQL = """
+odds AS (
+  SELECT match_id,
+    CASE WHEN odd_h > 0 AND odd_d > 0 AND odd_a > 0
+         THEN (1 / odd_h) / ((1 / odd_h) + (1 / odd_d) + (1 / odd_a)) END AS b365_prob_h,
+    CASE WHEN odd_h > 0 AND odd_d > 0 AND odd_a > 0
+         THEN (1 / odd_d) / ((1 / odd_h) + (1 / odd_d) + (1 / odd_a)) END AS b365_prob_d,
+    CASE WHEN odd_h > 0 AND odd_d > 0 AND odd_a > 0
+         THEN (1 / odd_a) / ((1 / odd_h) + (1 / odd_d) + (1 / odd_a)) END AS b365_prob_a,
+    CAST(NULL AS DOUBLE) AS avg_prob_h, CAST(NULL AS DOUBLE) AS avg_prob_d,
+    CAST(NULL AS DOUBLE) AS avg_prob_a
+  FROM contest
+)"""
+
+FEATURE_SIDE_5 = ["form_points", "avg_goals_scored", "avg_goals_conceded", "avg_goal_diff",
+                  "avg_shots", "avg_sot", "xg_proxy", "shot_conversion", "avg_real_xg",
+                  "avg_real_xga", "xg_overperf", "avg_npxg", "avg_ppda", "avg_deep", "avg_xpts",
+                  "avg_forecast_w", "avg_corners", "avg_fouls", "avg_yellows", "avg_reds",
+                  "clean_sheet_pct", "scoring_pct"]
+
+
+def features_sql(id_cols: list[str], numeric_cols: list[str], odds_cols: list[str],
+                 diffs: list[tuple[str, str, str]]) -> str:
+    """The whole feature table as one SQL statement (recursive for Elo)."""
+    ctes = [CONTEST_SQL, ENRICH_SQL, TM_SQL]
+    ctes.append(roll_sql("r5", 5))
+    ctes.append("m5 AS (SELECT match_id, side, "
+                + ", ".join(f"{METRIC_SQL[c]} AS {c}" for c in FEATURE_SIDE_5) + " FROM r5)")
+    ctes.append(roll_sql("rv", 5, "pool, team, side"))
+    ctes.append("mv AS (SELECT match_id, side, " + ", ".join(
+        f"{METRIC_SQL[k]} AS {o}" for o, k in (("venue_form", "form_points"),
+                                                ("venue_scored", "avg_goals_scored"),
+                                                ("venue_conceded", "avg_goals_conceded"),
+                                                ("venue_xg", "xg_proxy"))) + " FROM rv)")
+    for w in (3, 10, 19):
+        ctes.append(roll_sql(f"r{w}", w))
+        ctes.append(f"m{w} AS (SELECT match_id, side, {METRIC_SQL['form_points']} AS form_pts_w{w}, "
+                    f"{METRIC_SQL['avg_real_xg']} AS avg_xg_w{w}, "
+                    f"{METRIC_SQL['avg_ppda']} AS avg_ppda_w{w} FROM r{w})")
+    ctes.append(STREAK_SQL.format(w=5).strip())
+    ctes.append(SEASON_SQL.strip())
+    ctes.append("side_all AS (SELECT * FROM m5 JOIN mv USING (match_id, side) "
+                "JOIN m3 USING (match_id, side) JOIN m10 USING (match_id, side) "
+                "JOIN m19 USING (match_id, side) JOIN sk USING (match_id, side) "
+                "JOIN shx USING (match_id, side))")
+    side_cols = (FEATURE_SIDE_5 + ["venue_form", "venue_scored", "venue_conceded", "venue_xg",
+                                   "streak", "season_pts", "team_season_win_rate", "rest_days"]
+                 + [f"{p}_w{w}" for w in (3, 10, 19) for p in ("form_pts", "avg_xg", "avg_ppda")])
+    ctes.append("piv AS (" + pivot_sql("side_all", side_cols) + ")")
+    ctes.append(H2H_SQL.strip())
+    ctes.append(ELO_SQL.strip())
+    ctes.append(ODDS_SQL.strip())
+    diff_map = {o: f"(piv.{h} - piv.{a})" for o, h, a in diffs}
+    special = {
+        "is_weekend": "CAST(CASE WHEN isodow(c.ts) >= 6 THEN 1 ELSE 0 END AS INTEGER)",
+        "month": "CAST(month(c.ts) AS INTEGER)",
+    }
+    elo_cols = {"home_elo", "away_elo", "elo_diff", "home_elo_home", "away_elo_away", "venue_elo_diff"}
+    sel = [f"c.{c} AS {c}" for c in id_cols]
+    for col in numeric_cols:
+        if col in diff_map:
+            sel.append(f"{diff_map[col]} AS {col}")
+        elif col in special:
+            sel.append(f"{special[col]} AS {col}")
+        elif col in elo_cols:
+            sel.append(f"elo.{col} AS {col}")
+        elif col.startswith("h2h_"):
+            sel.append(f"h2h.{col} AS {col}")
+        else:
+            sel.append(f"piv.{col} AS {col}")
+    sel += [f"odds.{c} AS {c}" for c in odds_cols]
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT " + ",\n  ".join(sel)
+            + "\nFROM contest c JOIN piv USING (match_id) JOIN h2h USING (match_id) "
+              "JOIN elo USING (match_id) JOIN odds USING (match_id)")

@@ -27,11 +27,23 @@ ORACLES: dict[str, str] = {}
 ENRICH_KEYS = ["pool", "ts", "home", "away"]
 
 
-def register(name: str, sql: str | None = None):
+def rounded_sql(sql: str, text_cols: tuple[str, ...] = ()) -> str:
+    """Wrap an oracle so numeric outputs are rounded to 6 places like the Spark side.
+
+    ``round`` keeps integer types; ``text_cols`` (strings, timestamps) pass through.
+    """
+    if not text_cols:
+        return f"SELECT round(COLUMNS(*), 6) FROM ({sql}) AS q"
+    names = ", ".join(f"'{c}'" for c in text_cols)
+    return (f"SELECT COLUMNS(lambda c: c IN ({names})), "
+            f"round(COLUMNS(lambda c: c NOT IN ({names})), 6) FROM ({sql}) AS q")
+
+
+def register(name: str, sql: str | None = None, text_cols: tuple[str, ...] = ()):
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = rounded_sql(sql, text_cols)
         return fn
     return deco
 
@@ -196,3 +208,15 @@ def q_elo_venue(spark, sf):
     from .operators.elo import elo_ratings
     e = elo_ratings(contest_view(spark, sf))
     return round_doubles(e.select("match_id", "home_elo_home", "away_elo_away", "venue_elo_diff"))
+
+
+# ------------------------------------------------------------ full table ---
+def _features_oracle() -> str:
+    from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
+    return O.features_sql(ID_COLS, BASE_NUMERIC_COLS, ODDS_COLS, DIFFS)
+
+
+@register("features_full", _features_oracle(), text_cols=("ts", "pool", "ftr"))
+def q_features_full(spark, sf):
+    from .plans.features import build_features
+    return round_doubles(build_features(contests(spark, sf)))
