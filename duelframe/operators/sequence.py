@@ -41,12 +41,15 @@ def _segment(order: Sequence[str], segment: Column | None) -> Column:
 
 def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "match_id"),
                      name: str = "k", segment: Column | None = None,
-                     sub_keys: Sequence[str] = (), sub_name: str | None = None) -> DataFrame:
+                     sub_keys: Sequence[str] = (), sub_name: str | None = None,
+                     size_name: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of the row in its ``keys`` group by ``order``.
 
     ``segment`` must be monotone in ``order`` (equal order prefix -> equal or
     later segment). With ``sub_keys`` a second ordinal ``sub_name`` is added
     for the finer group ``keys + sub_keys`` from the same counting pass.
+    With ``size_name`` the group's row count is added too (from the same
+    small segment table, no extra pass).
     """
     keys, sub_keys = list(keys), list(sub_keys)
     d = df.withColumn("_seg", _segment(order, segment))
@@ -56,8 +59,9 @@ def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     w_key = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(before, -1)
     # total per (keys, seg), then exclusive running total over segments
     seg_tot = counts.groupBy(*keys, "_seg").agg(F.sum("_cnt").alias("_n"))
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_name)] if size_name else []
     seg_off = seg_tot.select(*keys, "_seg",
-                             F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"))
+                             F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"), *extra)
     d = d.join(seg_off, [*keys, "_seg"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
     d = d.withColumn(name, (F.col("_off") + rn - 1).cast("bigint"))

@@ -220,3 +220,197 @@ def _features_oracle() -> str:
 def q_features_full(spark, sf):
     from .plans.features import build_features
     return round_doubles(build_features(contests(spark, sf)))
+
+
+# ------------------------------------------------------- odds, enrichment ---
+@register("odds_probs", O.with_contest(O.ODDS_SQL + "\nSELECT match_id, b365_prob_h, b365_prob_d, b365_prob_a FROM odds"))
+def q_odds_probs(spark, sf):
+    from .functions.odds import implied_probs
+    c = contest_view(spark, sf)
+    h, d, a = implied_probs("odd_h", "odd_d", "odd_a")
+    return round_doubles(c.select("match_id", h.alias("b365_prob_h"), d.alias("b365_prob_d"),
+                                  a.alias("b365_prob_a")))
+
+
+ENRICH_COLS = ["npxg_h", "npxg_a", "ppda_h", "ppda_a", "deep_h", "deep_a", "xpts_h", "xpts_a",
+               "fc_w", "fc_d", "fc_l"]
+
+
+@register("enrich_left", O.with_tm(
+    "x AS (SELECT 1)\nSELECT match_id, " + ", ".join(ENRICH_COLS) + " FROM cx"))
+def q_enrich_left(spark, sf):
+    return round_doubles(contests(spark, sf).select("match_id", *ENRICH_COLS))
+
+
+@register("coverage", O.with_tm(
+    "x AS (SELECT 1)\nSELECT count(fc_w) AS n_covered, count(*) AS n_total, "
+    "count(fc_w) / CAST(count(*) AS DOUBLE) AS coverage FROM cx"))
+def q_coverage(spark, sf):
+    from .operators.enrich import coverage
+    return round_doubles(coverage(contests(spark, sf), "fc_w"))
+
+
+# -------------------------------------------------------------- profiles ---
+@register("entities", O.with_contest(
+    "x AS (SELECT 1)\nSELECT pool, home AS team FROM contest UNION SELECT pool, away FROM contest"),
+    text_cols=("pool",))
+def q_entities(spark, sf):
+    from .plans.profile import entities
+    return entities(contest_view(spark, sf))
+
+
+@register("date_span", O.with_contest(
+    "x AS (SELECT 1)\nSELECT count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM contest"),
+    text_cols=("first_ts", "last_ts"))
+def q_date_span(spark, sf):
+    from .plans.profile import date_span
+    return date_span(contest_view(spark, sf))
+
+
+@register("season_counts", O.with_contest(
+    "x AS (SELECT 1)\nSELECT season, count(*) AS n_matches FROM contest GROUP BY season"))
+def q_season_counts(spark, sf):
+    from .plans.profile import season_counts
+    return season_counts(contest_view(spark, sf))
+
+
+@register("top_preview", O.with_contest(
+    "x AS (SELECT 1)\nSELECT match_id, ts, home, away, xg_h, odd_h FROM contest "
+    "ORDER BY ts, match_id LIMIT 8"), text_cols=("ts",))
+def q_top_preview(spark, sf):
+    from .plans.profile import preview
+    return round_doubles(preview(contest_view(spark, sf),
+                                 ["match_id", "ts", "home", "away", "xg_h", "odd_h"], ["ts", "match_id"]))
+
+
+# ------------------------------------------------------ per-side entries ---
+@register("unpivot_entries", O.with_tm(
+    "x AS (SELECT 1)\nSELECT match_id, side, team, opp, points, scored, conceded, shots, sot, xg, xga, "
+    "npxg, ppda, fw, fl, clean_sheet, scored_any, goal_diff, xg_overperf AS xg_op, res FROM tmx"),
+    text_cols=("side",))
+def q_unpivot_entries(spark, sf):
+    tm = entries(contests(spark, sf))
+    return round_doubles(tm.select("match_id", "side", "team", "opp", "points", "scored", "conceded",
+                                   "shots", "sot", "xg", "xga", "npxg", "ppda", "fw", "fl",
+                                   "clean_sheet", "scored_any", "goal_diff", "xg_op", "res"))
+
+
+@register("points", O.with_contest(
+    "x AS (SELECT 1)\nSELECT match_id, ftr, "
+    "CAST(CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS INTEGER) AS home_points, "
+    "CAST(CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS INTEGER) AS away_points, "
+    "CASE ftr WHEN 'H' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END AS home_elo_score, "
+    "CAST(CASE WHEN ftr = 'H' THEN 1 ELSE 0 END AS INTEGER) AS home_won, "
+    "CAST(CASE WHEN ftr = 'D' THEN 1 ELSE 0 END AS INTEGER) AS draw FROM contest"),
+    text_cols=("ftr",))
+def q_points(spark, sf):
+    from .functions.outcomes import drawn, elo_score, home_won, points
+    c = contest_view(spark, sf)
+    return c.select("match_id", "ftr", points("ftr", "h").alias("home_points"),
+                    points("ftr", "a").alias("away_points"),
+                    elo_score("ftr", "h").alias("home_elo_score"),
+                    home_won("ftr").alias("home_won"), drawn("ftr").alias("draw"))
+
+
+# ------------------------------------------------------------ splits, ML ---
+SPLIT_SQL = """
+ordn AS (SELECT match_id, ts, ftr, odd_h, odd_d, odd_a,
+                row_number() OVER (ORDER BY ts, match_id) - 1 AS row_idx,
+                count(*) OVER () AS n_rows FROM contest),
+split AS (SELECT *, CASE WHEN row_idx < floor(n_rows * 0.8) THEN 'train' ELSE 'test' END AS role,
+                 CASE WHEN odd_h IS NULL THEN 'H' WHEN odd_h <= odd_d AND odd_h <= odd_a THEN 'H'
+                      WHEN odd_d <= odd_a THEN 'D' ELSE 'A' END AS pred
+          FROM ordn)"""
+
+
+def _split(spark, sf):
+    from .operators.split import temporal_split
+    c = contest_view(spark, sf)
+    s = temporal_split(c)
+    pred = (F.when(F.col("odd_h").isNull(), "H")
+            .when((F.col("odd_h") <= F.col("odd_d")) & (F.col("odd_h") <= F.col("odd_a")), "H")
+            .when(F.col("odd_d") <= F.col("odd_a"), "D").otherwise("A"))
+    return s.withColumn("pred", pred)
+
+
+@register("temporal_split", O.with_contest(SPLIT_SQL + "\nSELECT match_id, row_idx, role FROM split"),
+          text_cols=("role",))
+def q_temporal_split(spark, sf):
+    return _split(spark, sf).select("match_id", "row_idx", "role")
+
+
+CV_SQL = """,
+tr AS (SELECT match_id, row_idx, CAST(floor(n_rows * 0.8) AS BIGINT) AS n FROM split WHERE role = 'train'),
+cv AS (SELECT match_id, row_idx, n // 6 AS t, n - 5 * (n // 6) AS st FROM tr)"""
+
+
+@register("ts_cv_folds", O.with_contest(SPLIT_SQL + CV_SQL + """
+SELECT match_id, row_idx,
+       CAST(CASE WHEN row_idx >= st THEN (row_idx - st) // t END AS INTEGER) AS test_fold,
+       CAST(CASE WHEN row_idx < st THEN 0 ELSE (row_idx - st) // t + 1 END AS INTEGER) AS train_from_fold
+FROM cv"""))
+def q_ts_cv_folds(spark, sf):
+    from .operators.split import cv_folds
+    tr = _split(spark, sf).where(F.col("role") == "train")
+    tr = tr.withColumn("n_train", F.floor(F.col("n_rows") * F.lit(0.8)))
+    return cv_folds(tr, size="n_train").select("match_id", "row_idx", "test_fold", "train_from_fold")
+
+
+@register("label_encode", O.with_contest(
+    "x AS (SELECT 1)\nSELECT match_id, ftr, CAST(dense_rank() OVER (ORDER BY ftr) - 1 AS DOUBLE) AS label "
+    "FROM contest"), text_cols=("ftr",))
+def q_label_encode(spark, sf):
+    from .operators.split import label_indexer
+    c = contest_view(spark, sf).select("match_id", "ftr")
+    return label_indexer().fit(c).transform(c)
+
+
+@register("class_weights", O.with_contest(
+    "x AS (SELECT 1)\nSELECT ftr, count(*) AS n_class, "
+    "(SELECT count(*) FROM contest) / (3.0 * count(*)) AS weight FROM contest GROUP BY ftr"),
+    text_cols=("ftr",))
+def q_class_weights(spark, sf):
+    from .operators.split import class_weights
+    return round_doubles(class_weights(contest_view(spark, sf), label="ftr"))
+
+
+METRIC_SQL_BASE = SPLIT_SQL + """,
+te AS (SELECT ftr AS label, pred AS prediction FROM split WHERE role = 'test'),
+cls AS (SELECT label AS cls FROM te UNION SELECT prediction FROM te),
+pc AS (
+  SELECT cls,
+    coalesce((SELECT count(*) FROM te WHERE label = cls AND prediction = cls) /
+             nullif((SELECT count(*) FROM te WHERE prediction = cls), 0), 0.0) AS precision,
+    coalesce((SELECT count(*) FROM te WHERE label = cls AND prediction = cls) /
+             nullif((SELECT count(*) FROM te WHERE label = cls), 0), 0.0) AS recall,
+    (SELECT count(*) FROM te WHERE label = cls) AS support
+  FROM cls),
+pcf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                       ELSE 0.0 END AS f1 FROM pc)"""
+
+
+@register("accuracy", O.with_contest(METRIC_SQL_BASE + """
+SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM te"""))
+def q_accuracy(spark, sf):
+    from .plans.evaluate import accuracy
+    te = _split(spark, sf).where(F.col("role") == "test")
+    return round_doubles(accuracy(te, "ftr", "pred"))
+
+
+@register("macro_f1", O.with_contest(METRIC_SQL_BASE + "\nSELECT avg(f1) AS macro_f1 FROM pcf"))
+def q_macro_f1(spark, sf):
+    from .plans.evaluate import macro_f1
+    te = _split(spark, sf).where(F.col("role") == "test")
+    return round_doubles(macro_f1(te, "ftr", "pred"))
+
+
+@register("class_report", O.with_contest(METRIC_SQL_BASE + """
+SELECT cls, precision, recall, f1, support FROM pcf
+UNION ALL SELECT 'accuracy', NULL, NULL, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), count(*) FROM te
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM pcf
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                 sum(f1 * support) / sum(support), sum(support) FROM pcf"""), text_cols=("cls",))
+def q_class_report(spark, sf):
+    from .plans.evaluate import class_report
+    te = _split(spark, sf).where(F.col("role") == "test")
+    return round_doubles(class_report(te, "ftr", "pred"))
