@@ -414,3 +414,191 @@ def q_class_report(spark, sf):
     from .plans.evaluate import class_report
     te = _split(spark, sf).where(F.col("role") == "test")
     return round_doubles(class_report(te, "ftr", "pred"))
+
+
+# ---------------------------------------------------- leaderboard, prep ---
+LEADER_SQL = SPLIT_SQL + """,
+preds AS (
+  SELECT 0 AS model_order, 'always_home' AS model, row_idx, role, ftr, 'H' AS p FROM split
+  UNION ALL SELECT 1, 'odds_favourite', row_idx, role, ftr, pred FROM split
+  UNION ALL SELECT 2, 'always_draw', row_idx, role, ftr, 'D' FROM split
+),
+tst AS (SELECT model_order, model, avg(CASE WHEN ftr = p THEN 1.0 ELSE 0.0 END) AS test_acc
+        FROM preds WHERE role = 'test' GROUP BY ALL),
+trn AS (SELECT p.*, s.n // 6 AS t, s.n - 5 * (s.n // 6) AS st
+        FROM preds p, (SELECT CAST(floor(max(n_rows) * 0.8) AS BIGINT) AS n FROM split) s
+        WHERE role = 'train'),
+fold_rows AS (SELECT model_order, model, (row_idx - st) // t AS fold, ftr, p FROM trn WHERE row_idx >= st),
+fc AS (SELECT model_order, model, fold, c.cls,
+              sum(CASE WHEN ftr = c.cls AND p = c.cls THEN 1 ELSE 0 END) AS tp,
+              sum(CASE WHEN p = c.cls THEN 1 ELSE 0 END) AS pp,
+              sum(CASE WHEN ftr = c.cls THEN 1 ELSE 0 END) AS sp
+       FROM fold_rows, (SELECT DISTINCT ftr AS cls FROM fold_rows UNION SELECT DISTINCT p FROM fold_rows) c
+       GROUP BY ALL),
+fcx AS (SELECT * FROM fc WHERE pp > 0 OR sp > 0),
+ff AS (SELECT model_order, model, fold,
+              avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (pp + sp) END) AS f1
+       FROM fcx GROUP BY ALL),
+cvm AS (SELECT model_order, model, avg(f1) AS cv_mean, stddev_pop(f1) AS cv_std FROM ff GROUP BY ALL)
+SELECT t.model, t.model_order, t.test_acc, c.cv_mean, c.cv_std,
+       CAST(row_number() OVER (ORDER BY t.test_acc DESC, t.model_order) AS INTEGER) AS rank
+FROM tst t JOIN cvm c USING (model_order, model)"""
+
+
+@register("leaderboard", O.with_contest(LEADER_SQL), text_cols=("model",))
+def q_leaderboard(spark, sf):
+    from .plans.evaluate import leaderboard
+    from .plans.training import baseline_results
+    res = baseline_results(_split(spark, sf))
+    return round_doubles(leaderboard(res).select("model", "model_order", "test_acc", "cv_mean", "cv_std",
+                                                 F.col("rank").cast("int").alias("rank")))
+
+
+@register("mode_impute", O.with_contest("""
+hm AS (SELECT home AS v, count(*) AS c FROM contest GROUP BY 1),
+am AS (SELECT away AS v, count(*) AS c FROM contest GROUP BY 1)
+SELECT (SELECT v FROM hm ORDER BY c DESC, v LIMIT 1) AS home_mode,
+       (SELECT v FROM am ORDER BY c DESC, v LIMIT 1) AS away_mode"""))
+def q_mode_impute(spark, sf):
+    from .plans.training import most_frequent
+    return most_frequent(contest_view(spark, sf), ["home", "away"])
+
+
+@register("impute_scale", O.with_contest("""
+z AS (SELECT match_id, coalesce(xg_h, 0.0) AS xg_h, coalesce(odd_h, 0.0) AS odd_h,
+             CAST(coalesce(hs, 0) AS DOUBLE) AS hs FROM contest),
+st AS (SELECT avg(xg_h) AS m1, stddev_pop(xg_h) AS s1, avg(odd_h) AS m2, stddev_pop(odd_h) AS s2,
+              avg(hs) AS m3, stddev_pop(hs) AS s3 FROM z)
+SELECT match_id,
+       (xg_h - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END AS xg_h,
+       (odd_h - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END AS odd_h,
+       (hs - m3) / CASE WHEN s3 = 0 THEN 1.0 ELSE s3 END AS hs
+FROM z, st"""))
+def q_impute_scale(spark, sf):
+    from .plans.training import impute_zero, standardize
+    c = impute_zero(contest_view(spark, sf).select("match_id", "xg_h", "odd_h", "hs"), ["xg_h", "odd_h", "hs"])
+    return round_doubles(standardize(c, ["xg_h", "odd_h", "hs"]))
+
+
+@register("one_hot", O.with_contest("""
+cats AS (SELECT list(DISTINCT pool ORDER BY pool) AS cs FROM contest)
+SELECT match_id, list_transform(cs, lambda x: CASE WHEN x = pool THEN 1.0e0 ELSE 0.0e0 END) AS pool_vec
+FROM contest, cats"""), text_cols=("pool_vec",))
+def q_one_hot(spark, sf):
+    from .plans.training import one_hot_arrays
+    c = contest_view(spark, sf).select("match_id", "pool")
+    return one_hot_arrays(c, ["pool"]).select("match_id", "pool_vec")
+
+
+# ------------------------------------------------------ snapshot, fixtures ---
+def _snapshot_oracle(select: str) -> str:
+    from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
+    feat = O.features_sql(ID_COLS, BASE_NUMERIC_COLS, ODDS_COLS, DIFFS)
+    stats = ["form_points:7.0", "avg_goals_scored:1.3", "avg_goals_conceded:1.2", "avg_shots:12.0",
+             "avg_sot:4.5", "avg_corners:5.0", "avg_fouls:11.0", "avg_yellows:1.5", "elo:1500.0",
+             "venue_form:6.0", "venue_scored:1.3", "venue_conceded:1.2", "clean_sheet_pct:0.2",
+             "scoring_pct:0.7", "avg_goal_diff:0.0"]
+    names = ["form_points", "avg_scored", "avg_conceded", "avg_shots", "avg_sot", "avg_corners",
+             "avg_fouls", "avg_yellows", "elo", "venue_form", "venue_scored", "venue_conceded",
+             "clean_sheet_pct", "scoring_pct", "avg_goal_diff"]
+
+    def side(venue, ent, prefix):
+        cols = ", ".join(f"coalesce(CAST({prefix}{s.split(':')[0]} AS DOUBLE), {s.split(':')[1]}) AS {n}"
+                         for s, n in zip(stats, names))
+        return (f"SELECT pool, {ent} AS team, '{venue}' AS venue, {cols}, "
+                f"row_number() OVER (PARTITION BY pool, {ent} ORDER BY ts DESC, match_id DESC) AS rn "
+                f"FROM feat")
+    return (f"WITH feat AS ({feat}),\nsnap_all AS ({side('home', 'home', 'home_')} UNION ALL "
+            f"{side('away', 'away', 'away_')}),\nsnap AS (SELECT * EXCLUDE (rn) FROM snap_all WHERE rn = 1)\n"
+            + select)
+
+
+@register("latest_snapshot", _snapshot_oracle("SELECT * FROM snap"), text_cols=("pool", "venue"))
+def q_latest_snapshot(spark, sf):
+    from .operators.snapshot import latest_snapshot
+    from .plans.features import build_features
+    return round_doubles(latest_snapshot(build_features(contests(spark, sf))))
+
+
+@register("fixture_candidates", O.with_contest("""
+ents AS (SELECT pool, home AS team FROM contest UNION SELECT pool, away FROM contest),
+ch AS (SELECT pool, min(team) AS chosen FROM ents GROUP BY pool)
+SELECT e.pool, ch.chosen, e.team AS opponent FROM ents e JOIN ch USING (pool) WHERE e.team <> ch.chosen"""),
+    text_cols=("pool",))
+def q_fixture_candidates(spark, sf):
+    from .operators.snapshot import opponent_candidates
+    from .plans.profile import entities
+    ents = entities(contest_view(spark, sf))
+    chosen = ents.groupBy("pool").agg(F.min("team").alias("team"))
+    return opponent_candidates(ents, chosen)
+
+
+# ---------------------------------------------------------- ingest helpers ---
+@register("clean_dates", """
+WITH t AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%-d/%-m/%y')
+              WHEN o_orderpriority = '5-LOW' THEN '99/99/' || CAST(year(o_orderdate) AS VARCHAR)
+              ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date_text
+  FROM orders),
+p AS (SELECT o_orderkey, date_text,
+             coalesce(try_strptime(date_text, '%d/%m/%y'), try_strptime(date_text, '%d/%m/%Y')) AS d0
+      FROM t)
+SELECT o_orderkey, date_text,
+       CAST(CASE WHEN year(d0) >= year(current_date) + 50 THEN d0 - INTERVAL 100 YEAR ELSE d0 END AS DATE) AS d
+FROM p WHERE d0 IS NOT NULL""", text_cols=("date_text", "d"))
+def q_clean_dates(spark, sf):
+    from .functions.calendar import parse_day_first
+    from .sources.tables import read_table
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderpriority")
+    prio = F.col("o_orderpriority")
+    text = (F.when(prio == "1-URGENT", F.date_format("o_orderdate", "d/M/yy"))
+            .when(prio == "5-LOW", F.concat(F.lit("99/99/"), F.year("o_orderdate").cast("string")))
+            .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")))
+    t = o.select("o_orderkey", text.alias("date_text"))
+    return t.withColumn("d", parse_day_first("date_text")).dropna(subset=["d"])
+
+
+@register("optional_columns", O.with_contest(
+    "x AS (SELECT 1)\nSELECT match_id, 0 AS hs, coalesce(hst, 0) AS hst, 0 AS hc, "
+    "CAST(NULL AS DOUBLE) AS odd_h, xg_h FROM contest"))
+def q_optional_columns(spark, sf):
+    from . import schema as S
+    from .functions.columns import count_or_zero, numeric_or_null, with_optional
+    c = contest_view(spark, sf).drop("hs", "odd_h")
+    c = with_optional(c, S.OPTIONAL_TYPES)
+    return round_doubles(c.select("match_id", count_or_zero("hs").alias("hs"), count_or_zero("hst").alias("hst"),
+                                  count_or_zero("hc").alias("hc"), numeric_or_null("odd_h").alias("odd_h"),
+                                  numeric_or_null("xg_h").alias("xg_h")))
+
+
+@register("name_map", """
+WITH m AS (SELECT n.n_name AS from_name, r.r_name || '_' || CAST(n.n_nationkey AS VARCHAR) AS to_name
+           FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name LIKE 'A%')
+SELECT c.c_custkey, coalesce(m.to_name, n.n_name) AS team_name
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN m ON n.n_name = m.from_name""",
+          text_cols=("team_name",))
+def q_name_map(spark, sf):
+    from .functions.names import standardize_names
+    from .sources.tables import read_table
+    n = read_table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, sf, "region", "r_regionkey", "r_name")
+    mapping = (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("r_name").startswith("A"))
+               .select(F.col("n_name").alias("from_name"),
+                       F.concat(F.col("r_name"), F.lit("_"), F.col("n_nationkey").cast("string")).alias("to_name")))
+    c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    cn = c.join(n.select("n_nationkey", "n_name"), c.c_nationkey == n.n_nationkey)
+    return standardize_names(cn, "n_name", mapping, out="team_name").select("c_custkey", "team_name")
+
+
+@register("union_by_name", """
+SELECT o_orderkey, o_orderdate, o_orderpriority, NULL::DOUBLE AS o_totalprice FROM orders WHERE year(o_orderdate) <= 1997
+UNION ALL
+SELECT o_orderkey, o_orderdate, NULL::VARCHAR, o_totalprice FROM orders WHERE year(o_orderdate) > 1997""",
+          text_cols=("o_orderdate", "o_orderpriority"))
+def q_union_by_name(spark, sf):
+    from .sources.tables import read_table
+    o = read_table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    early = o.where(F.year("o_orderdate") <= 1997).select("o_orderkey", "o_orderdate", "o_orderpriority")
+    late = o.where(F.year("o_orderdate") > 1997).select("o_orderkey", "o_totalprice", "o_orderdate")
+    return round_doubles(early.unionByName(late, allowMissingColumns=True))
