@@ -27,6 +27,7 @@ from ..operators.rolling import (ALL_METRICS, MULTI_WINDOW_METRICS, VENUE_METRIC
                                  rolling_columns)
 from ..operators.sequence import chunk_with_halo, sequence_ordinal
 from ..operators.unpivot import entries, normalize_contests, repivot
+from ..session import cut_lineage
 
 EXTRA_WINDOWS = (3, 10, 19)
 DEFAULT_WINDOW = 5
@@ -184,8 +185,15 @@ def match_level_features(matches: DataFrame) -> DataFrame:
 
 
 def build_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
-                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS) -> DataFrame:
-    """The full leakage-free feature table: ids + 101 numeric + 6 odds columns."""
+                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS, materialize: bool = True) -> DataFrame:
+    """The full leakage-free feature table: ids + 101 numeric + 6 odds columns.
+
+    The input is read by three independent passes (per-side frames, pair
+    frames, Elo). With ``materialize`` it is written once to the session's
+    checkpoint folder so its upstream joins and aggregations run once.
+    """
+    if materialize:
+        matches = cut_lineage(matches)
     side = pivoted_side_features(matches, window, extra_windows)
     level = match_level_features(matches)
     elo = elo_ratings(matches)

@@ -18,6 +18,7 @@ from .operators.enrich import enrich_left
 from .operators.rolling import rolling
 from .operators.sequence import sequence_ordinal
 from .operators.unpivot import entries, repivot
+from .session import cut_lineage
 from .sources.tables import contest_view, enrichment_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +56,14 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contest view with the provider statistics left-joined (deduped on key)."""
-    return enrich_left(contest_view(spark, sf_dir), enrichment_view(spark, sf_dir),
-                       ENRICH_KEYS, tie="src_id")
+    """Contest view with the provider statistics left-joined (deduped on key).
+
+    Written once to the checkpoint folder: the operators read their input
+    more than once (ordinal counts, then the rows), and the view's joins and
+    aggregations over line items should run once, as for a stored table.
+    """
+    return cut_lineage(enrich_left(contest_view(spark, sf_dir), enrichment_view(spark, sf_dir),
+                                   ENRICH_KEYS, tie="src_id"))
 
 
 def side_rolling(spark: SparkSession, sf_dir: str, w: int, metrics: dict[str, str],
