@@ -225,7 +225,7 @@ def _features_oracle() -> str:
 @register("features_full", _features_oracle(), text_cols=("ts", "pool", "ftr"))
 def q_features_full(spark, sf):
     from .plans.features import build_features
-    return round_doubles(build_features(contests(spark, sf)))
+    return round_doubles(build_features(contests(spark, sf), materialize=False))
 
 
 # ------------------------------------------------------- odds, enrichment ---
@@ -523,7 +523,7 @@ def _snapshot_oracle(select: str) -> str:
 def q_latest_snapshot(spark, sf):
     from .operators.snapshot import latest_snapshot
     from .plans.features import build_features
-    return round_doubles(latest_snapshot(build_features(contests(spark, sf))))
+    return round_doubles(latest_snapshot(build_features(contests(spark, sf), materialize=False)))
 
 
 @register("fixture_candidates", O.with_contest("""
