@@ -332,3 +332,24 @@ def features_sql(id_cols: list[str], numeric_cols: list[str], odds_cols: list[st
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT " + ",\n  ".join(sel)
             + "\nFROM contest c JOIN piv USING (match_id) JOIN h2h USING (match_id) "
               "JOIN elo USING (match_id) JOIN odds USING (match_id)")
+
+
+FEED_SQL = """
+names AS (SELECT n.n_nationkey AS k,
+                 CASE WHEN r.r_name LIKE 'A%' THEN n.n_name ELSE lower(n.n_name) END AS title
+          FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+mx AS (SELECT c.*, e.npxg_h, e.npxg_a, e.ppda_h, e.ppda_a, e.deep_h, e.deep_a, e.xpts_h, e.xpts_a,
+              e.fc_w, e.fc_d, e.fc_l,
+              c.pool || '/' || strftime(c.ts, '%Y-%m-%d') || '/' || CAST(c.match_id // 100000 AS VARCHAR) AS doc_id
+       FROM contest c JOIN enrich e ON e.src_id = c.match_id),
+ent AS (SELECT doc_id, match_id, home AS team, coalesce(npxg_h, 0.0) AS npxg, coalesce(ppda_h, 0.0) AS ppda,
+               deep_h AS deep, xpts_h AS xpts FROM mx
+        UNION ALL
+        SELECT doc_id, match_id, away, coalesce(npxg_a, 0.0), coalesce(ppda_a, 0.0), deep_a, xpts_a FROM mx),
+last AS (SELECT * EXCLUDE (rn) FROM (
+           SELECT *, row_number() OVER (PARTITION BY doc_id, team ORDER BY match_id DESC) AS rn FROM ent)
+         WHERE rn = 1)"""
+
+
+def feed_sql(select: str) -> str:
+    return f"WITH {CONTEST_SQL},\n{ENRICH_SQL},\n{FEED_SQL}\n{select}"

@@ -608,3 +608,49 @@ def q_union_by_name(spark, sf):
     early = o.where(F.year("o_orderdate") <= 1997).select("o_orderkey", "o_orderdate", "o_orderpriority")
     late = o.where(F.year("o_orderdate") > 1997).select("o_orderkey", "o_totalprice", "o_orderdate")
     return round_doubles(early.unionByName(late, allowMissingColumns=True))
+
+
+# ------------------------------------------------------------------- feed ---
+def _parsed_feed(spark, sf):
+    from .sources.feed import parse_feed
+    from .sources.tables import feed_documents
+    return parse_feed(feed_documents(spark, sf))
+
+
+@register("feed_flatten", O.feed_sql("""
+SELECT CAST(m.ts AS DATE) AS date, hn.title AS home_team, an.title AS away_team,
+       m.xg_h AS us_home_xg, m.xg_a AS us_away_xg, lh.npxg AS us_home_npxg, la.npxg AS us_away_npxg,
+       lh.ppda AS us_home_ppda, la.ppda AS us_away_ppda, lh.deep AS us_home_deep, la.deep AS us_away_deep,
+       lh.xpts AS us_home_xpts, la.xpts AS us_away_xpts,
+       m.fc_w AS us_forecast_w, CASE WHEN m.fc_w IS NULL THEN NULL ELSE m.fc_d END AS us_forecast_d,
+       m.fc_l AS us_forecast_l
+FROM mx m JOIN names hn ON hn.k = m.home JOIN names an ON an.k = m.away
+LEFT JOIN last lh ON lh.doc_id = m.doc_id AND lh.team = m.home
+LEFT JOIN last la ON la.doc_id = m.doc_id AND la.team = m.away
+WHERE NOT (m.hg = m.ag AND m.hs = m.as_) AND m.xg_h IS NOT NULL"""),
+    text_cols=("date", "home_team", "away_team"))
+def q_feed_flatten(spark, sf):
+    from .sources.feed import ENRICHMENT_COLUMNS, feed_enrichment
+    from .sources.tables import feed_name_map
+    out = feed_enrichment(_parsed_feed(spark, sf), ["doc_id"], name_map=feed_name_map(spark, sf))
+    return round_doubles(out.select(*ENRICHMENT_COLUMNS))
+
+
+@register("feed_team_stats", O.feed_sql("""
+SELECT l.doc_id, CAST(m.ts AS DATE) AS date, n.title AS team, l.ppda, l.xpts, l.npxg, l.deep
+FROM last l JOIN mx m ON m.match_id = l.match_id JOIN names n ON n.k = l.team"""),
+    text_cols=("doc_id", "date", "team"))
+def q_feed_team_stats(spark, sf):
+    from .sources.feed import flatten_team_history
+    from .sources.tables import feed_name_map
+    return round_doubles(flatten_team_history(_parsed_feed(spark, sf), ["doc_id"], feed_name_map(spark, sf)))
+
+
+@register("feed_rejects", O.feed_sql("""
+SELECT count(*) FILTER (WHERE xg_h IS NULL) AS n_rejected, count(*) AS n_finished,
+       count(DISTINCT doc_id) AS n_docs FROM mx WHERE NOT (hg = ag AND hs = as_)"""))
+def q_feed_rejects(spark, sf):
+    from .sources.feed import finished_match_rows
+    rows = finished_match_rows(_parsed_feed(spark, sf))
+    return rows.agg(F.count(F.when(~F.col("_ok"), 1)).alias("n_rejected"),
+                    F.count(F.lit(1)).alias("n_finished"), F.countDistinct("doc_id").alias("n_docs"))

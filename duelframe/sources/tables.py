@@ -218,3 +218,79 @@ enrich AS (
          CASE WHEN prio = '4-NOT SPECIFIED' THEN NULL ELSE fr / CAST(nl AS DOUBLE) END AS fc_l
   FROM enrich_raw
 )"""
+
+
+def team_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider spelling of each entity: lower-case nation name, except regions 'A*'."""
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("k"), F.lower("n_name").alias("provider_title"), F.col("n_name"),
+        F.col("r_name"))
+
+
+def feed_name_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider -> house spelling, known only for regions whose name starts with 'A'."""
+    t = team_titles(spark, sf_dir)
+    return t.where(F.col("r_name").startswith("A")).select(
+        F.col("provider_title").alias("from_name"), F.col("n_name").alias("to_name"))
+
+
+def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested provider documents derived from the contest and enrichment views.
+
+    One JSON document per (pool, day, match-id block of 100,000), holding a
+    ``matches`` list and a ``teams`` map whose ``history`` lists carry each
+    team's per-match statistics, numbers as text. Unplayed contests
+    (``isResult`` false), malformed xG ("n/a"), absent forecast objects,
+    absent keys inside objects all occur, so every flatten rule is exercised.
+    Documents stay small at any scale (bounded by the id block).
+    """
+    c = contest_view(spark, sf_dir)
+    e = enrichment_view(spark, sf_dir)
+    t = team_titles(spark, sf_dir).select("k", "provider_title")
+    m = c.join(e.drop("pool", "ts", "home", "away"), c.match_id == e.src_id)
+    m = (m.join(t.select(F.col("k").alias("hk"), F.col("provider_title").alias("h_title")), m.home == F.col("hk"))
+          .join(t.select(F.col("k").alias("ak"), F.col("provider_title").alias("a_title")), m.away == F.col("ak")))
+    doc_id = F.concat_ws("/", F.col("pool"), F.date_format("ts", "yyyy-MM-dd"),
+                         F.floor(F.col("match_id") / 100000).cast("string"))
+    m = m.withColumn("doc_id", doc_id)
+
+    def txt(c):
+        return F.col(c).cast("string")
+
+    match_obj = F.struct(
+        (~((F.col("hg") == F.col("ag")) & (F.col("hs") == F.col("as_")))).alias("isResult"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"),
+        F.struct(F.col("h_title").alias("title")).alias("h"),
+        F.struct(F.col("a_title").alias("title")).alias("a"),
+        F.struct(F.coalesce(txt("xg_h"), F.lit("n/a")).alias("h"),
+                 F.coalesce(txt("xg_a"), F.lit("n/a")).alias("a")).alias("xG"),
+        F.when(F.col("fc_w").isNotNull(), F.struct(
+            txt("fc_w").alias("w"), F.when(F.col("fc_d") != 0, txt("fc_d")).alias("d"),
+            txt("fc_l").alias("l"))).alias("forecast"))
+    matches = m.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("match_id", match_obj.alias("o")))),
+                    lambda x: x["o"]).alias("matches"))
+
+    def entry(side):
+        s = side
+        return F.struct(
+            F.date_format("ts", "yyyy-MM-dd").alias("date"),
+            F.when(F.col(f"ppda_{s}").isNotNull(), F.struct(
+                txt(f"ppda_{s}").alias("att"),
+                F.when(F.col(f"deep_{s}") != 0, F.lit("1")).alias("def"))).alias("ppda"),
+            txt(f"xpts_{s}").alias("xpts"), txt(f"npxg_{s}").alias("npxG"),
+            txt(f"deep_{s}").alias("deep"))
+
+    ents = (m.select("doc_id", "match_id", F.col("home").alias("team_id"), F.col("h_title").alias("title"),
+                     entry("h").alias("e"))
+            .unionByName(m.select("doc_id", "match_id", F.col("away").alias("team_id"),
+                                  F.col("a_title").alias("title"), entry("a").alias("e"))))
+    per_team = ents.groupBy("doc_id", "team_id", "title").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("match_id", "e"))), lambda x: x["e"]).alias("history"))
+    teams = per_team.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col("team_id").cast("string").alias("k"),
+                 F.struct("title", "history").alias("v"))))).alias("teams"))
+    docs = matches.join(teams, "doc_id")
+    return docs.select("doc_id", F.to_json(F.struct("matches", "teams")).alias("doc"))
