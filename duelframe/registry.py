@@ -654,3 +654,29 @@ def q_feed_rejects(spark, sf):
     rows = finished_match_rows(_parsed_feed(spark, sf))
     return rows.agg(F.count(F.when(~F.col("_ok"), 1)).alias("n_rejected"),
                     F.count(F.lit(1)).alias("n_finished"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+# ------------------------------------------------------------ train, score ---
+def _labeled_split(spark, sf):
+    from .operators.split import label_indexer, temporal_split
+    from .plans.features import build_features
+    feats = cut_lineage(build_features(contests(spark, sf), materialize=False))
+    labeled = label_indexer().fit(feats).transform(feats)
+    return temporal_split(labeled)
+
+
+@register("train_score")
+def q_train_score(spark, sf):
+    """Weighted multinomial model fitted on the first 80 % in time, scored on the rest.
+
+    Rows-only check: outcome probabilities per test contest, best first (M12, M15, O9).
+    """
+    from .plans.evaluate import top_outcomes
+    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
+    from .plans.training import class_probabilities, model_catalogue, with_balanced_weights
+    s = _labeled_split(spark, sf)
+    train = with_balanced_weights(s.where(F.col("role") == "train"))
+    test = s.where(F.col("role") == "test").withColumn("class_weight", F.lit(1.0))
+    pipe = model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_gbt=False)["logistic_balanced"]
+    model = pipe.fit(train)
+    return top_outcomes(class_probabilities(model, test))
