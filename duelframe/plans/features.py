@@ -201,3 +201,15 @@ def build_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
     diffs = [(F.col(h) - F.col(a)).alias(o) for o, h, a in DIFFS]
     j = j.select("*", *diffs)
     return j.select(*ID_COLS, *BASE_NUMERIC_COLS, *ODDS_COLS)
+
+
+def feature_columns(use_odds: bool = True, available: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """Model inputs: 101 numeric (+ 6 odds when enabled) and the categorical pair.
+
+    With ``available`` only columns that exist are kept (older inputs may lack some, P6).
+    """
+    numeric = BASE_NUMERIC_COLS + (ODDS_COLS if use_odds else [])
+    if available is not None:
+        have = set(available)
+        numeric = [c for c in numeric if c in have]
+    return numeric, list(CAT_COLS)

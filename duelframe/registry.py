@@ -680,3 +680,26 @@ def q_train_score(spark, sf):
     pipe = model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_gbt=False)["logistic_balanced"]
     model = pipe.fit(train)
     return top_outcomes(class_probabilities(model, test))
+
+
+@register("fixture_rows", _snapshot_oracle("""
+, fx AS (SELECT pool, home, away, match_id FROM feat
+         WHERE ts = (SELECT max(ts) FROM feat f2 WHERE f2.pool = feat.pool))
+SELECT fx.match_id, fx.pool, fx.home, fx.away,
+  coalesce(h.form_points, 7.0) AS home_form_points, coalesce(a.form_points, 7.0) AS away_form_points,
+  coalesce(h.elo, 1500.0) AS home_elo, coalesce(a.elo, 1500.0) AS away_elo,
+  coalesce(h.elo, 1500.0) - coalesce(a.elo, 1500.0) AS elo_diff,
+  coalesce(h.venue_form, 6.0) AS home_venue_form, coalesce(a.venue_form, 6.0) AS away_venue_form
+FROM fx LEFT JOIN snap h ON h.pool = fx.pool AND h.team = fx.home AND h.venue = 'home'
+        LEFT JOIN snap a ON a.pool = fx.pool AND a.team = fx.away AND a.venue = 'away'""".replace(
+    "\n, fx AS", ",\nfx AS", 1)), text_cols=("pool",))
+def q_fixture_rows(spark, sf):
+    """The last day's contests of each pool scored as upcoming fixtures from end-of-data snapshots."""
+    from .operators.snapshot import fixture_rows, latest_snapshot
+    from .plans.features import build_features
+    feats = cut_lineage(build_features(contests(spark, sf), materialize=False))
+    last_day = feats.groupBy("pool").agg(F.max("ts").alias("ts"))
+    fx = feats.join(last_day, ["pool", "ts"]).select("match_id", "pool", "home", "away")
+    rows = fixture_rows(fx, latest_snapshot(feats))
+    return round_doubles(rows.select("match_id", "pool", "home", "away", "home_form_points", "away_form_points",
+                                     "home_elo", "away_elo", "elo_diff", "home_venue_form", "away_venue_form"))
