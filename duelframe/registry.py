@@ -19,7 +19,7 @@ from .operators.rolling import rolling
 from .operators.sequence import sequence_ordinal
 from .operators.unpivot import entries, repivot
 from .session import cut_lineage
-from .sources.tables import contest_view, enrichment_view
+from .sources.tables import contest_view, enrichment_view, order_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,8 +62,13 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     more than once (ordinal counts, then the rows), and the view's joins and
     aggregations over line items should run once, as for a stored table.
     """
-    return cut_lineage(enrich_left(contest_view(spark, sf_dir), enrichment_view(spark, sf_dir),
-                                   ENRICH_KEYS, tie="src_id"))
+    from pyspark import StorageLevel
+    stats = order_stats(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(enrich_left(contest_view(spark, sf_dir, stats), enrichment_view(spark, sf_dir, stats),
+                                       ENRICH_KEYS, tie="src_id"))
+    finally:
+        stats.unpersist()
 
 
 def side_rolling(spark: SparkSession, sf_dir: str, w: int, metrics: dict[str, str],

@@ -44,30 +44,52 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.join(oc, ls.l_orderkey == oc.o_orderkey)
 
 
-def contest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has a supplier nation other than the customer's."""
+def order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order aggregates both views read, in one pass over the line items.
+
+    Line items are joined to their supplier nation and to the order's
+    customer, then aggregated per order (partial aggregation map-side, one
+    shuffle by order key). ``contest_view`` and ``enrichment_view`` both
+    select from this one plan, so a query using both computes it once
+    (the shuffle is reused).
+    """
     j = _lines(spark, sf_dir)
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     disc = F.round(F.col("l_discount") * 100).cast("int")
+    tax = F.round(F.col("l_tax") * 100).cast("int")
+    return (j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey", "c_mktsegment")
+            .agg(F.min(F.when(F.col("s_nationkey") != F.col("c_nationkey"), F.col("s_nationkey")))
+                 .alias("away"),
+                 _cnt(flag == "A").alias("hg"), _cnt(flag == "R").alias("ag"),
+                 _cnt(status == "O").alias("hs"), _cnt(status == "F").alias("as_"),
+                 _cnt((status == "O") & (flag == "N")).alias("hst"),
+                 _cnt((status == "F") & (flag == "N")).alias("ast_"),
+                 F.coalesce(_isum(flag == "A", disc), F.lit(0)).alias("_xh"),
+                 F.coalesce(_isum(flag == "R", disc), F.lit(0)).alias("_xa"),
+                 F.sum(F.col("l_quantity").cast("int")).cast("bigint").alias("_q"),
+                 F.sum("l_linenumber").cast("bigint").alias("_n"),
+                 F.sum("l_partkey").cast("bigint").alias("_p"),
+                 F.coalesce(_isum(flag == "A", tax), F.lit(0)).alias("_th"),
+                 F.coalesce(_isum(flag == "R", tax), F.lit(0)).alias("_ta"),
+                 F.coalesce(_isum(flag == "A", F.col("l_linenumber")), F.lit(0)).alias("_att_h"),
+                 F.coalesce(_isum(flag == "R", F.col("l_linenumber")), F.lit(0)).alias("_att_a"),
+                 _cnt((flag == "N") & (status == "O")).alias("_def_h"),
+                 _cnt((flag == "N") & (status == "F")).alias("_def_a"),
+                 _cnt(F.col("l_linenumber") <= 2).alias("_deep_h"),
+                 _cnt(F.col("l_linenumber") > 4).alias("_deep_a"),
+                 F.count(F.lit(1)).cast("int").alias("_lines"))
+            .where(F.col("away").isNotNull()))
+
+
+def contest_view(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
+    """One row per order that has a supplier nation other than the customer's."""
+    agg = stats if stats is not None else order_stats(spark, sf_dir)
     low = F.col("o_orderpriority") == "5-LOW"
-    household = F.col("pool") == "HOUSEHOLD"
+    household = F.col("c_mktsegment") == "HOUSEHOLD"
 
     def odd(x):
-        return F.when(household, None).otherwise(F.lit(1.1) + (x % 40) / F.lit(10.0))
-
-    agg = (j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey", "c_mktsegment")
-           .agg(F.min(F.when(F.col("s_nationkey") != F.col("c_nationkey"), F.col("s_nationkey")))
-                .alias("away"),
-                _cnt(flag == "A").alias("hg"), _cnt(flag == "R").alias("ag"),
-                _cnt(status == "O").alias("hs"), _cnt(status == "F").alias("as_"),
-                _cnt((status == "O") & (flag == "N")).alias("hst"),
-                _cnt((status == "F") & (flag == "N")).alias("ast_"),
-                F.coalesce(_isum(flag == "A", disc), F.lit(0)).alias("_xh"),
-                F.coalesce(_isum(flag == "R", disc), F.lit(0)).alias("_xa"),
-                F.sum(F.col("l_quantity").cast("int")).cast("bigint").alias("_q"),
-                F.sum("l_linenumber").cast("bigint").alias("_n"),
-                F.sum("l_partkey").cast("bigint").alias("_p"))
-           .where(F.col("away").isNotNull()))
+        return F.when(household, None).otherwise(F.lit(1.1) + (F.col(x) % 40) / F.lit(10.0))
+
     return agg.select(
         F.col("o_orderkey").alias("match_id"),
         F.col("o_orderdate").alias("ts"),
@@ -80,36 +102,18 @@ def contest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hs", "as_", "hst", "ast_",
         F.when(low, None).otherwise(F.col("_xh") / F.lit(100.0)).alias("xg_h"),
         F.when(low, None).otherwise(F.col("_xa") / F.lit(100.0)).alias("xg_a"),
-        F.col("_q").alias("_q"), F.col("_n").alias("_n"), F.col("_p").alias("_p"),
-    ).select("*", odd(F.col("_q")).alias("odd_h"), odd(F.col("_n")).alias("odd_d"),
-             odd(F.col("_p")).alias("odd_a")).drop("_q", "_n", "_p")
+        odd("_q").alias("odd_h"), odd("_n").alias("odd_d"), odd("_p").alias("odd_a"),
+    )
 
 
-def enrichment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enrichment_view(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
     """Second-provider statistics keyed by (pool, ts, home, away); keys repeat.
 
     ``src_id`` names the order a row came from and serves as the
     deterministic tie-break when duplicate keys are collapsed.
     """
-    j = _lines(spark, sf_dir)
-    flag, status, prio = F.col("l_returnflag"), F.col("l_linestatus"), F.col("o_orderpriority")
-    tax = F.round(F.col("l_tax") * 100).cast("int")
-    agg = (j.groupBy("o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey", "c_mktsegment")
-           .agg(F.min(F.when(F.col("s_nationkey") != F.col("c_nationkey"), F.col("s_nationkey")))
-                .alias("away"),
-                F.coalesce(_isum(flag == "A", tax), F.lit(0)).alias("_th"),
-                F.coalesce(_isum(flag == "R", tax), F.lit(0)).alias("_ta"),
-                F.coalesce(_isum(flag == "A", F.col("l_linenumber")), F.lit(0)).alias("_att_h"),
-                F.coalesce(_isum(flag == "R", F.col("l_linenumber")), F.lit(0)).alias("_att_a"),
-                _cnt((flag == "N") & (status == "O")).alias("_def_h"),
-                _cnt((flag == "N") & (status == "F")).alias("_def_a"),
-                _cnt(F.col("l_linenumber") <= 2).alias("_deep_h"),
-                _cnt(F.col("l_linenumber") > 4).alias("_deep_a"),
-                F.sum("l_linenumber").cast("bigint").alias("_n"),
-                F.sum("l_partkey").cast("bigint").alias("_p"),
-                _cnt(flag == "A").alias("_fa"), _cnt(flag == "N").alias("_fn"),
-                _cnt(flag == "R").alias("_fr"), F.count(F.lit(1)).cast("int").alias("_lines"))
-           .where(F.col("away").isNotNull()))
+    agg = stats if stats is not None else order_stats(spark, sf_dir)
+    prio = F.col("o_orderpriority")
     urgent = prio == "1-URGENT"
     high = prio == "2-HIGH"
     unspecified = prio == "4-NOT SPECIFIED"
@@ -117,9 +121,6 @@ def enrichment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     def ppda(att, de):
         return F.when(high, None).when(F.col(de) > 0, F.col(att) / F.col(de)).otherwise(F.lit(0.0))
 
-    def share(c):
-        return F.when(unspecified, None).otherwise(F.col(c) / F.col("_lines"))
-
     return agg.select(
         F.col("o_orderkey").alias("src_id"),
         F.col("c_mktsegment").alias("pool"),
@@ -134,7 +135,10 @@ def enrichment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_deep_a").cast("double").alias("deep_a"),
         ((F.col("_n") % 7) / F.lit(2.0)).alias("xpts_h"),
         ((F.col("_p") % 7) / F.lit(2.0)).alias("xpts_a"),
-        share("_fa").alias("fc_w"), share("_fn").alias("fc_d"), share("_fr").alias("fc_l"),
+        F.when(unspecified, None).otherwise(F.col("hg") / F.col("_lines")).alias("fc_w"),
+        F.when(unspecified, None).otherwise(
+            (F.col("_lines") - F.col("hg") - F.col("ag")) / F.col("_lines")).alias("fc_d"),
+        F.when(unspecified, None).otherwise(F.col("ag") / F.col("_lines")).alias("fc_l"),
     )
 
 
