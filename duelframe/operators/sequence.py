@@ -39,6 +39,17 @@ def _segment(order: Sequence[str], segment: Column | None) -> Column:
     return segment if segment is not None else F.date_trunc("DAY", F.col(order[0]))
 
 
+# An offsets table at most this many rows is broadcast (checked by counting it);
+# it has one row per (key, segment), so it is small whenever segments are dense.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _bounded_broadcast(small: DataFrame) -> DataFrame:
+    """Broadcast a derived table only after its row count is checked."""
+    n = small.limit(BROADCAST_MAX_ROWS + 1).count()
+    return F.broadcast(small) if n <= BROADCAST_MAX_ROWS else small
+
+
 def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "match_id"),
                      name: str = "k", segment: Column | None = None,
                      sub_keys: Sequence[str] = (), sub_name: str | None = None,
@@ -54,25 +65,24 @@ def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     keys, sub_keys = list(keys), list(sub_keys)
     d = df.withColumn("_seg", _segment(order, segment))
     fine = keys + sub_keys
-    counts = d.groupBy(*fine, "_seg").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.unboundedPreceding
-    w_key = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(before, -1)
-    # total per (keys, seg), then exclusive running total over segments
+    counts = d.groupBy(*fine, "_seg").agg(F.count(F.lit(1)).alias("_cnt"))
+    # rows of the whole key group in earlier segments (small table: keys x segments)
     seg_tot = counts.groupBy(*keys, "_seg").agg(F.sum("_cnt").alias("_n"))
+    w_key = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(before, -1)
     extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_name)] if size_name else []
-    seg_off = seg_tot.select(*keys, "_seg",
-                             F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"), *extra)
-    d = d.join(seg_off, [*keys, "_seg"])
+    offs = seg_tot.select(*keys, "_seg", F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"), *extra)
+    if sub_keys:
+        # the finer group's offsets come from the same count table; one join carries both
+        w_sub = Window.partitionBy(*fine).orderBy("_seg").rowsBetween(before, -1)
+        sub = counts.select(*fine, "_seg", F.coalesce(F.sum("_cnt").over(w_sub), F.lit(0)).alias("_soff"))
+        offs = sub.join(offs, [*keys, "_seg"])
+    d = d.join(_bounded_broadcast(offs), [*fine, "_seg"] if sub_keys else [*keys, "_seg"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
     d = d.withColumn(name, (F.col("_off") + rn - 1).cast("bigint"))
     if sub_keys:
-        w_sub = Window.partitionBy(*fine).orderBy("_seg").rowsBetween(before, -1)
-        sub_off = counts.select(*fine, "_seg",
-                              F.coalesce(F.sum("_cnt").over(w_sub), F.lit(0)).alias("_soff"))
-        d = d.join(sub_off, [*fine, "_seg"])
         rn2 = F.row_number().over(Window.partitionBy(*fine, "_seg").orderBy(*order))
-        d = d.withColumn(sub_name or f"{name}_sub", (F.col("_soff") + rn2 - 1).cast("bigint"))
-        d = d.drop("_soff")
+        d = d.withColumn(sub_name or f"{name}_sub", (F.col("_soff") + rn2 - 1).cast("bigint")).drop("_soff")
     return d.drop("_seg", "_off")
 
 
@@ -113,7 +123,7 @@ def running_before(df: DataFrame, keys: Sequence[str], k: str, values: dict[str,
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, chunk_col,
                       *[F.sum(f"_t_{n}").over(w_prev).alias(f"_o_{n}") for n in values])
-    d = d.join(offs, [*keys, chunk_col], "left")
+    d = d.join(_bounded_broadcast(offs), [*keys, chunk_col], "left")
     for n in values:
         d = d.withColumn(n, F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
     return d.drop(*[f"_in_{n}" for n in values], *[f"_o_{n}" for n in values])

@@ -141,8 +141,10 @@ def side_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
         windows, keys, "k",
         name=lambda m, w: SIDE_RENAME.get(m, m) if w == window else _multi_name(m, w))
     frame = Window.partitionBy(*keys, "_chunk").orderBy("k")
-    c = c.select("*", *bcols, prev_ts_column(frame))
+    # season sums first: their sort (by season inside the chunk) then carries
+    # narrow rows, before the wide window aggregates are added
     c = season_totals(c, keys, "k")
+    c = c.select("*", *bcols, prev_ts_column(frame))
     c = c.where(~F.col("_halo"))
     return c.select("*", *dcols, rest_days().alias("rest_days")) \
         .drop(*helpers, "_prev_ts", "_chunk", "_halo")
