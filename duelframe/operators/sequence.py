@@ -7,9 +7,10 @@ rows that task is the job. This module splits the work:
 
 1. ``sequence_ordinal`` gives each row its 0-based position ``k`` inside its
    key group. Rows are counted per (key, segment), where a segment is a
-   monotone coarsening of the order (the day of ``ts`` by default); a running
-   total over that small count table gives each segment's offset, and
-   ``row_number`` runs inside a segment only.
+   monotone coarsening of the order (by default the timestamp plus a block of
+   ids, so a segment never exceeds ``SEGMENT_ID_BLOCK`` rows); a running total
+   over that count table gives each segment's offset, and ``row_number`` runs
+   inside a segment only.
 2. ``chunk_with_halo`` cuts each key's sequence into chunks of ``chunk_rows``
    positions and copies the last ``halo`` rows of every chunk into the next
    one (flagged ``_halo``). A ROWS frame reaching back at most ``halo`` rows
@@ -35,8 +36,23 @@ def chunk_rows_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
+# Rows of one (key, timestamp) are further split into blocks of this many ids,
+# so no segment holds more rows than this even when one instant is hot.
+SEGMENT_ID_BLOCK = 1_000_000
+
+
 def _segment(order: Sequence[str], segment: Column | None) -> Column:
-    return segment if segment is not None else F.date_trunc("DAY", F.col(order[0]))
+    """Default segment: (timestamp, id block) — monotone in the (ts, id) order.
+
+    Each segment holds at most ``SEGMENT_ID_BLOCK`` rows of a key, whatever
+    the skew; the offsets table has one row per (key, segment).
+    """
+    if segment is not None:
+        return segment
+    if len(order) >= 2:
+        return F.struct(F.col(order[0]).alias("t"),
+                        F.floor(F.col(order[1]) / F.lit(SEGMENT_ID_BLOCK)).alias("b"))
+    return F.struct(F.col(order[0]).alias("t"))
 
 
 # An offsets table at most this many rows is broadcast (checked by counting it);
