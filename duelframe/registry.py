@@ -708,3 +708,29 @@ def q_fixture_rows(spark, sf):
     rows = fixture_rows(fx, latest_snapshot(feats))
     return round_doubles(rows.select("match_id", "pool", "home", "away", "home_form_points", "away_form_points",
                                      "home_elo", "away_elo", "elo_diff", "home_venue_form", "away_venue_form"))
+
+
+@register("split_summary", O.with_contest(SPLIT_SQL + """
+SELECT role, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM split GROUP BY role"""),
+    text_cols=("role", "first_ts", "last_ts"))
+def q_split_summary(spark, sf):
+    from .plans.profile import split_summary
+    return split_summary(_split(spark, sf))
+
+
+@register("outcome_ranking", O.with_contest(O.ODDS_SQL + """,
+long AS (SELECT match_id, 'H' AS outcome, round(b365_prob_h, 4) AS probability FROM odds WHERE b365_prob_h IS NOT NULL
+         UNION ALL SELECT match_id, 'D', round(b365_prob_d, 4) FROM odds WHERE b365_prob_d IS NOT NULL
+         UNION ALL SELECT match_id, 'A', round(b365_prob_a, 4) FROM odds WHERE b365_prob_a IS NOT NULL)
+SELECT match_id, outcome, probability,
+       CAST(row_number() OVER (PARTITION BY match_id ORDER BY probability DESC, outcome) AS INTEGER) AS rank
+FROM long"""), text_cols=("outcome",))
+def q_outcome_ranking(spark, sf):
+    """Bookmaker outcome probabilities per contest, rounded to 4 and ranked."""
+    from .functions.odds import implied_probs
+    from .plans.evaluate import top_outcomes
+    c = contest_view(spark, sf)
+    h, d, a = implied_probs("odd_h", "odd_d", "odd_a")
+    p = c.select("match_id", F.when(h.isNotNull(), F.array(h, d, a)).alias("probability"))
+    r = top_outcomes(p, "probability", labels=("H", "D", "A"))
+    return r.select("match_id", "outcome", "probability", F.col("rank").cast("int").alias("rank"))
