@@ -61,7 +61,13 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 
 def _bounded_broadcast(small: DataFrame) -> DataFrame:
-    """Broadcast a derived table only after its row count is checked."""
+    """Materialise a derived table once, then broadcast it only if its row count is small.
+
+    The table is written to the checkpoint folder first, so the size check
+    and the join read the same rows and the counting pass runs once.
+    """
+    from ..session import cut_lineage
+    small = cut_lineage(small)
     n = small.limit(BROADCAST_MAX_ROWS + 1).count()
     return F.broadcast(small) if n <= BROADCAST_MAX_ROWS else small
 

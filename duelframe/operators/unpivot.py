@@ -3,8 +3,8 @@
 ``entries`` turns each contest into two rows, one per side, with the side's
 own numbers first (scored/conceded, xg/xga, forecast win/loss swapped for
 the away side). ``repivot`` folds per-side feature rows back into one row per
-contest with ``home_``/``away_`` prefixes, as one aggregation keyed by
-``match_id`` instead of one join per statistic.
+contest with ``home_``/``away_`` prefixes: one join of the home rows to the
+away rows on ``match_id``, not one join per statistic.
 """
 
 from __future__ import annotations
@@ -65,10 +65,11 @@ def entries(matches: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 def repivot(per_side: DataFrame, value_cols: Sequence[str], key: str = S.MATCH_ID,
             side_col: str = "side") -> DataFrame:
-    """(key, side, v...) -> (key, home_v..., away_v...) with one aggregation."""
-    aggs = []
-    for prefix, tag in (("home_", "h"), ("away_", "a")):
-        for c in value_cols:
-            aggs.append(F.max(F.when(F.col(side_col) == tag, F.col(c))).alias(prefix + c))
-    # any_value would do; max keeps the plan deterministic for partial aggregation
-    return per_side.groupBy(key).agg(*aggs)
+    """(key, side, v...) -> (key, home_v..., away_v...): home rows joined to away rows.
+
+    Every contest has exactly one row per side, so this is a 1:1 equi-join on
+    ``key`` (no aggregation functions per column; uniform keys, no skew).
+    """
+    h = per_side.where(F.col(side_col) == "h").select(key, *[F.col(c).alias(f"home_{c}") for c in value_cols])
+    a = per_side.where(F.col(side_col) == "a").select(key, *[F.col(c).alias(f"away_{c}") for c in value_cols])
+    return h.join(a, key)
