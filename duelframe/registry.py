@@ -211,21 +211,21 @@ def q_rest_days(spark, sf):
 @register("h2h", O.with_contest(O.H2H_SQL + "\nSELECT * FROM h2h"))
 def q_h2h(spark, sf):
     from .operators.history import head_to_head
-    h = head_to_head(contest_view(spark, sf).select("match_id", "ts", "pool", "home", "away", "ftr"))
+    h = head_to_head(contests(spark, sf).select("match_id", "ts", "pool", "home", "away", "ftr"))
     return round_doubles(h.select("match_id", "h2h_home_win_rate", "h2h_draw_rate"))
 
 
 @register("elo", O.elo_sql(["home_elo", "away_elo", "elo_diff"]))
 def q_elo(spark, sf):
     from .operators.elo import elo_ratings
-    e = elo_ratings(contest_view(spark, sf))
+    e = elo_ratings(contests(spark, sf))
     return round_doubles(e.select("match_id", "home_elo", "away_elo", "elo_diff"))
 
 
 @register("elo_venue", O.elo_sql(["home_elo_home", "away_elo_away", "venue_elo_diff"]))
 def q_elo_venue(spark, sf):
     from .operators.elo import elo_ratings
-    e = elo_ratings(contest_view(spark, sf))
+    e = elo_ratings(contests(spark, sf))
     return round_doubles(e.select("match_id", "home_elo_home", "away_elo_away", "venue_elo_diff"))
 
 
@@ -245,7 +245,7 @@ def q_features_full(spark, sf):
 @register("odds_probs", O.with_contest(O.ODDS_SQL + "\nSELECT match_id, b365_prob_h, b365_prob_d, b365_prob_a FROM odds"))
 def q_odds_probs(spark, sf):
     from .functions.odds import implied_probs
-    c = contest_view(spark, sf)
+    c = contests(spark, sf)
     h, d, a = implied_probs("odd_h", "odd_d", "odd_a")
     return round_doubles(c.select("match_id", h.alias("b365_prob_h"), d.alias("b365_prob_d"),
                                   a.alias("b365_prob_a")))
@@ -275,7 +275,7 @@ def q_coverage(spark, sf):
     text_cols=("pool",))
 def q_entities(spark, sf):
     from .plans.profile import entities
-    return entities(contest_view(spark, sf))
+    return entities(contests(spark, sf))
 
 
 @register("date_span", O.with_contest(
@@ -283,14 +283,14 @@ def q_entities(spark, sf):
     text_cols=("first_ts", "last_ts"))
 def q_date_span(spark, sf):
     from .plans.profile import date_span
-    return date_span(contest_view(spark, sf))
+    return date_span(contests(spark, sf))
 
 
 @register("season_counts", O.with_contest(
     "x AS (SELECT 1)\nSELECT season, count(*) AS n_matches FROM contest GROUP BY season"))
 def q_season_counts(spark, sf):
     from .plans.profile import season_counts
-    return season_counts(contest_view(spark, sf))
+    return season_counts(contests(spark, sf))
 
 
 @register("top_preview", O.with_contest(
@@ -298,7 +298,7 @@ def q_season_counts(spark, sf):
     "ORDER BY ts, match_id LIMIT 8"), text_cols=("ts",))
 def q_top_preview(spark, sf):
     from .plans.profile import preview
-    return round_doubles(preview(contest_view(spark, sf),
+    return round_doubles(preview(contests(spark, sf),
                                  ["match_id", "ts", "home", "away", "xg_h", "odd_h"], ["ts", "match_id"]))
 
 
@@ -324,7 +324,7 @@ def q_unpivot_entries(spark, sf):
     text_cols=("ftr",))
 def q_points(spark, sf):
     from .functions.outcomes import drawn, elo_score, home_won, points
-    c = contest_view(spark, sf)
+    c = contests(spark, sf)
     return c.select("match_id", "ftr", points("ftr", "h").alias("home_points"),
                     points("ftr", "a").alias("away_points"),
                     elo_score("ftr", "h").alias("home_elo_score"),
@@ -342,14 +342,20 @@ split AS (SELECT *, CASE WHEN row_idx < floor(n_rows * 0.8) THEN 'train' ELSE 't
           FROM ordn)"""
 
 
+_SPLITS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _split(spark, sf):
+    """Time-ordered 80/20 split with the bookmaker-favourite prediction, written once per session."""
     from .operators.split import temporal_split
-    c = contest_view(spark, sf)
-    s = temporal_split(c)
-    pred = (F.when(F.col("odd_h").isNull(), "H")
-            .when((F.col("odd_h") <= F.col("odd_d")) & (F.col("odd_h") <= F.col("odd_a")), "H")
-            .when(F.col("odd_d") <= F.col("odd_a"), "D").otherwise("A"))
-    return s.withColumn("pred", pred)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SPLITS:
+        s = temporal_split(contests(spark, sf))
+        pred = (F.when(F.col("odd_h").isNull(), "H")
+                .when((F.col("odd_h") <= F.col("odd_d")) & (F.col("odd_h") <= F.col("odd_a")), "H")
+                .when(F.col("odd_d") <= F.col("odd_a"), "D").otherwise("A"))
+        _SPLITS[key] = cut_lineage(s.withColumn("pred", pred))
+    return _SPLITS[key]
 
 
 @register("temporal_split", O.with_contest(SPLIT_SQL + "\nSELECT match_id, row_idx, role FROM split"),
@@ -380,7 +386,7 @@ def q_ts_cv_folds(spark, sf):
     "FROM contest"), text_cols=("ftr",))
 def q_label_encode(spark, sf):
     from .operators.split import label_indexer
-    c = contest_view(spark, sf).select("match_id", "ftr")
+    c = contests(spark, sf).select("match_id", "ftr")
     return label_indexer().fit(c).transform(c)
 
 
@@ -390,7 +396,7 @@ def q_label_encode(spark, sf):
     text_cols=("ftr",))
 def q_class_weights(spark, sf):
     from .operators.split import class_weights
-    return round_doubles(class_weights(contest_view(spark, sf), label="ftr"))
+    return round_doubles(class_weights(contests(spark, sf), label="ftr"))
 
 
 METRIC_SQL_BASE = SPLIT_SQL + """,
@@ -480,7 +486,7 @@ SELECT (SELECT v FROM hm ORDER BY c DESC, v LIMIT 1) AS home_mode,
        (SELECT v FROM am ORDER BY c DESC, v LIMIT 1) AS away_mode"""))
 def q_mode_impute(spark, sf):
     from .plans.training import most_frequent
-    return most_frequent(contest_view(spark, sf), ["home", "away"])
+    return most_frequent(contests(spark, sf), ["home", "away"])
 
 
 @register("impute_scale", O.with_contest("""
@@ -495,7 +501,7 @@ SELECT match_id,
 FROM z, st"""))
 def q_impute_scale(spark, sf):
     from .plans.training import impute_zero, standardize
-    c = impute_zero(contest_view(spark, sf).select("match_id", "xg_h", "odd_h", "hs"), ["xg_h", "odd_h", "hs"])
+    c = impute_zero(contests(spark, sf).select("match_id", "xg_h", "odd_h", "hs"), ["xg_h", "odd_h", "hs"])
     return round_doubles(standardize(c, ["xg_h", "odd_h", "hs"]))
 
 
@@ -505,7 +511,7 @@ SELECT match_id, list_transform(cs, lambda x: CASE WHEN x = pool THEN 1.0e0 ELSE
 FROM contest, cats"""), text_cols=("pool_vec",))
 def q_one_hot(spark, sf):
     from .plans.training import one_hot_arrays
-    c = contest_view(spark, sf).select("match_id", "pool")
+    c = contests(spark, sf).select("match_id", "pool")
     return one_hot_arrays(c, ["pool"]).select("match_id", "pool_vec")
 
 
@@ -547,7 +553,7 @@ SELECT e.pool, ch.chosen, e.team AS opponent FROM ents e JOIN ch USING (pool) WH
 def q_fixture_candidates(spark, sf):
     from .operators.snapshot import opponent_candidates
     from .plans.profile import entities
-    ents = entities(contest_view(spark, sf))
+    ents = entities(contests(spark, sf))
     chosen = ents.groupBy("pool").agg(F.min("team").alias("team"))
     return opponent_candidates(ents, chosen)
 
@@ -584,7 +590,7 @@ def q_clean_dates(spark, sf):
 def q_optional_columns(spark, sf):
     from . import schema as S
     from .functions.columns import count_or_zero, numeric_or_null, with_optional
-    c = contest_view(spark, sf).drop("hs", "odd_h")
+    c = contests(spark, sf).drop("hs", "odd_h")
     c = with_optional(c, S.OPTIONAL_TYPES)
     return round_doubles(c.select("match_id", count_or_zero("hs").alias("hs"), count_or_zero("hst").alias("hst"),
                                   count_or_zero("hc").alias("hc"), numeric_or_null("odd_h").alias("odd_h"),
@@ -624,10 +630,17 @@ def q_union_by_name(spark, sf):
 
 
 # ------------------------------------------------------------------- feed ---
+_FEEDS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _parsed_feed(spark, sf):
+    """Feed documents as landed files would be: derived and written once per session, then parsed."""
     from .sources.feed import parse_feed
     from .sources.tables import feed_documents
-    return parse_feed(feed_documents(spark, sf))
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _FEEDS:
+        _FEEDS[key] = cut_lineage(feed_documents(spark, sf))
+    return parse_feed(_FEEDS[key])
 
 
 @register("feed_flatten", O.feed_sql("""
@@ -737,7 +750,7 @@ def q_outcome_ranking(spark, sf):
     """Bookmaker outcome probabilities per contest, rounded to 4 and ranked."""
     from .functions.odds import implied_probs
     from .plans.evaluate import top_outcomes
-    c = contest_view(spark, sf)
+    c = contests(spark, sf)
     h, d, a = implied_probs("odd_h", "odd_d", "odd_a")
     p = c.select("match_id", F.when(h.isNotNull(), F.array(h, d, a)).alias("probability"))
     r = top_outcomes(p, "probability", labels=("H", "D", "A"))
