@@ -79,6 +79,22 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CONTESTS[key]
 
 
+_FEATURES: dict[tuple[str, str], DataFrame] = {}
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table as consumers read it: built once per session and stored.
+
+    Snapshots, fixture rows and training read the stored table, as the
+    scoring side reads the saved feature table rather than rebuilding it.
+    """
+    from .plans.features import build_features
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _FEATURES:
+        _FEATURES[key] = cut_lineage(build_features(contests(spark, sf_dir), materialize=False))
+    return _FEATURES[key]
+
+
 def side_rolling(spark: SparkSession, sf_dir: str, w: int, metrics: dict[str, str],
                  diffs: list[tuple[str, str]] = (), venue: bool = False) -> DataFrame:
     """Per-side rolling metrics pivoted to one row per match.
@@ -542,7 +558,7 @@ def _snapshot_oracle(select: str) -> str:
 def q_latest_snapshot(spark, sf):
     from .operators.snapshot import latest_snapshot
     from .plans.features import build_features
-    return round_doubles(latest_snapshot(build_features(contests(spark, sf), materialize=False)))
+    return round_doubles(latest_snapshot(feature_table(spark, sf)))
 
 
 @register("fixture_candidates", O.with_contest("""
@@ -686,7 +702,7 @@ def q_feed_rejects(spark, sf):
 def _labeled_split(spark, sf):
     from .operators.split import label_indexer, temporal_split
     from .plans.features import build_features
-    feats = cut_lineage(build_features(contests(spark, sf), materialize=False))
+    feats = feature_table(spark, sf)
     labeled = label_indexer().fit(feats).transform(feats)
     return temporal_split(labeled)
 
@@ -723,7 +739,7 @@ def q_fixture_rows(spark, sf):
     """The last day's contests of each pool scored as upcoming fixtures from end-of-data snapshots."""
     from .operators.snapshot import fixture_rows, latest_snapshot
     from .plans.features import build_features
-    feats = cut_lineage(build_features(contests(spark, sf), materialize=False))
+    feats = feature_table(spark, sf)
     last_day = feats.groupBy("pool").agg(F.max("ts").alias("ts"))
     fx = feats.join(last_day, ["pool", "ts"]).select("match_id", "pool", "home", "away")
     rows = fixture_rows(fx, latest_snapshot(feats))
