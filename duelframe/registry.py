@@ -771,3 +771,13 @@ def q_outcome_ranking(spark, sf):
     p = c.select("match_id", F.when(h.isNotNull(), F.array(h, d, a)).alias("probability"))
     r = top_outcomes(p, "probability", labels=("H", "D", "A"))
     return r.select("match_id", "outcome", "probability", F.col("rank").cast("int").alias("rank"))
+
+
+@register("feed_season_counts", O.feed_sql("""
+SELECT CAST(year(m.ts) AS INTEGER) AS season, count(*) AS n_matches
+FROM mx m WHERE NOT (m.hg = m.ag AND m.hs = m.as_) AND m.xg_h IS NOT NULL GROUP BY 1"""))
+def q_feed_season_counts(spark, sf):
+    """Well-formed finished matches per season of the flattened feed (A4)."""
+    from .sources.feed import flatten_matches
+    m = flatten_matches(_parsed_feed(spark, sf))
+    return m.groupBy(F.year("date").cast("int").alias("season")).agg(F.count(F.lit(1)).alias("n_matches"))

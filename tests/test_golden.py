@@ -118,3 +118,15 @@ def test_duplicate_enrichment_key_keeps_count(spark):
         .withColumn("ts", F.col("d").cast("timestamp_ntz")).drop("d")
     out = enrich_left(c, e, ["pool", "ts", "home", "away"], tie="src").collect()
     assert len(out) == 1 and out[0].npxg_h == 2.0
+
+
+def test_symmetric_h2h(spark):
+    from duelframe.operators.history import head_to_head
+    c = make_contests(spark, [dict(ts="2021-08-13", home="A", away="B", hg=1, ag=0, ftr="H"),
+                              dict(ts="2021-08-20", home="B", away="A", hg=0, ag=0, ftr="D"),
+                              dict(ts="2021-08-27", home="B", away="A", hg=0, ag=1, ftr="A")])
+    h = {r.match_id: r for r in head_to_head(c, symmetric=True).collect()}
+    assert h[2].h2h_home_win_rate == 0.0 and h[2].h2h_draw_rate == 0.0  # B lost the only meeting
+    assert h[3].h2h_home_win_rate == 0.0 and h[3].h2h_draw_rate == 0.5
+    o = {r.match_id: r for r in head_to_head(c).collect()}
+    assert o[2].h2h_home_win_rate == 0.5 and o[3].h2h_draw_rate == 1.0
