@@ -334,7 +334,7 @@ def q_unpivot_entries(spark, sf):
     "x AS (SELECT 1)\nSELECT match_id, ftr, "
     "CAST(CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS INTEGER) AS home_points, "
     "CAST(CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS INTEGER) AS away_points, "
-    "CASE ftr WHEN 'H' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END AS home_elo_score, "
+    "CASE ftr WHEN 'H' THEN 1.0e0 WHEN 'A' THEN 0.0e0 ELSE 0.5e0 END AS home_elo_score, "
     "CAST(CASE WHEN ftr = 'H' THEN 1 ELSE 0 END AS INTEGER) AS home_won, "
     "CAST(CASE WHEN ftr = 'D' THEN 1 ELSE 0 END AS INTEGER) AS draw FROM contest"),
     text_cols=("ftr",))
@@ -448,9 +448,9 @@ def q_macro_f1(spark, sf):
 @register("class_report", O.with_contest(METRIC_SQL_BASE + """
 SELECT cls, precision, recall, f1, support FROM pcf
 UNION ALL SELECT 'accuracy', NULL, NULL, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), count(*) FROM te
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM pcf
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pcf
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1 * support) / sum(support), sum(support) FROM pcf"""), text_cols=("cls",))
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pcf"""), text_cols=("cls",))
 def q_class_report(spark, sf):
     from .plans.evaluate import class_report
     te = _split(spark, sf).where(F.col("role") == "test")
