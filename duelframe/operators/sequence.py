@@ -101,11 +101,12 @@ def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
         offs = sub.join(offs, [*keys, "_seg"])
     d = d.join(_bounded_broadcast(offs), [*fine, "_seg"] if sub_keys else [*keys, "_seg"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
-    d = d.withColumn(name, (F.col("_off") + rn - 1).cast("bigint"))
+    out = [(F.col("_off") + rn - 1).cast("bigint").alias(name)]
     if sub_keys:
         rn2 = F.row_number().over(Window.partitionBy(*fine, "_seg").orderBy(*order))
-        d = d.withColumn(sub_name or f"{name}_sub", (F.col("_soff") + rn2 - 1).cast("bigint")).drop("_soff")
-    return d.drop("_seg", "_off")
+        out.append((F.col("_soff") + rn2 - 1).cast("bigint").alias(sub_name or f"{name}_sub"))
+    keep = [c for c in d.columns if c not in ("_seg", "_off", "_soff") and c not in (size_name,)]
+    return d.select(*keep, *([size_name] if size_name else []), *out)
 
 
 def chunk_with_halo(df: DataFrame, k: str, halo: int, chunk_rows: int | None = None,
@@ -119,10 +120,9 @@ def chunk_with_halo(df: DataFrame, k: str, halo: int, chunk_rows: int | None = N
     nxt = F.struct((c + 1).alias("c"), F.lit(True).alias("h"))
     tags = F.when((F.col(k) % F.lit(size)) >= F.lit(size - halo), F.array(own, nxt)) \
         .otherwise(F.array(own))
-    return (df.withColumn("_tag", F.explode(tags))
-              .withColumn(chunk_col, F.col("_tag.c"))
-              .withColumn(halo_col, F.col("_tag.h"))
-              .drop("_tag"))
+    t = df.select("*", F.explode(tags).alias("_tag"))
+    return t.select(*[F.col(c) for c in df.columns], F.col("_tag.c").alias(chunk_col),
+                    F.col("_tag.h").alias(halo_col))
 
 
 def running_before(df: DataFrame, keys: Sequence[str], k: str, values: dict[str, Column],
@@ -146,6 +146,7 @@ def running_before(df: DataFrame, keys: Sequence[str], k: str, values: dict[str,
     offs = tot.select(*keys, chunk_col,
                       *[F.sum(f"_t_{n}").over(w_prev).alias(f"_o_{n}") for n in values])
     d = d.join(_bounded_broadcast(offs), [*keys, chunk_col], "left")
-    for n in values:
-        d = d.withColumn(n, F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    return d.drop(*[f"_in_{n}" for n in values], *[f"_o_{n}" for n in values])
+    helpers = {f"_in_{n}" for n in values} | {f"_o_{n}" for n in values}
+    return d.select(*[F.col(c) for c in d.columns if c not in helpers],
+                    *[(F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
+                      for n in values])
