@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,12 +49,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="duelframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local master may fall back to a scratch folder of this machine; a
+    cluster session without the setting is an error, because executors on
+    other machines could not read what is written there.
+    """
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if current:
+        return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return ensure_checkpoint_dir(spark).rstrip("/")
+
+
+def stored(df):
+    """Write ``df`` once as Parquet in the shared folder and return the table read back.
+
+    Cuts the lineage, survives lost executors, and later scans still prune
+    columns and push filters down. ``clean_stored`` removes a session's tables.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_stored(spark: SparkSession) -> None:
+    """Delete every table this session has stored; frames that read them become unusable."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint).
 
