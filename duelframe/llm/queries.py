@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe
 from .exact_dedup import group_copies
 from .tables import table
 
+#: Vocabulary file of op7 and of the pipeline's last stage.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +28,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def token_digests(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
+    both = docs.select("doc_id", bpe.encode_and_decode(spark, F.col("text"), path).alias("t"))
+    return both.select(
+        "doc_id", F.size("t.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("t.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("t.decoded", 256).alias("decoded_sha256"))
+
+
+@register("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, table(spark, sf_dir, "documents"))
+
+
 @register("op10_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
