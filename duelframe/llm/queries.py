@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .exact_dedup import group_copies
+from .quality import classify, held_out
+from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
 
 #: Vocabulary file of op7 and of the pipeline's last stage.
@@ -42,6 +44,28 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+@register("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secret_spans(F.col("text")).alias("found"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def n(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[n(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("found")).alias("spans"))
+
+
 @register("op10_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
