@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .exact_dedup import group_copies
+from .ngram_join import similar_documents
 from .quality import classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
@@ -44,6 +45,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+@register("op1_ngram_join", r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+tokens AS MATERIALIZED (
+  SELECT DISTINCT rid, token FROM (
+    SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS token FROM listed)),
+sized AS (SELECT rid, count(*) AS n FROM tokens GROUP BY rid),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM tokens x JOIN tokens y USING (token)
+                    WHERE x.rid <> y.rid GROUP BY ALL) p
+  JOIN sized m ON m.rid = a JOIN sized n ON n.rid = b WHERE 100 * i >= 80 * (m.n + n.n - i)),
+reach AS (SELECT rid AS a, rid AS b FROM listed UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM listed d LEFT JOIN sized s USING (rid) JOIN reach ON reach.a = d.rid JOIN listed e ON e.rid = reach.b
+GROUP BY d.rid, d.doc_id, s.n""")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("n_tokens").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @register("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
