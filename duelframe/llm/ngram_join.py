@@ -15,11 +15,18 @@ node; candidates among the nodes come from prefixes under one global order:
   goes with the size of the set (a power of two); a set whose smallest partner
   lies in the next lower size band is indexed for both bands.
 
-Documents under one key are candidates. They are not paired off: round one
-takes a star (every document against the smallest node of the key), verifies
-the best candidate of each document and forms components; round two takes the
-pairs of one key that are still in different components, so no link that could
-join two components is left out, and dense groups cost a star only.
+Keys carry how large a partner may be. |x & y| >= 4 (|x| + |y|) / 9 is needed, and a
+set's overlap is at most its size less the rare tokens that come before the key
+(all of them, for a pair of frequent tokens: partners that share a rare token
+meet under that one). The smaller set of a pair loses at most a ninth of its
+tokens, so a key beyond the prefix for |x| // 9 + 1 admits no larger partner.
+
+Documents under one key are candidates. They are not paired off: in each round
+a key links its documents to one pivot, another one in every round; the best
+new candidates of each document are verified and components formed. When that
+finds little more, the pairs of a key that are left in different components are
+all verified, so no link that could join two components is left out, and dense
+groups cost a few stars only.
 
 Verification compares whole sets. Only the texts of candidates are read for
 it, found by a Bloom filter of fixed size and an exact join after it.
@@ -40,9 +47,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -51,9 +57,11 @@ from .words import distinct, mix, slices, words_of
 
 SHINGLE = 5
 PERCENT = 80
-FREQUENT = 16  # documents from which on a token may be frequent
+FREQUENT = 64  # documents from which on a token may be frequent
 MAX_FREQUENT = 1 << 20
 BLOOM_BITS = 26
+BEST = 8  # candidates of a document that a later round verifies
+MOST_ROUNDS = 8  # of stars, ended sooner by one of little use; the pairs that are left are all verified
 FLUSH = 1 << 21  # tokens or keys held by a task before they are handed on
 
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -173,26 +181,32 @@ def frequent_slots(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]
 
 # ----------------------------------------------------------------- prefix keys
 
-def _combination_keys(frequent: np.ndarray, need: int, band: int) -> np.ndarray:
-    """Keys of all pairs of one class in the shortest prefix that counts ``need``; ``frequent`` is in global order."""
+def _combination_keys(frequent: np.ndarray, need: int, need_short: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pairs of one class in the prefix that counts ``need``, and which lie in the one for ``need_short``.
+
+    ``frequent`` is in global order.
+    """
     classes = max(1, 1 << (band - 1))
     kind = (mix(frequent + _U(band)) & _U(classes - 1)).astype(np.int64)
     order = np.argsort(kind, kind="stable")
     later = np.r_[False, kind[order][1:] == kind[order][:-1]]  # not the first of its class
     gain = np.zeros(len(frequent), np.int64)
     gain[order] = later
-    size = int(np.searchsorted(np.cumsum(gain), need)) + 1
-    kind, tokens = kind[:size], mix(frequent[:size] + _U(band))
+    total = np.cumsum(gain)
+    size = int(np.searchsorted(total, need)) + 1
+    short = np.arange(len(frequent)) <= np.searchsorted(total, need_short) if need_short > 0 else np.zeros(len(frequent), bool)
+    kind, short, tokens = kind[:size], short[:size], mix(frequent[:size] + _U(band))
     order = np.argsort(kind, kind="stable")
-    kind, tokens = kind[order], tokens[order]
-    out, step = [np.empty(0, np.uint64)], 1
+    kind, short, tokens = kind[order], short[order], tokens[order]
+    out, marks, step = [np.empty(0, np.uint64)], [np.empty(0, bool)], 1
     while step < len(kind):
         same = kind[step:] == kind[:-step]
         if not same.any():
             break
         out.append(mix(tokens[step:][same] + tokens[:-step][same] + _U(2)))
+        marks.append((short[step:] & short[:-step])[same])
         step += 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(marks)
 
 
 class Prefixes:
@@ -213,134 +227,138 @@ class Prefixes:
         out[maybe[hit]] = self.counts[at[hit]]
         return out
 
-    def keys(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, number of its set) for sets of four tokens or more; smaller ones have only equal partners."""
+    def keys(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, largest size of a partner, number of its set) for sets of four tokens or more; smaller ones have only equal partners."""
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
         often = self.often(tokens)
         rare = often == 0
         first = np.r_[0, np.cumsum(rare)]
         place = first[:-1] - np.repeat(first[bounds[:-1]], n)  # among the set's rare tokens, in order of their hash
-        need = n // 5 + 1
+        need, short = n // 5 + 1, n // 9 + 1
         chosen = rare & (place < need[owner]) & (n[owner] >= 4)
-        keys, owners = [mix(tokens[chosen] + _U(1))], [owner[chosen]]
+        size = n[owner[chosen]]
+        keys, reach, owners = [mix(tokens[chosen] + _U(1))], [9 * (size - place[chosen]) // 4 - size], [owner[chosen]]
         n_rare = first[bounds[1:]] - first[bounds[:-1]]
         for i in np.flatnonzero((n_rare < need) & (n >= 4)).tolist():
             own, count = tokens[bounds[i]:bounds[i + 1]], often[bounds[i]:bounds[i + 1]]
             own, count = own[count > 0], count[count > 0]
             own = own[np.lexsort((own, count))]
-            size = int(n[i])
+            size, left = int(n[i]), int(n_rare[i])
             low = (-(-size * PERCENT // 100)).bit_length() - 1
             for band in range(low, size.bit_length()):
-                keys.append(_combination_keys(own, int(need[i] - n_rare[i]), band))
-                owners.append(np.full(len(keys[-1]), i))
-        return np.concatenate(keys), np.concatenate(owners)
-
-
-_INDEX = "part int, kind string, a bigint, b bigint, x bigint, y bigint, keys binary, nodes binary, repeats binary, sizes binary"
-_INDEX_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.string()), *((c, pa.int64()) for c in "abxy"),
-                          *((c, pa.binary()) for c in ("keys", "nodes", "repeats", "sizes"))])
+                key, mark = _combination_keys(own, int(need[i]) - left, int(short[i]) - left, band)
+                most = 9 * (size - left) // 4 - size
+                keys.append(key)
+                reach.append(np.where(mark, most, min(most, size)))
+                owners.append(np.full(len(key), i))
+        return np.concatenate(keys), np.concatenate(reach), np.concatenate(owners)
+
+
+_PLAIN = ("a", "b", "x", "y")
+_BLOBS = ("keys", "nodes", "repeats", "sizes", "reach")
+_INDEX = f"part int, kind string, {', '.join(f'{c} bigint' for c in _PLAIN)}, {', '.join(f'{c} binary' for c in _BLOBS)}"
+_INDEX_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.string()), *((c, pa.int64()) for c in _PLAIN),
+                          *((c, pa.binary()) for c in _BLOBS)])
 _FOUND = "kind string, a bigint, b bigint, x bigint, y bigint"
 
 
-def _near(x, y):
-    """Sizes of sets that can link."""
-    return 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+class _Held:
+    """Keys with their nodes, set sizes and largest partner sizes, gathered in pieces."""
+
+    def __init__(self):
+        self.pieces = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
+        self.rows = 0
 
+    def add(self, *piece: np.ndarray) -> None:
+        self.pieces.append(piece)
+        self.rows += len(piece[0])
 
-def _stars(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray):
-    """Groups of one key: (rows of groups of two or more, candidate pairs with the smallest node, rows to hand on)."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-    twin = np.r_[False, (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])] if len(keys) else np.empty(0, bool)
-    keys, nodes, sizes = keys[~twin], nodes[~twin], sizes[~twin]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    many = ~new
-    many[head[many]] = True
-    pair = ~new & _near(sizes, sizes[head])
-    return ((keys[many], nodes[many], sizes[many]),
-            (nodes[head[pair]], nodes[pair], sizes[head[pair]], sizes[pair]),
-            (keys[new], nodes[new], sizes[new]))
+    def groups(self):
+        """Sorted by key and node, each once: (all columns, rows that begin a key, rows whose key has several nodes)."""
+        keys, nodes, sizes, reach = (np.concatenate(x) for x in zip(*self.pieces, strict=True))
+        order = np.lexsort((-reach, nodes, keys))
+        keys, nodes, sizes, reach = keys[order], nodes[order], sizes[order], reach[order]
+        once = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])][:len(keys)]
+        keys, nodes, sizes, reach = keys[once], nodes[once], sizes[once], reach[once]
+        new = np.r_[True, keys[1:] != keys[:-1]][:len(keys)]
+        several = ~(new & np.r_[new[1:], True][:len(keys)])
+        return (keys, nodes, sizes, reach), new, several
 
 
-def _rows(kind: str, *columns: np.ndarray) -> pd.DataFrame:
-    out = pd.DataFrame(dict(zip("abxy", [np.asarray(c).astype(np.int64) for c in columns], strict=False)))
-    return out.assign(kind=kind)
+def _members(columns, rows: np.ndarray) -> dict:
+    keys, nodes, sizes, reach = (c[rows] for c in columns)
+    return {"kind": pa.array(["b"] * len(keys), pa.string()), "a": pa.array(keys.view(np.int64)), "b": pa.array(nodes),
+            "x": pa.array(sizes), "y": pa.array(reach)}
 
 
 def _index(parts: int, prefixes):
-    """Documents as rows ``d`` (id, node, size, second fingerprint) and keys by part.
+    """Documents as rows ``d`` (id, node, size, second fingerprint), and keys by part.
 
-    A key's documents of one flush are first joined to a star within the task:
-    of a very frequent key each task hands on a single node, not its rows.
+    Where several nodes of one flush share a key the task hands on one of them
+    and lists all as rows ``b`` (key, node, size, reach), which travel evenly: of
+    a very frequent key a task sends one row to the place where the key meets.
     """
 
-    def flush(keys, nodes, sizes):
-        groups, pairs, on = _stars(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes))
-        extra = pd.concat([_rows("b", *groups), _rows("p", *pairs)])
-        spread = mix(extra["b"].to_numpy().view(np.uint64)) % _U(parts)
-        extra = extra.assign(part=spread.astype(np.int32), y=extra["y"].astype("Int64"),
-                             **dict.fromkeys(("keys", "nodes", "repeats", "sizes")))
-        yield from pa.Table.from_pandas(extra[_INDEX_ARROW.names], _INDEX_ARROW, preserve_index=False).to_batches()
-        key, node, size = on
+    def flush(held: _Held) -> Iterator[pa.RecordBatch]:
+        columns, new, several = held.groups()
+        rows = _members(columns, several)
+        spread = (mix(columns[1][several].view(np.uint64)) % _U(parts)).astype(np.int32)
+        none = pa.nulls(int(several.sum()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(spread), *rows.values(), *[none] * len(_BLOBS)], schema=_INDEX_ARROW)
+        key, node, size, reach = (c[new] for c in columns)
         part = (key % _U(parts)).astype(np.int32)
         order = np.lexsort((node, part))
-        key, node, size, part = key[order], node[order], size[order], part[order]
-        rows = []
+        key, node, size, reach, part = key[order], node[order], size[order], reach[order], part[order]
+        blobs = []
         for own in np.split(np.arange(len(key)), np.flatnonzero(part[1:] != part[:-1]) + 1):
             if len(own):
                 names, at, repeats = np.unique(node[own], return_index=True, return_counts=True)
-                rows.append({"part": int(part[own[0]]), "kind": "k", "keys": key[own].tobytes(), "nodes": names.tobytes(),
-                             "repeats": repeats.astype(np.int32).tobytes(), "sizes": size[own][at].astype(np.int32).tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, _INDEX_ARROW)
+                values = (key[own], names, repeats.astype(np.int32), size[own][at].astype(np.int32), reach[own].astype(np.int32))
+                blobs.append({"part": int(part[own[0]]), "kind": "k",
+                              **{c: v.tobytes() for c, v in zip(_BLOBS, values, strict=True)}})
+        yield pa.RecordBatch.from_pylist(blobs, _INDEX_ARROW)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen, held, n = Prefixes(*prefixes.value), set(), ([], [], []), 0
+        make, seen, held = Prefixes(*prefixes.value), set(), _Held()
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 tokens, bounds = shingle_sets(texts)
                 node, check = fingerprints(tokens, bounds)
                 size = np.diff(bounds)
+                spread = np.arange(len(ids), dtype=np.int32) % parts  # documents travel evenly, copies too
                 none = pa.nulls(len(ids), pa.binary())
-                part = (mix(node.view(np.uint64)) % _U(parts)).astype(np.int32)
-                salt = np.arange(len(ids), dtype=np.int32) % parts  # documents travel evenly, copies too
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((part + salt) % parts), pa.array(["d"] * len(ids)), pa.array(ids, pa.int64()), pa.array(node),
-                     pa.array(size), pa.array(check), none, none, none, none], schema=_INDEX_ARROW)
-                at, new = _take(bounds, rows := np.flatnonzero(_new_sets(node, seen)))
-                keys, owner = make.keys(tokens[at], new)
-                held[0].append(keys)
-                held[1].append(node[rows][owner])
-                held[2].append(size[rows][owner])
-                n += len(keys)
-                if n >= FLUSH:
-                    yield from flush(*held)
-                    held, n = ([], [], []), 0
-        if n:
-            yield from flush(*held)
+                    [pa.array(spread), pa.array(["d"] * len(ids)), pa.array(ids, pa.int64()), pa.array(node),
+                     pa.array(size), pa.array(check), *[none] * len(_BLOBS)], schema=_INDEX_ARROW)
+                rows = np.flatnonzero(_new_sets(node, seen))
+                at, new = _take(bounds, rows)
+                keys, reach, owner = make.keys(tokens[at], new)
+                held.add(keys, node[rows][owner], size[rows][owner], reach)
+                if held.rows >= FLUSH:
+                    yield from flush(held)
+                    held = _Held()
+        if held.rows:
+            yield from flush(held)
 
     return index
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition: documents, pairs and groups as they are, and what the keys that meet here add."""
-    keys, nodes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    names = ["kind", "a", "b", "x", "y"]
+    """Of one partition: documents and members as they are, and the members of keys that meet here."""
+    held, names = _Held(), ["kind", *_PLAIN]
     for batch in batches:
         kind = np.asarray(batch.column("kind").to_pandas())
         plain = batch.filter(pa.array(kind != "k")).select(names)
         if len(plain):
             yield plain
-        for row in batch.filter(pa.array(kind == "k")).select(["keys", "nodes", "repeats", "sizes"]).to_pylist():
+        for row in batch.filter(pa.array(kind == "k")).select(list(_BLOBS)).to_pylist():
             repeats = np.frombuffer(row["repeats"], np.int32)
-            keys.append(np.frombuffer(row["keys"], np.uint64))
-            nodes.append(np.repeat(np.frombuffer(row["nodes"], np.int64), repeats))
-            sizes.append(np.repeat(np.frombuffer(row["sizes"], np.int32), repeats).astype(np.int64))
-    groups, pairs, _ = _stars(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes))
-    for rows in (_rows("b", *groups).assign(y=None), _rows("p", *pairs)):
-        schema = pa.schema([("kind", pa.string()), *((c, pa.int64()) for c in "abxy")])
-        yield from pa.Table.from_pandas(rows[names], schema, preserve_index=False).to_batches()
+            held.add(np.frombuffer(row["keys"], np.uint64), np.repeat(np.frombuffer(row["nodes"], np.int64), repeats),
+                     np.repeat(np.frombuffer(row["sizes"], np.int32), repeats).astype(np.int64),
+                     np.frombuffer(row["reach"], np.int32).astype(np.int64))
+    columns, _, several = held.groups()
+    yield pa.RecordBatch.from_pydict(_members(columns, several))
 
 
 # ---------------------------------------------------------------- verification
@@ -399,15 +417,45 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link. ``nodes``: (node, id of one of its rows)."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
-    bits = rows.sparkSession.sparkContext.broadcast(_bloom(wanted.select("id")))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "id"))
+    bits = rows.sparkSession.sparkContext.broadcast(_bloom(wanted))
     sets = stored(rows.mapInArrow(_sets_of(bits), "node bigint, tokens binary")
                   .join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    both = (pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "a", "tokens": "left"}), "a")
-            .join(sets.withColumnsRenamed({"node": "b", "tokens": "right"}), "b"))
+    side = {c: sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+            .withColumnsRenamed({"node": c, "tokens": name}) for c, name in (("a", "left"), ("b", "right"))}
+    both = pairs.select("a", "b").join(side["b"], "b").join(side["a"], "a")
     return stored(both.select("a", "b", "left", "right").mapInArrow(_linked, "a bigint, b bigint"))
 
 
+#: Two rows of one key that can link.
+_CAN_LINK = "size1 <= reach2 AND size2 <= reach1"
+
+
+def _numbered(group: DataFrame, i: int) -> DataFrame:
+    return group.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "reach", "component")])
+
+
+def _round(group: DataFrame, tried: DataFrame, number: int, best: int) -> DataFrame:
+    """New pairs (a, b): each document's best candidates among the pivots of its keys, by the keys they share."""
+    order = F.xxhash64("node", F.lit(number))
+    pivot = group.groupBy("key").agg(
+        F.max_by(F.struct("node", "size", "reach", "component"), order).alias("pivot")).select("key", "pivot.*")
+    pairs = (_numbered(group, 1).join(_numbered(pivot, 2), "key").where("component1 <> component2").where(_CAN_LINK)
+             .groupBy("node1", "node2").agg(F.count(F.lit(1)).alias("shared"))
+             .join(tried.select(F.col("a").alias("node1"), F.col("b").alias("node2"), F.lit(1).alias("old"))
+                   .unionAll(tried.select("b", "a", F.lit(1))), ["node1", "node2"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("node1").orderBy(F.desc("shared"), "node2"))  # a set's keys at most
+    return (pairs.withColumn("place", place).where(F.col("place") <= best)
+            .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct())
+
+
+def _mixed(members: DataFrame, parts_of: DataFrame) -> DataFrame:
+    """Members of the keys whose members lie in different components."""
+    group = members.join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = group.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return stored(group.join(mixed.select("key"), "key", "left_semi"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, component (smallest id reachable by links, itself included).
 
@@ -424,23 +472,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not nodes.where("low <> high").isEmpty():
         raise RuntimeError("two different sets share a fingerprint; change the constants of fingerprints()")
 
-    # round one: the candidate that shares most keys
-    pairs = found.where("kind = 'p'").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    links = _verify(best, rows, nodes)
-    parts_of = components(links)
-
-    # round two: pairs under one key whose ends are in different components
-    group = (found.where("kind = 'b'").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("x").alias("size"))
-             .join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = group.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    group = stored(group.join(mixed.select("key"), "key", "left_semi").distinct())
-    one, two = (group.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "component")]) for i in (1, 2))
-    rest = stored(one.join(two, "key")
-                  .where("node1 < node2 AND component1 <> component2 AND "
-                         f"100 * least(size1, size2) >= {PERCENT} * greatest(size1, size2)")
+    members = found.where("kind = 'b'").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("x").alias("size"),
+                                               F.col("y").alias("reach"))
+    members = stored(members.groupBy("key", "node").agg(F.max("size").alias("size"), F.max("reach").alias("reach")))
+    tried = links = spark.createDataFrame([], "a bigint, b bigint")
+    parts_of = spark.createDataFrame([], "node bigint, component bigint")
+    group = members.withColumn("component", F.col("node"))
+    for number in range(MOST_ROUNDS):
+        pairs = stored(_round(group, tried, number, 1 if number == 0 else BEST))
+        new = _verify(pairs, rows, nodes)
+        tried, links = tried.unionAll(pairs), links.unionAll(new)
+        parts_of = components(links)
+        group = _mixed(members, parts_of)
+        if new.count() < 0.05 * pairs.count() or pairs.isEmpty():
+            break
+    one, two = _numbered(group, 1), _numbered(group, 2)
+    rest = stored(one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
                   .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-                  .join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+                  .join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(_verify(rest, rows, nodes))
         parts_of = components(links)
