@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .exact_dedup import group_copies
+from .mixing import mix_plan
 from .ngram_join import similar_documents
 from .quality import classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
@@ -90,6 +91,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("found")).alias("spans"))
 
 
+@register("op9_mixing")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @register("op10_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
