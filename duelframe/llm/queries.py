@@ -15,6 +15,7 @@ from .ngram_join import similar_documents
 from .quality import classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
+from .topk import top_k
 
 #: Vocabulary file of op7 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +92,21 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("found")).alias("spans"))
 
 
+@register("op6_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) r
+WHERE rank <= 5""")
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).withColumnRenamed("found_id", "vec_id")
+
+
 @register("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
