@@ -28,7 +28,10 @@ finds little more, the pairs of a key that are left in different components are
 all verified, so no link that could join two components is left out, and dense
 groups cost a few stars only.
 
-Verification compares whole sets. Only the texts of candidates are read for
+Candidates first pass a parity sketch: 1,024 bits, each the parity of the tokens
+that hash to it. Sketches of two sets differ in no more bits than the sets have
+tokens in one only, and a link allows (|x| + |y|) / 9 of those, so the sketch
+drops no link. Verification compares whole sets. Only the texts of candidates are read for
 it, found by a Bloom filter of fixed size and an exact join after it.
 
 Bounds: at most ``MAX_FREQUENT`` tokens are frequent (the threshold rises with
@@ -60,6 +63,7 @@ PERCENT = 80
 FREQUENT = 64  # documents from which on a token may be frequent
 MAX_FREQUENT = 1 << 20
 BLOOM_BITS = 26
+SKETCH = 1 << 10  # bits
 BEST = 8  # candidates of a document that a later round verifies
 MOST_ROUNDS = 8  # of stars, ended sooner by one of little use; the pairs that are left are all verified
 FLUSH = 1 << 21  # tokens or keys held by a task before they are handed on
@@ -68,19 +72,34 @@ _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, bounds) of each text."""
-    hashes, _, bounds = words_of(texts)
+def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles in order, bounds) of each text."""
+    words, _, bounds = words_of(texts)
     n = np.diff(bounds)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
-    ends = np.cumsum(count)
-    first = np.repeat(bounds[:-1], count) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
-    size = np.repeat(np.minimum(n, SHINGLE), count)
-    total = size.astype(np.uint64)
+    spread = max(0, len(words) - SHINGLE + 1)
+    total = np.full(spread, _U(SHINGLE))
     for i in range(SHINGLE):
-        word = hashes[np.minimum(first + i, len(hashes) - 1)] if len(first) else np.empty(0, np.uint64)
-        total = total + np.where(size > i, mix(word + _PLACE[i]) * _PLACE[i], _U(0))
-    tokens, _, places = distinct(mix(total), np.r_[0, ends])
+        total += words[i:spread + i] * _PLACE[i]
+    count = np.maximum(n - SHINGLE + 1, (n > 0).astype(np.int64))
+    places = np.r_[0, np.cumsum(count)]
+    whole = n >= SHINGLE
+    out = np.empty(places[-1], np.uint64)
+    keep = np.zeros(len(words) + 1, np.int64)  # +1 where a text's shingles begin, -1 behind their end
+    np.add.at(keep, bounds[:-1][whole], 1)
+    np.add.at(keep, bounds[1:][whole] - SHINGLE + 1, -1)
+    short = np.ones(len(out), bool)
+    few = np.flatnonzero(~whole & (n > 0))
+    short[places[few]] = False
+    out[short] = mix(total[np.cumsum(keep)[:spread] > 0])
+    for i in few.tolist():
+        own = words[bounds[i]:bounds[i + 1]]
+        out[places[i]] = mix((own * _PLACE[:len(own)]).sum(dtype=np.uint64, keepdims=True) + _U(len(own)))[0]
+    return out, places
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes, bounds) of each text."""
+    tokens, _, places = distinct(*shingles(texts))
     return tokens, places
 
 
@@ -96,6 +115,14 @@ def fingerprints(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
             mix(_sums(mix(tokens * _U(0x9E3779B97F4A7C15) + _U(77)), bounds) + sizes).view(np.int64))
 
 
+def parities(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set."""
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * SKETCH + (mix(tokens + _U(3)) >> _U(64 - 10)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * SKETCH) & 1).astype(bool).reshape(n, SKETCH)
+    return [row.tobytes() for row in np.packbits(odd, axis=1)]
+
+
 def _slot(tokens: np.ndarray) -> np.ndarray:
     """32 bits of a token, by which it is counted. Tokens that share a slot are frequent together."""
     return (tokens >> _U(32)).astype(np.uint32)
@@ -257,10 +284,10 @@ class Prefixes:
 
 _PLAIN = ("a", "b", "x", "y")
 _BLOBS = ("keys", "nodes", "repeats", "sizes", "reach")
-_INDEX = f"part int, kind string, {', '.join(f'{c} bigint' for c in _PLAIN)}, {', '.join(f'{c} binary' for c in _BLOBS)}"
+_INDEX = f"part int, kind string, {', '.join(f'{c} bigint' for c in _PLAIN)}, bits binary, {', '.join(f'{c} binary' for c in _BLOBS)}"
 _INDEX_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.string()), *((c, pa.int64()) for c in _PLAIN),
-                          *((c, pa.binary()) for c in _BLOBS)])
-_FOUND = "kind string, a bigint, b bigint, x bigint, y bigint"
+                          *((c, pa.binary()) for c in ("bits", *_BLOBS))])
+_FOUND = "kind string, a bigint, b bigint, x bigint, y bigint, bits binary"
 
 
 class _Held:
@@ -289,7 +316,7 @@ class _Held:
 def _members(columns, rows: np.ndarray) -> dict:
     keys, nodes, sizes, reach = (c[rows] for c in columns)
     return {"kind": pa.array(["b"] * len(keys), pa.string()), "a": pa.array(keys.view(np.int64)), "b": pa.array(nodes),
-            "x": pa.array(sizes), "y": pa.array(reach)}
+            "x": pa.array(sizes), "y": pa.array(reach), "bits": pa.nulls(len(keys), pa.binary())}
 
 
 def _index(parts: int, prefixes):
@@ -326,12 +353,16 @@ def _index(parts: int, prefixes):
                 tokens, bounds = shingle_sets(texts)
                 node, check = fingerprints(tokens, bounds)
                 size = np.diff(bounds)
+                rows = np.flatnonzero(_new_sets(node, seen))
                 spread = np.arange(len(ids), dtype=np.int32) % parts  # documents travel evenly, copies too
+                bits = [None] * len(ids)  # once for a task's copies
+                for i, sketch in zip(rows.tolist(), parities(tokens, bounds) if len(rows) == len(ids) else
+                                     parities(tokens[_take(bounds, rows)[0]], _take(bounds, rows)[1]), strict=True):
+                    bits[i] = sketch
                 none = pa.nulls(len(ids), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(spread), pa.array(["d"] * len(ids)), pa.array(ids, pa.int64()), pa.array(node),
-                     pa.array(size), pa.array(check), *[none] * len(_BLOBS)], schema=_INDEX_ARROW)
-                rows = np.flatnonzero(_new_sets(node, seen))
+                     pa.array(size), pa.array(check), pa.array(bits, pa.binary()), *[none] * len(_BLOBS)], schema=_INDEX_ARROW)
                 at, new = _take(bounds, rows)
                 keys, reach, owner = make.keys(tokens[at], new)
                 held.add(keys, node[rows][owner], size[rows][owner], reach)
@@ -346,7 +377,7 @@ def _index(parts: int, prefixes):
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition: documents and members as they are, and the members of keys that meet here."""
-    held, names = _Held(), ["kind", *_PLAIN]
+    held, names = _Held(), ["kind", *_PLAIN, "bits"]
     for batch in batches:
         kind = np.asarray(batch.column("kind").to_pandas())
         plain = batch.filter(pa.array(kind != "k")).select(names)
@@ -417,7 +448,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link. ``nodes``: (node, id of one of its rows)."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "id"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node"))
     bits = rows.sparkSession.sparkContext.broadcast(_bloom(wanted))
     sets = stored(rows.mapInArrow(_sets_of(bits), "node bigint, tokens binary")
                   .join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
@@ -435,6 +466,23 @@ def _numbered(group: DataFrame, i: int) -> DataFrame:
     return group.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "reach", "component")])
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint64).reshape(batch.num_rows, -1)
+                    for c in ("bits_a", "bits_b"))
+        apart = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= np.asarray(batch.column("sizes"))))
+
+
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    side = {c: nodes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("size").alias(f"n_{c}")) for c in "ab"}
+    both = pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b")
+    return both.select("a", "b", "bits_a", "bits_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(_close, "a bigint, b bigint")
+
+
 def _round(group: DataFrame, tried: DataFrame, number: int, best: int) -> DataFrame:
     """New pairs (a, b): each document's best candidates among the pivots of its keys, by the keys they share."""
     order = F.xxhash64("node", F.lit(number))
@@ -467,8 +515,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prefixes = spark.sparkContext.broadcast(frequent_slots(rows, parts))
     found = stored(rows.mapInArrow(_index(parts, prefixes), _INDEX).repartition("part").mapInArrow(_meet, _FOUND))
     listed = found.where("kind = 'd'").select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("x").alias("size"),
-                                              F.col("y").alias("check"))
-    nodes = stored(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high")))
+                                              F.col("y").alias("check"), "bits")
+    nodes = stored(listed.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"),
+                                              F.max("size").alias("size"), F.max("bits").alias("bits")))
     if not nodes.where("low <> high").isEmpty():
         raise RuntimeError("two different sets share a fingerprint; change the constants of fingerprints()")
 
@@ -479,23 +528,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts_of = spark.createDataFrame([], "node bigint, component bigint")
     group = members.withColumn("component", F.col("node"))
     for number in range(MOST_ROUNDS):
-        pairs = stored(_round(group, tried, number, 1 if number == 0 else BEST))
-        new = _verify(pairs, rows, nodes)
+        pairs = stored(_round(group, tried, number, BEST))
+        new = _verify(stored(_promising(pairs, nodes)), rows, nodes)
         tried, links = tried.unionAll(pairs), links.unionAll(new)
         parts_of = components(links)
         group = _mixed(members, parts_of)
-        if new.count() < 0.05 * pairs.count() or pairs.isEmpty():
+        if 50 * new.count() <= pairs.count():
             break
     one, two = _numbered(group, 1), _numbered(group, 2)
-    rest = stored(one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
-                  .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-                  .join(tried, ["a", "b"], "left_anti"))
+    rest = (one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
+            .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = stored(_promising(rest, nodes))
     if not rest.isEmpty():
         links = links.unionAll(_verify(rest, rows, nodes))
         parts_of = components(links)
 
     of_node = nodes.join(parts_of, "node", "left").select("node", "id", F.coalesce("component", "node").alias("set"))
     least = of_node.join(of_node.groupBy("set").agg(F.min("id").alias("least")), "set").select("node", "least")
-    return (listed.join(least, "node")
+    return (listed.drop("bits").join(least, "node")
             .select("id", F.col("size").alias("n_tokens"),
                     F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component")))

@@ -11,8 +11,10 @@ PIECE = 1 << 22  # bytes handled at once; longer input is cut between words
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _RNG = np.random.default_rng(0x5EED)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
@@ -54,8 +56,8 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.cumsum(sizes) - sizes
         place = np.arange(sizes.sum()) - np.repeat(first, sizes)  # of a byte in its word
         chars = raw[inside[1:-1]]
-        chars = np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
-        sums = np.add.reduceat(mix(_BYTE[chars]) * _powers(int(sizes.max()))[place], first)
+        chars = _LOWER[chars]
+        sums = np.add.reduceat(_BYTE[chars] * _powers(int(sizes.max()))[place], first)
         out.append((mix(sums + sizes.astype(np.uint64) * _STEP), starts + at, ends + at))
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -86,11 +88,13 @@ def words_of(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, ends - starts, np.searchsorted(starts, begins)
 
 
-def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, how often each occurs, bounds), text by text."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.empty(0, bool)
+def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, how often each occurs, bounds), text by text."""
+    values = values.copy()
+    new = np.ones(len(values), bool)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][bounds[:-1] < len(values)]] = True
     at = np.flatnonzero(new)
-    return hashes[at], np.diff(np.r_[at, len(hashes)]), np.searchsorted(owner[at], np.arange(len(bounds)))
+    return values[at], np.diff(np.r_[at, len(values)]), np.searchsorted(at, bounds)
