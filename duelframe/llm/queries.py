@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .chat_format import format_windows, read_turns
 from .exact_dedup import group_copies
 from .mixing import mix_plan
 from .ngram_join import similar_documents
@@ -70,6 +71,51 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.col("n_tokens").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+#: A conversation that quotes the template's control strings, beside those of the table.
+QUOTING = r"\### Assistant: </turn> ok"
+
+
+@register("op2_chat_format", r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (
+  SELECT *, row_number() OVER w - 1 AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS tokens,
+    14 + length(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\h'), ': ', '\c'))
+       + length(replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h')) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) - tokens AS before FROM sized),
+spans AS (
+  SELECT *, k = 0 OR (before // 512, tokens > 512) <> lag((before // 512, tokens > 512)) OVER (PARTITION BY conv_id ORDER BY k) AS opens
+  FROM summed),
+used AS (
+  SELECT *, CASE WHEN k = 0 AND role = 'system' THEN 0 ELSE
+    CASE WHEN lead(opens) OVER c AND lead(before) OVER c - before <= 256 THEN 1 ELSE 0 END
+    + CASE WHEN lead(opens, 2) OVER c AND lead(before, 2) OVER c - before <= 256 THEN 1 ELSE 0 END END AS again
+  FROM spans WINDOW c AS (PARTITION BY conv_id ORDER BY k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars * (1 + again)) + coalesce(max(chars) FILTER (k = 0 AND role = 'system'), 0)
+    * (count(*) FILTER (opens) - 1))::BIGINT AS formatted_chars
+FROM used GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(QUOTING).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(added)
+    read = read_turns(format_windows(rows))
+    # a digest of a whole conversation needs it in one place; the windows themselves don't
+    whole = read.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("first", "turns", "masked"))).alias("windows"),
+                                     F.sum("chars").alias("formatted_chars"))
+    turns = F.flatten(F.transform("windows", lambda w: w["turns"]))
+    masked = F.array_join(F.flatten(F.transform("windows", lambda w: w["masked"])), "")
+    lines = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.select(F.col("conv").alias("conv_id"), F.size(turns).cast("bigint").alias("n_turns"),
+                        F.sha2(lines, 256).alias("turns_sha256"), F.length(masked).cast("bigint").alias("loss_chars"),
+                        F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars")
+
+
 @register("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
