@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from . import bpe
 from .chat_format import format_windows, read_turns
 from .exact_dedup import group_copies
+from .line_dedup import drop_site_lines
 from .mixing import mix_plan
 from .ngram_join import similar_documents
 from .quality import classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
 from .topk import top_k
+from .warc import crawl_records, header_lines, resolve_revisits
 
 #: Vocabulary file of op7 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,6 +118,62 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars")
 
 
+@register("op3_warc_revisit", r"""
+WITH full_pages AS (
+  SELECT 2 * page_id AS id, 10 * page_id AS ts, url, coalesce(html, '') AS html FROM pages),
+again AS (
+  SELECT 2 * page_id + 1 AS id, 10 * page_id + 5 + 10 * (page_id % 997) AS ts,
+    regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=again#part' AS url,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"' || page_id || '"' WHEN page_id % 7 = 0 THEN NULL
+      ELSE '"' || md5(coalesce(html, '')) || '"' END AS etag,
+    CASE WHEN page_id % 11 <> 0 THEN 'day ' || length(coalesce(html, '')) END AS modified FROM pages),
+cut AS (
+  SELECT *, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\.|:80$|:443$', '', 'g') AS host,
+    regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS query
+  FROM (SELECT id, ts, url FROM full_pages UNION ALL SELECT id, ts, url FROM again) u),
+named AS (SELECT id, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS key FROM cut),
+old AS (SELECT f.*, n.key, '"' || md5(html) || '"' AS etag, 'day ' || length(html) AS modified FROM full_pages f JOIN named n USING (id)),
+last_old AS (SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY id DESC) = 1),
+found AS (
+  SELECT a.id, a.ts, n.key AS url, a.etag, a.modified, o.id AS response_id, o.ts AS response_ts, o.html, o.etag AS old_etag, o.modified AS old_modified,
+    CASE WHEN o.id IS NULL THEN 'unresolved' WHEN a.etag IS NOT NULL THEN CASE WHEN a.etag = o.etag THEN 'resolved' ELSE 'mismatch' END
+      WHEN a.modified IS NOT NULL THEN CASE WHEN a.modified = o.modified THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS state
+  FROM again a JOIN named n USING (id) ASOF LEFT JOIN last_old o ON n.key = o.key AND a.ts > o.ts)
+SELECT id, ts, url, state, response_id, response_ts,
+  CASE WHEN state IN ('resolved', 'unverified') THEN sha256(html) END AS payload,
+  CASE WHEN state IN ('resolved', 'unverified') THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || length(html) || chr(10)
+    || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, old_etag) || chr(10)
+    || 'last-modified: ' || old_modified END AS headers
+FROM found""")
+def op3_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", header_lines(F.col("headers")))
+
+
+@register("op8_line_dedup", r"""
+WITH cut AS (
+  SELECT page_id, lower(coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '')) AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)),
+      lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS lines FROM pages),
+each AS (SELECT host, unnest(list_distinct(lines)) AS line FROM cut),
+counts AS (SELECT host, line, count(*) AS n FROM each GROUP BY ALL),
+totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY ALL),
+often AS (SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n >= 3 AND n > 0.1 * pages GROUP BY host),
+done AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept
+         FROM cut LEFT JOIN often USING (host))
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+  sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM done""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_site_lines(table(spark, sf_dir, "pages"))
+    return done.select("row.page_id", "host", F.size("lines").cast("bigint").alias("n_lines"),
+                       (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
+                       F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
 @register("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
