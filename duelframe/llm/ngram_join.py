@@ -23,9 +23,9 @@ tokens, so a key beyond the prefix for |x| // 9 + 1 admits no larger partner.
 
 Documents under one key are candidates. They are not paired off: in each round
 a key links its documents to one pivot, another one in every round; the best
-new candidates of each document are verified and components formed. When that
-finds little more, the pairs of a key that are left in different components are
-all verified, so no link that could join two components is left out, and dense
+new candidates of each document are verified and components formed. After
+``ROUNDS`` rounds the pairs of a key that are left in different components are
+all looked at, so no link that could join two components is left out, and dense
 groups cost a few stars only.
 
 Candidates first pass a parity sketch: 1,024 bits, each the parity of the tokens
@@ -64,8 +64,8 @@ FREQUENT = 64  # documents from which on a token may be frequent
 MAX_FREQUENT = 1 << 20
 BLOOM_BITS = 26
 SKETCH = 1 << 10  # bits
-BEST = 8  # candidates of a document that a later round verifies
-MOST_ROUNDS = 8  # of stars, ended sooner by one of little use; the pairs that are left are all verified
+BEST = 8  # candidates of a document that a round looks at
+ROUNDS = 2  # of stars; the pairs that are left are all looked at
 FLUSH = 1 << 21  # tokens or keys held by a task before they are handed on
 
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -415,6 +415,28 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _in_filter(ids, bits):
+    """Whether the filter may hold an id; rows without id pass."""
+
+    @F.arrow_udf("boolean")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            at = _bloom_places(np.asarray(values.fill_null(0)))
+            yield pa.array((bits.value[at >> _U(6)] >> (at & _U(63)) & _U(1)).all(0) | np.asarray(values.is_null()))
+
+    return held(ids.cast("bigint"))
+
+
+def _node_of(text):
+    @F.arrow_udf("bigint")
+    def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [fingerprints(*shingle_sets(part))[0] for _, part in slices(pa.nulls(len(texts)), texts)]
+            yield pa.array(np.concatenate([np.empty(0, np.int64), *parts]))
+
+    return node(text)
+
+
 def _sets_of(bits):
     """(node, tokens) of the rows whose id is in the filter; rows without id pass."""
 
@@ -505,7 +527,7 @@ def _mixed(members: DataFrame, parts_of: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, component (smallest id reachable by links, itself included).
+    """One row per input row: id, node, n_tokens, component (smallest id reachable by links, itself included).
 
     Words are runs of other bytes than \\x20 and \\x09-\\x0D, A-Z in lower case.
     """
@@ -527,14 +549,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tried = links = spark.createDataFrame([], "a bigint, b bigint")
     parts_of = spark.createDataFrame([], "node bigint, component bigint")
     group = members.withColumn("component", F.col("node"))
-    for number in range(MOST_ROUNDS):
+    for number in range(ROUNDS):
         pairs = stored(_round(group, tried, number, BEST))
-        new = _verify(stored(_promising(pairs, nodes)), rows, nodes)
-        tried, links = tried.unionAll(pairs), links.unionAll(new)
+        tried = tried.unionAll(pairs)
+        links = links.unionAll(_verify(stored(_promising(pairs, nodes)), rows, nodes))
         parts_of = components(links)
         group = _mixed(members, parts_of)
-        if 50 * new.count() <= pairs.count():
-            break
     one, two = _numbered(group, 1), _numbered(group, 2)
     rest = (one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
             .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
@@ -546,5 +566,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of_node = nodes.join(parts_of, "node", "left").select("node", "id", F.coalesce("component", "node").alias("set"))
     least = of_node.join(of_node.groupBy("set").agg(F.min("id").alias("least")), "set").select("node", "least")
     return (listed.drop("bits").join(least, "node")
-            .select("id", F.col("size").alias("n_tokens"),
+            .select("id", "node", F.col("size").alias("n_tokens"),
                     F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component")))
+
+
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id is the smallest of their component, with every input column and no other.
+
+    Rows without tokens link with nothing and stay; rows of one component that
+    share its smallest id all stay, as do those of a component without any id.
+    """
+    found = similar_documents(docs, id_col, text_col)
+    gone = stored(found.where("id IS DISTINCT FROM component").select("id", "node").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(gone.select("id")))
+    # only rows that the filter lets through are joined, so the texts of the others are not shuffled
+    marked = rows.withColumn("maybe", _in_filter(F.col("id"), bits))
+    maybe = marked.where("maybe").withColumn("node", _node_of(F.col(f"row.`{text_col}`")))
+    same = maybe["id"].eqNullSafe(gone["id"]) & (maybe["node"] == gone["node"])
+    return marked.where(~F.col("maybe")).select("row").unionAll(maybe.join(gone, same, "left_anti").select("row")).select("row.*")
