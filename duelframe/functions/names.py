@@ -18,9 +18,6 @@ TEAM_NAME_MAP = {
     "Sheffield United": "Sheffield United",
 }
 
-# A mapping table at most this many rows is broadcast; larger ones are shuffle-joined.
-BROADCAST_MAX_ROWS = 100_000
-
 
 def name_map_table(spark: SparkSession, mapping: dict[str, str] | None = None) -> DataFrame:
     rows = list((mapping or TEAM_NAME_MAP).items())
@@ -30,11 +27,9 @@ def name_map_table(spark: SparkSession, mapping: dict[str, str] | None = None) -
 def standardize_names(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
     """Replace ``col`` by its mapped spelling; unmapped names pass through.
 
-    The mapping side is deduplicated on ``from_name`` and broadcast only after
-    its row count is checked against ``BROADCAST_MAX_ROWS``.
+    The mapping side is deduplicated on ``from_name``; the join strategy is
+    left to adaptive execution, which measures that side.
     """
     m = mapping.groupBy("from_name").agg(F.max("to_name").alias("_to"))
-    small = m.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    right = F.broadcast(m) if small else m
-    j = df.join(right, df[col] == right["from_name"], "left")
+    j = df.join(m, df[col] == m["from_name"], "left")
     return j.withColumn(out or col, F.coalesce(F.col("_to"), df[col])).drop("from_name", "_to")

@@ -35,7 +35,7 @@ def enrich_left(df: DataFrame, enrichment: DataFrame, keys: Sequence[str],
     lack newer columns, P6). Row count of ``df`` is preserved.
     """
     keys = list(keys)
-    wanted = [c for c in (columns or enrichment.columns) if c in enrichment.columns and c not in keys]
+    wanted = [c for c in (enrichment.columns if columns is None else columns) if c in enrichment.columns and c not in keys]
     right = enrichment.select(*keys, *wanted, *([tie] if tie and tie not in wanted else []))
     right = dedupe_latest(right, keys, tie)
     if tie and tie not in wanted:
@@ -48,20 +48,3 @@ def coverage(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(column).alias("n_covered"), F.count(F.lit(1)).alias("n_total")) \
         .select("n_covered", "n_total",
                 (F.col("n_covered") / F.col("n_total")).alias("coverage"))
-
-
-def lookup_both_sides(matches: DataFrame, side_table: DataFrame, date_col: str, home: str, away: str,
-                      side_keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    """Two left lookups of a per-(date, team) table, prefixed home_/away_.
-
-    ``side_keys`` = (date key, team key) in ``side_table``.
-    """
-    d, t = side_keys
-    st = dedupe_latest(side_table.select(d, t, *value_cols), [d, t])
-    h = st.select(F.col(d).alias("_hd"), F.col(t).alias("_ht"),
-                  *[F.col(c).alias(f"home_{c}") for c in value_cols])
-    a = st.select(F.col(d).alias("_ad"), F.col(t).alias("_at"),
-                  *[F.col(c).alias(f"away_{c}") for c in value_cols])
-    out = matches.join(h, (F.col(date_col) == F.col("_hd")) & (F.col(home) == F.col("_ht")), "left")
-    out = out.join(a, (F.col(date_col) == F.col("_ad")) & (F.col(away) == F.col("_at")), "left")
-    return out.drop("_hd", "_ht", "_ad", "_at")

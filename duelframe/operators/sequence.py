@@ -6,11 +6,12 @@ whole entity's history to one task; with a hot entity holding a third of all
 rows that task is the job. This module splits the work:
 
 1. ``sequence_ordinal`` gives each row its 0-based position ``k`` inside its
-   key group. Rows are counted per (key, segment), where a segment is a
-   monotone coarsening of the order (by default the timestamp plus a block of
-   ids, so a segment never exceeds ``SEGMENT_ID_BLOCK`` rows); a running total
-   over that count table gives each segment's offset, and ``row_number`` runs
-   inside a segment only.
+   key group. The rows are range-partitioned by (key, order) and written once,
+   with the number of their range: Spark's sampled splitters make the ranges
+   even whatever the skew, so a hot key is simply spread over many ranges and
+   a range holds whole stretches of the order. ``row_number`` runs inside
+   (key, range); the offsets are running sums over one row per (key, range),
+   at most keys + ranges rows, whatever the timestamps and ids look like.
 2. ``chunk_with_halo`` cuts each key's sequence into chunks of ``chunk_rows``
    positions and copies the last ``halo`` rows of every chunk into the next
    one (flagged ``_halo``). A ROWS frame reaching back at most ``halo`` rows
@@ -27,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 CHUNK_CONF = "duelframe.sequence.chunkRows"
 DEFAULT_CHUNK_ROWS = 1_000_000
 
@@ -36,77 +39,35 @@ def chunk_rows_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
-# Rows of one (key, timestamp) are further split into blocks of this many ids,
-# so no segment holds more rows than this even when one instant is hot.
-SEGMENT_ID_BLOCK = 1_000_000
-
-
-def _segment(order: Sequence[str], segment: Column | None) -> Column:
-    """Default segment: (timestamp, id block) — monotone in the (ts, id) order.
-
-    Each segment holds at most ``SEGMENT_ID_BLOCK`` rows of a key, whatever
-    the skew; the offsets table has one row per (key, segment).
-    """
-    if segment is not None:
-        return segment
-    if len(order) >= 2:
-        return F.struct(F.col(order[0]).alias("t"),
-                        F.floor(F.col(order[1]) / F.lit(SEGMENT_ID_BLOCK)).alias("b"))
-    return F.struct(F.col(order[0]).alias("t"))
-
-
-# An offsets table at most this many rows is broadcast (checked by counting it);
-# it has one row per (key, segment), so it is small whenever segments are dense.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def _bounded_broadcast(small: DataFrame) -> DataFrame:
-    """Materialise a derived table once, then broadcast it only if its row count is small.
-
-    The table is written to the checkpoint folder first, so the size check
-    and the join read the same rows and the counting pass runs once.
-    """
-    from ..session import cut_lineage
-    small = cut_lineage(small)
-    n = small.limit(BROADCAST_MAX_ROWS + 1).count()
-    return F.broadcast(small) if n <= BROADCAST_MAX_ROWS else small
-
-
 def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "match_id"),
-                     name: str = "k", segment: Column | None = None,
-                     sub_keys: Sequence[str] = (), sub_name: str | None = None,
+                     name: str = "k", sub_keys: Sequence[str] = (), sub_name: str | None = None,
                      size_name: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of the row in its ``keys`` group by ``order``.
 
-    ``segment`` must be monotone in ``order`` (equal order prefix -> equal or
-    later segment). With ``sub_keys`` a second ordinal ``sub_name`` is added
-    for the finer group ``keys + sub_keys`` from the same counting pass.
-    With ``size_name`` the group's row count is added too (from the same
-    small segment table, no extra pass).
+    With ``sub_keys`` a second ordinal ``sub_name`` is added for the finer
+    group ``keys + sub_keys`` from the same ranges. With ``size_name`` the
+    group's row count is added too. Without keys the whole table is one group.
     """
-    keys, sub_keys = list(keys), list(sub_keys)
-    d = df.withColumn("_seg", _segment(order, segment))
-    fine = keys + sub_keys
-    before = Window.unboundedPreceding
-    counts = d.groupBy(*fine, "_seg").agg(F.count(F.lit(1)).alias("_cnt"))
-    # rows of the whole key group in earlier segments (small table: keys x segments)
-    seg_tot = counts.groupBy(*keys, "_seg").agg(F.sum("_cnt").alias("_n"))
-    w_key = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(before, -1)
-    extra = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size_name)] if size_name else []
-    offs = seg_tot.select(*keys, "_seg", F.coalesce(F.sum("_n").over(w_key), F.lit(0)).alias("_off"), *extra)
-    if sub_keys:
-        # the finer group's offsets come from the same count table; one join carries both
-        w_sub = Window.partitionBy(*fine).orderBy("_seg").rowsBetween(before, -1)
-        sub = counts.select(*fine, "_seg", F.coalesce(F.sum("_cnt").over(w_sub), F.lit(0)).alias("_soff"))
-        offs = sub.join(offs, [*keys, "_seg"])
-    d = d.join(_bounded_broadcast(offs), [*fine, "_seg"] if sub_keys else [*keys, "_seg"])
-    rn = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
-    out = [(F.col("_off") + rn - 1).cast("bigint").alias(name)]
+    keys, fine = list(keys), [*keys, *sub_keys]
+    laid = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = laid.groupBy(*fine, "_range").agg(F.count(F.lit(1)).alias("_n"))
+
+    def offsets(group: Sequence[str], off: str, size: str | None = None) -> DataFrame:
+        per = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_n"))
+        earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        total = [F.sum("_n").over(Window.partitionBy(*group)).alias(size)] if size else []
+        return per.select(*group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(off), *total)
+
+    def place(group: Sequence[str], off: str, out: str) -> Column:
+        inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+        return (F.col(off) + inside - 1).cast("bigint").alias(out)
+
+    d = laid.join(offsets(keys, "_off", size_name), [*keys, "_range"])
+    out = [place(keys, "_off", name)]
     if sub_keys:
-        rn2 = F.row_number().over(Window.partitionBy(*fine, "_seg").orderBy(*order))
-        out.append((F.col("_soff") + rn2 - 1).cast("bigint").alias(sub_name or f"{name}_sub"))
-    keep = [c for c in d.columns if c not in ("_seg", "_off", "_soff") and c not in (size_name,)]
-    return d.select(*keep, *([size_name] if size_name else []), *out)
+        d = d.join(offsets(fine, "_soff"), [*fine, "_range"])
+        out.append(place(fine, "_soff", sub_name or f"{name}_sub"))
+    return d.select(*df.columns, *([size_name] if size_name else []), *out)
 
 
 def chunk_with_halo(df: DataFrame, k: str, halo: int, chunk_rows: int | None = None,
@@ -145,7 +106,7 @@ def running_before(df: DataFrame, keys: Sequence[str], k: str, values: dict[str,
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, chunk_col,
                       *[F.sum(f"_t_{n}").over(w_prev).alias(f"_o_{n}") for n in values])
-    d = d.join(_bounded_broadcast(offs), [*keys, chunk_col], "left")
+    d = d.join(offs, [*keys, chunk_col], "left")
     helpers = {f"_in_{n}" for n in values} | {f"_o_{n}" for n in values}
     return d.select(*[F.col(c) for c in d.columns if c not in helpers],
                     *[(F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)

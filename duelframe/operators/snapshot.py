@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import is_weekend, month
+
 # Fixed fallback values that must equal the reference's (stat -> (column stem, fallback)).
 SNAPSHOT_STATS = {
     "form_points": ("form_points", 7.0),
@@ -59,34 +61,42 @@ def opponent_candidates(entities: DataFrame, chosen: DataFrame, team: str = "tea
             .select(pool, F.col("_chosen").alias("chosen"), F.col(team).alias("opponent")))
 
 
-def fixture_rows(fixtures: DataFrame, snapshot: DataFrame, pool: str = "pool",
-                 home: str = "home", away: str = "away") -> DataFrame:
-    """Scoring rows for (pool, home, away) fixtures from the latest snapshots.
+def _latest(features: DataFrame, keys: dict[str, str], values: list[str],
+            order: tuple[str, ...] = ("ts", "match_id")) -> DataFrame:
+    """(keys as named, values) of the latest row of each key."""
+    last = features.groupBy(*[F.col(k).alias(n) for k, n in keys.items()]).agg(
+        F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
+    return last.select(*keys.values(), *[F.col(f"_v.{v}").alias(v) for v in values])
 
-    The home side reads its latest home snapshot, the away side its latest
-    away snapshot; entities without one get the reference's fallbacks.
-    """
-    def side(venue: str, prefix: str):
-        s = snapshot.where(F.col("venue") == venue)
-        return s.select(F.col("pool").alias(f"_{prefix}p"), F.col("team").alias(f"_{prefix}t"),
-                        *[F.col(n).alias(f"{prefix}{n}") for n in SNAPSHOT_STATS])
 
-    h, a = side("home", "home_"), side("away", "away_")
-    out = fixtures.join(h, (fixtures[pool] == h["_home_p"]) & (fixtures[home] == h["_home_t"]), "left")
-    out = out.join(a, (out[pool] == a["_away_p"]) & (out[away] == a["_away_t"]), "left")
-    fills = []
-    for prefix in ("home_", "away_"):
-        for n, (_, fb) in SNAPSHOT_STATS.items():
-            fills.append(F.coalesce(F.col(prefix + n), F.lit(fb)).alias(prefix + n))
-    return out.select(
-        *fixtures.columns, *fills,
-        (F.coalesce(F.col("home_elo"), F.lit(1500.0)) - F.coalesce(F.col("away_elo"), F.lit(1500.0)))
-        .alias("elo_diff"),
-        F.lit(SCORING_DEFAULTS["avg_reds"]).alias("home_avg_reds"),
-        F.lit(SCORING_DEFAULTS["avg_reds"]).alias("away_avg_reds"),
-        F.lit(SCORING_DEFAULTS["h2h_home_win_rate"]).alias("h2h_home_win_rate"),
-        F.lit(SCORING_DEFAULTS["rest_days"]).alias("home_rest_days"),
-        F.lit(SCORING_DEFAULTS["rest_days"]).alias("away_rest_days"),
-        F.lit(0).alias("rest_diff"),
-        F.lit(SCORING_DEFAULTS["is_weekend"]).alias("is_weekend"),
-    )
+def fixture_rows(fixtures: DataFrame, features: DataFrame) -> DataFrame:
+    """Every model input, under its own name, for fixtures (pool, home, away) that are still to come.
+
+    The home side brings all ``home_`` columns of its latest contest at home,
+    the away side all ``away_`` columns of its latest one away, the pair its
+    latest head-to-head rates; differences are computed anew. A side without
+    such a contest gets the fallbacks, and null where there is none (models
+    impute 0). ``ts`` and odds columns of ``fixtures`` are used if they are
+    there; without ``ts`` the contest is on a weekend.
+    """
+    from ..plans.features import BASE_NUMERIC_COLS, DIFFS, ODDS_COLS
+    diffs = [*DIFFS, ("elo_diff", "home_elo", "away_elo"), ("venue_elo_diff", "home_elo_home", "away_elo_away")]
+    pair = ["h2h_home_win_rate", "h2h_draw_rate"]
+    out = fixtures
+    for side in ("home", "away"):
+        own = [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_")]
+        out = out.join(_latest(features, {"pool": "pool", side: side}, own), ["pool", side], "left")
+    out = out.join(_latest(features, {c: c for c in ("pool", "home", "away")}, pair), ["pool", "home", "away"], "left")
+    fallback = {f"{side}_{stem}": value for side in ("home", "away") for stem, value in SNAPSHOT_STATS.values()}
+    fallback |= {"h2h_home_win_rate": SCORING_DEFAULTS["h2h_home_win_rate"], "home_rest_days": SCORING_DEFAULTS["rest_days"],
+                 "away_rest_days": SCORING_DEFAULTS["rest_days"], "home_avg_reds": SCORING_DEFAULTS["avg_reds"],
+                 "away_avg_reds": SCORING_DEFAULTS["avg_reds"]}
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in fallback.items()})
+    has_ts = "ts" in fixtures.columns
+    made = {o: F.col(h).cast("double") - F.col(a).cast("double") for o, h, a in diffs}
+    made["is_weekend"] = is_weekend("ts") if has_ts else F.lit(SCORING_DEFAULTS["is_weekend"])
+    made["month"] = month("ts") if has_ts else F.lit(None).cast("int")
+    made |= {c: F.lit(None).cast("double") for c in ODDS_COLS if c not in fixtures.columns}
+    out = out.withColumns(made)
+    rest = [c for c in fixtures.columns if c not in ODDS_COLS]
+    return out.select(*rest, *[F.col(c).cast("double").alias(c) for c in (*BASE_NUMERIC_COLS, *ODDS_COLS)])

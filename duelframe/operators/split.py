@@ -1,10 +1,9 @@
 """Time-ordered splits and label encoding.
 
-The global ordinal comes from ``sequence_ordinal`` with no key: rows are
-counted per day, a running total over the (small) day table gives offsets,
-and ``row_number`` runs inside a day. No single-partition window over the
-whole table is needed, and the table size ``n`` rides along in the same
-small offsets table.
+The global ordinal comes from ``sequence_ordinal`` with no key: a running total
+over one count per range gives offsets, and ``row_number`` runs inside a range.
+No window covers the whole table, and the table size ``n`` rides along with the
+offsets.
 """
 
 from __future__ import annotations

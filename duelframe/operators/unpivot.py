@@ -65,11 +65,11 @@ def entries(matches: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 def repivot(per_side: DataFrame, value_cols: Sequence[str], key: str = S.MATCH_ID,
             side_col: str = "side") -> DataFrame:
-    """(key, side, v...) -> (key, home_v..., away_v...): home rows joined to away rows.
+    """(key, side, v...) -> (key, home_v..., away_v...) by one aggregation.
 
-    Every contest has exactly one row per side, so this is a 1:1 equi-join on
-    ``key`` (no aggregation functions per column; uniform keys, no skew).
+    A contest has one row per side. Each side's values travel as one struct,
+    so the upstream pipeline runs once and a group has two rows.
     """
-    h = per_side.where(F.col(side_col) == "h").select(key, *[F.col(c).alias(f"home_{c}") for c in value_cols])
-    a = per_side.where(F.col(side_col) == "a").select(key, *[F.col(c).alias(f"away_{c}") for c in value_cols])
-    return h.join(a, key)
+    values = F.struct(*[F.col(c) for c in value_cols])
+    sides = per_side.groupBy(key).agg(*[F.first(F.when(F.col(side_col) == s, values), ignorenulls=True).alias(s) for s in ("h", "a")])
+    return sides.select(key, *[F.col(f"{s}.{c}").alias(f"{name}_{c}") for s, name in (("h", "home"), ("a", "away")) for c in value_cols])

@@ -557,7 +557,6 @@ def _snapshot_oracle(select: str) -> str:
 @register("latest_snapshot", _snapshot_oracle("SELECT * FROM snap"), text_cols=("pool", "venue"))
 def q_latest_snapshot(spark, sf):
     from .operators.snapshot import latest_snapshot
-    from .plans.features import build_features
     return round_doubles(latest_snapshot(feature_table(spark, sf)))
 
 
@@ -586,7 +585,7 @@ p AS (SELECT o_orderkey, date_text,
              coalesce(try_strptime(date_text, '%d/%m/%y'), try_strptime(date_text, '%d/%m/%Y')) AS d0
       FROM t)
 SELECT o_orderkey, date_text,
-       CAST(CASE WHEN year(d0) >= year(current_date) + 50 THEN d0 - INTERVAL 100 YEAR ELSE d0 END AS DATE) AS d
+       CAST(d0 AS DATE) AS d
 FROM p WHERE d0 IS NOT NULL""", text_cols=("date_text", "d"))
 def q_clean_dates(spark, sf):
     from .functions.calendar import parse_day_first
@@ -701,7 +700,6 @@ def q_feed_rejects(spark, sf):
 # ------------------------------------------------------------ train, score ---
 def _labeled_split(spark, sf):
     from .operators.split import label_indexer, temporal_split
-    from .plans.features import build_features
     feats = feature_table(spark, sf)
     labeled = label_indexer().fit(feats).transform(feats)
     return temporal_split(labeled)
@@ -724,27 +722,93 @@ def q_train_score(spark, sf):
     return top_outcomes(class_probabilities(model, test))
 
 
-@register("fixture_rows", _snapshot_oracle("""
-, fx AS (SELECT pool, home, away, match_id FROM feat
-         WHERE ts = (SELECT max(ts) FROM feat f2 WHERE f2.pool = feat.pool))
-SELECT fx.match_id, fx.pool, fx.home, fx.away,
-  coalesce(h.form_points, 7.0) AS home_form_points, coalesce(a.form_points, 7.0) AS away_form_points,
-  coalesce(h.elo, 1500.0) AS home_elo, coalesce(a.elo, 1500.0) AS away_elo,
-  coalesce(h.elo, 1500.0) - coalesce(a.elo, 1500.0) AS elo_diff,
-  coalesce(h.venue_form, 6.0) AS home_venue_form, coalesce(a.venue_form, 6.0) AS away_venue_form
-FROM fx LEFT JOIN snap h ON h.pool = fx.pool AND h.team = fx.home AND h.venue = 'home'
-        LEFT JOIN snap a ON a.pool = fx.pool AND a.team = fx.away AND a.venue = 'away'""".replace(
-    "\n, fx AS", ",\nfx AS", 1)), text_cols=("pool",))
+def _fixture_oracle() -> str:
+    from .operators.snapshot import SCORING_DEFAULTS, SNAPSHOT_STATS
+    from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
+    feat = O.features_sql(ID_COLS, BASE_NUMERIC_COLS, ODDS_COLS, DIFFS)
+    fallback = {stem: v for stem, v in SNAPSHOT_STATS.values()} | {"rest_days": SCORING_DEFAULTS["rest_days"],
+                                                                  "avg_reds": SCORING_DEFAULTS["avg_reds"]}
+    diffs = {o: (h, a) for o, h, a in DIFFS} | {"elo_diff": ("home_elo", "away_elo"), "venue_elo_diff": ("home_elo_home", "away_elo_away")}
+
+    def value(c):
+        side, stem = c.split("_", 1)
+        return f"coalesce({side[0]}.{c}, {fallback[stem]})" if stem in fallback else f"{side[0]}.{c}"
+
+    special = {"h2h_home_win_rate": "coalesce(p.h2h_home_win_rate, 0.5)", "h2h_draw_rate": "p.h2h_draw_rate", "is_weekend": "1", "month": "NULL"}
+    cols = [special.get(c) or (f"({value(diffs[c][0])}) - ({value(diffs[c][1])})" if c in diffs else value(c)) for c in BASE_NUMERIC_COLS]
+
+    def last(*keys):
+        return f"SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY ts DESC, match_id DESC) = 1"
+
+    return (f"WITH feat AS MATERIALIZED ({feat}),\nhl AS ({last('pool', 'home')}),\nal AS ({last('pool', 'away')}),\n"
+            f"pl AS ({last('pool', 'home', 'away')}),\n"
+            "fx AS (SELECT pool, home, away FROM feat UNION SELECT pool, away, home FROM feat)\n"
+            "SELECT fx.pool, fx.home, fx.away, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in zip(BASE_NUMERIC_COLS, cols))
+            + ", " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ODDS_COLS)
+            + "\nFROM fx LEFT JOIN hl h ON h.pool = fx.pool AND h.home = fx.home LEFT JOIN al a ON a.pool = fx.pool AND a.away = fx.away\n"
+              "LEFT JOIN pl p ON p.pool = fx.pool AND p.home = fx.home AND p.away = fx.away")
+
+
+def _fixtures(feats: DataFrame) -> DataFrame:
+    """Every ordered pair that has met, and each the other way round."""
+    pairs = feats.select("pool", "home", "away")
+    return pairs.unionAll(feats.select("pool", "away", "home")).distinct()
+
+
+@register("fixture_rows", _fixture_oracle(), text_cols=("pool",))
 def q_fixture_rows(spark, sf):
-    """The last day's contests of each pool scored as upcoming fixtures from end-of-data snapshots."""
-    from .operators.snapshot import fixture_rows, latest_snapshot
-    from .plans.features import build_features
+    """All model inputs of upcoming contests from the sides' latest rows."""
+    from .operators.snapshot import fixture_rows
+    feats = feature_table(spark, sf)
+    return round_doubles(fixture_rows(_fixtures(feats), feats))
+
+
+@register("fixture_scores", O.with_contest("""
+fx AS (SELECT pool, home, away FROM contest UNION SELECT pool, away, home FROM contest)
+SELECT pool, home, away, 'A,D,H' AS outcomes, true AS sums_to_one, true AS falls FROM fx"""), text_cols=("pool", "outcomes", "sums_to_one", "falls"))
+def q_fixture_scores(spark, sf):
+    """The fitted model over the fixtures; the probabilities' properties are compared, not their values."""
+    from .operators.snapshot import fixture_rows
+    from .plans.evaluate import top_outcomes
+    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
+    from .plans.training import class_probabilities, fit_weighted, model_catalogue
+    s = _labeled_split(spark, sf)
+    pipe = model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_gbt=False)["logistic_balanced"]
     feats = feature_table(spark, sf)
-    last_day = feats.groupBy("pool").agg(F.max("ts").alias("ts"))
-    fx = feats.join(last_day, ["pool", "ts"]).select("match_id", "pool", "home", "away")
-    rows = fixture_rows(fx, latest_snapshot(feats))
-    return round_doubles(rows.select("match_id", "pool", "home", "away", "home_form_points", "away_form_points",
-                                     "home_elo", "away_elo", "elo_diff", "home_venue_form", "away_venue_form"))
+    scored = class_probabilities(fit_weighted(pipe, s.where(F.col("role") == "train")), fixture_rows(_fixtures(feats), feats))
+    keys = ("pool", "home", "away")
+    kinds = dict(feats.dtypes)
+    scored = scored.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})  # imputed categories are text
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    ranked = top_outcomes(scored, keys=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "outcome", "probability"))).alias("r"))
+    sums = scored.select(*keys, (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+    down = F.forall(F.sequence(F.lit(2), F.size("r")), lambda i: F.element_at("r", i)["probability"] <= F.element_at("r", i - 1)["probability"])
+    return ranked.join(sums, list(keys)).select(
+        *keys, F.array_join(F.array_sort(F.transform("r", lambda x: x["outcome"])), ",").alias("outcomes"), "sums_to_one", down.alias("falls"))
+
+
+@register("season_ingest", O.with_contest("""
+x AS (SELECT 1)
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts, CAST(home AS VARCHAR) AS home, CAST(away AS VARCHAR) AS away, hg, ag, ftr, hst, odd_h
+FROM contest"""), text_cols=("ts", "home", "away", "ftr"))
+def q_season_ingest(spark, sf):
+    """Season files written as text with three kinds of headers and dates, read back and cleaned."""
+    import uuid
+
+    from .session import shared_folder
+    from .sources.seasons import load_season_dir, to_contests
+    c = contests(spark, sf).where("ftr IS NOT NULL")
+    kind = F.pmod(F.col("match_id"), F.lit(3))
+    date = (F.when(kind == 0, F.date_format("ts", "dd/MM/yyyy")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd"))
+            .otherwise(F.concat(F.date_format("ts", "d/M/yy"), F.lit(" 15:00"))))
+    text = c.select(kind.alias("kind"), date.alias("Date"), F.col("home").alias("HomeTeam"), F.col("away").alias("AwayTeam"),
+                    F.col("hg").alias("FTHG"), F.col("ag").alias("FTAG"), F.col("ftr").alias("FTR"), F.col("hst").alias("HST"),
+                    F.col("odd_h").alias("B365H"), F.lit('say "no, thanks"').alias('a "quoted, header"'))
+    folder = f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}/seasons-{uuid.uuid4().hex}"
+    names = [x for x in text.columns if x != "kind"]
+    for k, order in enumerate((names, names[::-1], [*names[1:], names[0]])):  # another order of columns in each kind of file
+        text.where(F.col("kind") == k).select(*order).write.mode("append").option("header", True).option("escape", '"').csv(folder)
+    return to_contests(load_season_dir(spark, folder)).select("ts", "home", "away", "hg", "ag", "ftr", "hst", "odd_h")
 
 
 @register("split_summary", O.with_contest(SPLIT_SQL + """

@@ -49,11 +49,14 @@ def read_enrichment(spark: SparkSession, path: str) -> DataFrame | None:
 def merge_enrichment(contests: DataFrame, enrichment: DataFrame | None, keys: list[str] | None = None) -> DataFrame:
     """Left-join provider columns (deduped on key); absent provider -> typed NULL columns.
 
-    Contest columns win: provider values fill only what the contest lacks.
+    A contest's own value wins; where it is null the provider's is taken.
     """
     keys = keys or KEYS
     if enrichment is None:
         return with_optional(contests, OPTIONAL_TYPES)
-    wanted = [c for c in ENRICHMENT_RENAMES.values() if c not in keys and c in enrichment.columns
-              and c not in contests.columns]
-    return with_optional(enrich_left(contests, enrichment, keys, columns=wanted), OPTIONAL_TYPES)
+    wanted = [c for c in ENRICHMENT_RENAMES.values() if c not in keys and c in enrichment.columns]
+    both = [c for c in wanted if c in contests.columns]
+    provider = enrichment.withColumnsRenamed({c: f"_provider_{c}" for c in both})
+    merged = enrich_left(contests, provider, keys, columns=[f"_provider_{c}" if c in both else c for c in wanted])
+    merged = merged.withColumns({c: F.coalesce(F.col(c), F.col(f"_provider_{c}")) for c in both})
+    return with_optional(merged.drop(*[f"_provider_{c}" for c in both]), OPTIONAL_TYPES)

@@ -9,7 +9,7 @@ processed in parallel and no document is ever gathered in one place.
 Semantics kept from the reference:
 - only finished matches (``isResult`` true) are kept (P3);
 - a match with a missing key or a bad number is skipped, not fatal (P4) —
-  skipped rows are returned by ``match_rejects``;
+  skipped rows keep ``_ok = false`` in ``finished_match_rows``;
 - forecast: missing or empty object -> NULL; a key missing inside a present
   object -> 0 (P19);
 - pressing ratio ``att / def`` when def > 0 else 0; missing att -> 0,
@@ -113,11 +113,6 @@ def flatten_matches(parsed: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
     return _match_rows(parsed, keys).where("_ok").drop("_ok")
 
 
-def match_rejects(parsed: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Finished match objects skipped as malformed (side output of P4)."""
-    return _match_rows(parsed, keys).where(~F.col("_ok")).drop("_ok")
-
-
 def flatten_team_history(parsed: DataFrame, keys: Sequence[str] = ("doc_id",),
                          name_map: DataFrame | None = None) -> DataFrame:
     """(keys, date, team) -> ppda, xpts, npxg, deep; later entries overwrite.

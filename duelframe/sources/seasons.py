@@ -10,6 +10,7 @@ The number of scans is the number of distinct headers, not of files.
 
 from __future__ import annotations
 
+import csv
 import posixpath
 from collections import OrderedDict
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import parse_day_first
 from ..functions.columns import require_columns
+from ..operators.sequence import sequence_ordinal
 
 # Required season-file columns and the header -> canonical name map.
 REQUIRED_COLUMNS = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"]
@@ -60,8 +62,12 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
         line = reader.readLine() or ""
     finally:
         stream.close()
-    line = line.lstrip("﻿")
-    return tuple(h.strip().strip('"') for h in line.split(","))
+    # blank names (trailing commas) are named by their place, repeated ones after it
+    names: list[str] = []
+    for i, h in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
+        name = h.strip() or f"_blank{i}"
+        names.append(name if name not in names else f"{name}_{i}")
+    return tuple(names)
 
 
 def read_season_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -72,7 +78,7 @@ def read_season_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = []
     for header, files in groups.items():
         schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        df = (spark.read.option("header", True).option("encoding", "UTF-8").schema(schema)
+        df = (spark.read.option("header", True).option("encoding", "UTF-8").option("escape", "\"").schema(schema)
               .option("enforceSchema", True).csv(files))
         parts.append(df.withColumn("source_file", F.col("_metadata.file_name")))
     out = parts[0]
@@ -91,8 +97,9 @@ def to_contests(raw: DataFrame, pool: str = "default", keep_bad: bool = False) -
 
     Dates are parsed day-first (4-digit year, then 2-digit); rows whose date,
     teams or result is missing are dropped (P2); with ``keep_bad=True`` they
-    are returned instead (the quarantine side). ``match_id`` is a stable hash
-    of (file, date text, home, away); ``season`` is the file name.
+    are returned instead (the quarantine side). ``match_id`` is the row's place
+    in the order of (date, file, all columns), so it is unique even when one
+    pair meets twice on a day or a line is repeated; ``season`` is the file name.
     """
     present = {c: SEASON_COLUMNS[c] for c in raw.columns if c in SEASON_COLUMNS}
     cols = []
@@ -108,8 +115,9 @@ def to_contests(raw: DataFrame, pool: str = "default", keep_bad: bool = False) -
     ok = (F.col("ts").isNotNull() & F.col("home").isNotNull() & F.col("away").isNotNull()
           & F.col("ftr").isNotNull())
     d = d.where(~ok if keep_bad else ok)
+    rest = [c for c in d.columns if c not in ("ts", "source_file")]
+    d = sequence_ordinal(d, [], order=["ts", "source_file", *rest], name="match_id")
     return d.select(
-        F.xxhash64("source_file", "date_text", "home", "away").alias("match_id"),
-        "ts", F.col("source_file").alias("season"), F.lit(pool).alias("pool"),
-        *[c for c in d.columns if c not in ("ts", "source_file", "date_text")],
+        "match_id", "ts", F.col("source_file").alias("season"), F.lit(pool).alias("pool"),
+        *[c for c in rest if c != "date_text"],
     )
