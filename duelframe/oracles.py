@@ -26,14 +26,14 @@ tm AS (
   SELECT match_id, ts, season, pool, home AS team, away AS opp, 'h' AS side,
          CASE ftr WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS points,
          hg AS scored, ag AS conceded, coalesce(hs, 0) AS shots, coalesce(hst, 0) AS sot,
-         0 AS corners, 0 AS fouls, 0 AS yellows, 0 AS reds,
+         coalesce(hc, 0) AS corners, coalesce(hf, 0) AS fouls, coalesce(hy, 0) AS yellows, coalesce(hr, 0) AS reds,
          xg_h AS xg, xg_a AS xga, npxg_h AS npxg, ppda_h AS ppda, deep_h AS deep, xpts_h AS xpts,
          fc_w AS fw, fc_d AS fd, fc_l AS fl
   FROM cx
   UNION ALL
   SELECT match_id, ts, season, pool, away, home, 'a',
          CASE ftr WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END,
-         ag, hg, coalesce(as_, 0), coalesce(ast_, 0), 0, 0, 0, 0,
+         ag, hg, coalesce(as_, 0), coalesce(ast_, 0), coalesce(ac, 0), coalesce(af, 0), coalesce(ay, 0), coalesce(ar, 0),
          xg_a, xg_h, npxg_a, ppda_a, deep_a, xpts_a, fc_l, fc_d, fc_w
   FROM cx
 ),
@@ -267,8 +267,12 @@ odds AS (
          THEN (1 / odd_d) / ((1 / odd_h) + (1 / odd_d) + (1 / odd_a)) END AS b365_prob_d,
     CASE WHEN odd_h > 0 AND odd_d > 0 AND odd_a > 0
          THEN (1 / odd_a) / ((1 / odd_h) + (1 / odd_d) + (1 / odd_a)) END AS b365_prob_a,
-    CAST(NULL AS DOUBLE) AS avg_prob_h, CAST(NULL AS DOUBLE) AS avg_prob_d,
-    CAST(NULL AS DOUBLE) AS avg_prob_a
+    CASE WHEN avg_h > 0 AND avg_d > 0 AND avg_a > 0
+         THEN (1 / avg_h) / ((1 / avg_h) + (1 / avg_d) + (1 / avg_a)) END AS avg_prob_h,
+    CASE WHEN avg_h > 0 AND avg_d > 0 AND avg_a > 0
+         THEN (1 / avg_d) / ((1 / avg_h) + (1 / avg_d) + (1 / avg_a)) END AS avg_prob_d,
+    CASE WHEN avg_h > 0 AND avg_d > 0 AND avg_a > 0
+         THEN (1 / avg_a) / ((1 / avg_h) + (1 / avg_d) + (1 / avg_a)) END AS avg_prob_a
   FROM contest
 )"""
 

@@ -258,13 +258,12 @@ def q_features_full(spark, sf):
 
 
 # ------------------------------------------------------- odds, enrichment ---
-@register("odds_probs", O.with_contest(O.ODDS_SQL + "\nSELECT match_id, b365_prob_h, b365_prob_d, b365_prob_a FROM odds"))
+@register("odds_probs", O.with_contest(O.ODDS_SQL + "\nSELECT * FROM odds"))
 def q_odds_probs(spark, sf):
     from .functions.odds import implied_probs
-    c = contests(spark, sf)
-    h, d, a = implied_probs("odd_h", "odd_d", "odd_a")
-    return round_doubles(c.select("match_id", h.alias("b365_prob_h"), d.alias("b365_prob_d"),
-                                  a.alias("b365_prob_a")))
+    books = {"b365": implied_probs("odd_h", "odd_d", "odd_a"), "avg": implied_probs("avg_h", "avg_d", "avg_a")}
+    probs = [p.alias(f"{book}_prob_{o}") for book, each in books.items() for p, o in zip(each, "hda")]
+    return round_doubles(contests(spark, sf).select("match_id", *probs))
 
 
 ENRICH_COLS = ["npxg_h", "npxg_a", "ppda_h", "ppda_a", "deep_h", "deep_a", "xpts_h", "xpts_a",
@@ -274,7 +273,9 @@ ENRICH_COLS = ["npxg_h", "npxg_a", "ppda_h", "ppda_a", "deep_h", "deep_a", "xpts
 @register("enrich_left", O.with_tm(
     "x AS (SELECT 1)\nSELECT match_id, " + ", ".join(ENRICH_COLS) + " FROM cx"))
 def q_enrich_left(spark, sf):
-    return round_doubles(contests(spark, sf).select("match_id", *ENRICH_COLS))
+    stats = order_stats(spark, sf)
+    joined = enrich_left(contest_view(spark, sf, stats), enrichment_view(spark, sf, stats), ENRICH_KEYS, tie="src_id")
+    return round_doubles(joined.select("match_id", *ENRICH_COLS))
 
 
 @register("coverage", O.with_tm(
@@ -605,7 +606,7 @@ def q_clean_dates(spark, sf):
 def q_optional_columns(spark, sf):
     from . import schema as S
     from .functions.columns import count_or_zero, numeric_or_null, with_optional
-    c = contests(spark, sf).drop("hs", "odd_h")
+    c = contests(spark, sf).drop("hs", "odd_h", "hc")
     c = with_optional(c, S.OPTIONAL_TYPES)
     return round_doubles(c.select("match_id", count_or_zero("hs").alias("hs"), count_or_zero("hst").alias("hst"),
                                   count_or_zero("hc").alias("hc"), numeric_or_null("odd_h").alias("odd_h"),

@@ -90,6 +90,13 @@ def contest_view(spark: SparkSession, sf_dir: str, stats: DataFrame | None = Non
     def odd(x):
         return F.when(household, None).otherwise(F.lit(1.1) + (F.col(x) % 40) / F.lit(10.0))
 
+    def mean_odd(x):
+        return F.lit(1.2) + (F.col(x) % 30) / F.lit(10.0)
+
+    medium = F.col("o_orderpriority") == "3-MEDIUM"
+    # the second book also holds zero and negative odds
+    book = {"avg_h": mean_odd("_p"), "avg_a": mean_odd("_q"),
+            "avg_d": F.when(F.col("_n") % 9 == 0, 0.0).when(F.col("_n") % 9 == 1, -2.0).otherwise(mean_odd("_n"))}
     return agg.select(
         F.col("o_orderkey").alias("match_id"),
         F.col("o_orderdate").alias("ts"),
@@ -103,6 +110,12 @@ def contest_view(spark: SparkSession, sf_dir: str, stats: DataFrame | None = Non
         F.when(low, None).otherwise(F.col("_xh") / F.lit(100.0)).alias("xg_h"),
         F.when(low, None).otherwise(F.col("_xa") / F.lit(100.0)).alias("xg_a"),
         odd("_q").alias("odd_h"), odd("_n").alias("odd_d"), odd("_p").alias("odd_a"),
+        F.when(medium, None).otherwise(F.col("_deep_h")).cast("int").alias("hc"),
+        F.when(medium, None).otherwise(F.col("_deep_a")).cast("int").alias("ac"),
+        (F.col("_n") % 13).cast("int").alias("hf"), (F.col("_p") % 13).cast("int").alias("af"),
+        (F.col("_th") % 4).cast("int").alias("hy"), (F.col("_ta") % 4).cast("int").alias("ay"),
+        (F.col("_th") % 5 == 0).cast("int").alias("hr"), (F.col("_ta") % 5 == 0).cast("int").alias("ar"),
+        *[F.when(F.col("c_mktsegment") == "MACHINERY", None).otherwise(x).alias(n) for n, x in book.items()],
     )
 
 
@@ -178,12 +191,23 @@ contest_raw AS (
          CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE
            1.1e0 + (CAST(sum(l.l_linenumber) AS BIGINT) % 40) / 10.0e0 END AS odd_d,
          CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE
-           1.1e0 + (CAST(sum(l.l_partkey) AS BIGINT) % 40) / 10.0e0 END AS odd_a
+           1.1e0 + (CAST(sum(l.l_partkey) AS BIGINT) % 40) / 10.0e0 END AS odd_a,
+         CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN NULL ELSE CAST(count(*) FILTER (WHERE l.l_linenumber <= 2) AS INTEGER) END AS hc,
+         CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN NULL ELSE CAST(count(*) FILTER (WHERE l.l_linenumber > 4) AS INTEGER) END AS ac,
+         CAST(CAST(sum(l.l_linenumber) AS BIGINT) % 13 AS INTEGER) AS hf, CAST(CAST(sum(l.l_partkey) AS BIGINT) % 13 AS INTEGER) AS af,
+         CAST(CAST(coalesce(sum(CAST(round(l.l_tax * 100) AS INTEGER)) FILTER (WHERE l.l_returnflag = 'A'), 0) AS BIGINT) % 4 AS INTEGER) AS hy,
+         CAST(CAST(coalesce(sum(CAST(round(l.l_tax * 100) AS INTEGER)) FILTER (WHERE l.l_returnflag = 'R'), 0) AS BIGINT) % 4 AS INTEGER) AS ay,
+         CASE WHEN CAST(coalesce(sum(CAST(round(l.l_tax * 100) AS INTEGER)) FILTER (WHERE l.l_returnflag = 'A'), 0) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS hr,
+         CASE WHEN CAST(coalesce(sum(CAST(round(l.l_tax * 100) AS INTEGER)) FILTER (WHERE l.l_returnflag = 'R'), 0) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS ar,
+         CASE WHEN c.c_mktsegment = 'MACHINERY' THEN NULL ELSE 1.2e0 + (CAST(sum(l.l_partkey) AS BIGINT) % 30) / 10.0e0 END AS avg_h,
+         CASE WHEN c.c_mktsegment = 'MACHINERY' THEN NULL WHEN CAST(sum(l.l_linenumber) AS BIGINT) % 9 = 0 THEN 0.0e0
+              WHEN CAST(sum(l.l_linenumber) AS BIGINT) % 9 = 1 THEN -2.0e0 ELSE 1.2e0 + (CAST(sum(l.l_linenumber) AS BIGINT) % 30) / 10.0e0 END AS avg_d,
+         CASE WHEN c.c_mktsegment = 'MACHINERY' THEN NULL ELSE 1.2e0 + (CAST(sum(CAST(l.l_quantity AS INTEGER)) AS BIGINT) % 30) / 10.0e0 END AS avg_a
 """ + _LINES_SQL + """),
 contest AS (
   SELECT match_id, ts, season, pool, home, away, hg, ag,
          CASE WHEN hg > ag THEN 'H' WHEN hg < ag THEN 'A' ELSE 'D' END AS ftr,
-         hs, as_, hst, ast_, xg_h, xg_a, odd_h, odd_d, odd_a
+         hs, as_, hst, ast_, xg_h, xg_a, odd_h, odd_d, odd_a, hc, ac, hf, af, hy, ay, hr, ar, avg_h, avg_d, avg_a
   FROM contest_raw
 )"""
 
