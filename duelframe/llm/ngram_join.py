@@ -19,7 +19,7 @@ Keys carry how large a partner may be. |x & y| >= 4 (|x| + |y|) / 9 is needed, a
 set's overlap is at most its size less the rare tokens that come before the key
 (all of them, for a pair of frequent tokens: partners that share a rare token
 meet under that one). The smaller set of a pair loses at most a ninth of its
-tokens, so a key beyond the prefix for |x| // 9 + 1 admits no larger partner.
+tokens, so a key beyond the prefix for |x| // 9 + 1 admits smaller partners only.
 
 Documents under one key are candidates. They are not paired off: in each round
 a key links its documents to one pivot, another one in every round; the best
@@ -64,9 +64,10 @@ FREQUENT = 64  # documents from which on a token may be frequent
 MAX_FREQUENT = 1 << 20
 BLOOM_BITS = 26
 SKETCH = 1 << 10  # bits
+DENSE = 64  # members of a key from which on sketches are compared in the join
 BEST = 8  # candidates of a document that a round looks at
 ROUNDS = 2  # of stars; the pairs that are left are all looked at
-FLUSH = 1 << 21  # tokens or keys held by a task before they are handed on
+FLUSH = 1 << 20  # tokens or keys held by a task before they are handed on
 
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
@@ -277,7 +278,7 @@ class Prefixes:
                 key, mark = _combination_keys(own, int(need[i]) - left, int(short[i]) - left, band)
                 most = 9 * (size - left) // 4 - size
                 keys.append(key)
-                reach.append(np.where(mark, most, min(most, size)))
+                reach.append(np.where(mark, most, min(most, size - 1)))
                 owners.append(np.full(len(key), i))
         return np.concatenate(keys), np.concatenate(reach), np.concatenate(owners)
 
@@ -519,11 +520,26 @@ def _round(group: DataFrame, tried: DataFrame, number: int, best: int) -> DataFr
             .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct())
 
 
+def _sketch_words(nodes: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...): the sketch as 64-bit words."""
+    word = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("bigint").alias(f"w{i}") for i in range(SKETCH // 64)]
+    return nodes.select("node", *word)
+
+
+def _cross_pairs(group: DataFrame, words: list[str]) -> DataFrame:
+    """Rows (a, b, size1, size2, words of both) for pairs under one key that can link and lie in different components."""
+    one, two = (group.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "reach", "component")],
+                             *[F.col(w).alias(f"{w}_{i}") for w in words]) for i in (1, 2))
+    return (one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
+            .withColumnsRenamed({"node1": "a", "node2": "b"}))
+
+
 def _mixed(members: DataFrame, parts_of: DataFrame) -> DataFrame:
     """Members of the keys whose members lie in different components."""
     group = members.join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = group.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return stored(group.join(mixed.select("key"), "key", "left_semi"))
+    mixed = (group.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                      F.count(F.lit(1)).alias("members")).where("low <> high"))
+    return stored(group.join(mixed.select("key", "members"), "key"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -555,9 +571,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = links.unionAll(_verify(stored(_promising(pairs, nodes)), rows, nodes))
         parts_of = components(links)
         group = _mixed(members, parts_of)
-    one, two = _numbered(group, 1), _numbered(group, 2)
-    rest = (one.join(two, "key").where("node1 < node2 AND component1 <> component2").where(_CAN_LINK)
-            .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    # keys with many members compare sketches while they are joined, so only promising pairs become rows
+    apart = " + ".join(f"bit_count(w{i}_1 ^ w{i}_2)" for i in range(SKETCH // 64))
+    dense = group.where(F.col("members") > DENSE).join(_sketch_words(nodes), "node")
+    rest = (_cross_pairs(group.where(F.col("members") <= DENSE), [])
+            .select("a", "b").unionAll(_cross_pairs(dense, [f"w{i}" for i in range(SKETCH // 64)]).where(f"9 * ({apart}) <= size1 + size2").select("a", "b"))
+            .distinct().join(tried, ["a", "b"], "left_anti"))
     rest = stored(_promising(rest, nodes))
     if not rest.isEmpty():
         links = links.unionAll(_verify(rest, rows, nodes))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 22  # bytes handled at once; longer input is cut between words
+PIECE = 1 << 21  # bytes handled at once; longer input is cut between words
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
