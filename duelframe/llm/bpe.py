@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 6_000_000
 
 # Fixed value: the pattern that byte-level vocabularies of this kind split words by.
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -98,7 +98,8 @@ def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.
     raw[at] = data
     symbols = np.full(total, -1, np.int32)
     symbols[at] = vocab.byte_ids[data]
-    after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+    place = np.int32 if total < 2**31 - 1 else np.int64
+    after, before = np.arange(1, total + 1, dtype=place), np.arange(-1, total - 1, dtype=place)
     inner = np.flatnonzero((raw[:-1] >= 0) & (raw[1:] >= 0))
     ranks = vocab.byte_pairs[raw[inner] * 256 + raw[inner + 1]]
     inner, ranks = inner[ranks >= 0], ranks[ranks >= 0]
@@ -215,14 +216,10 @@ def encode_and_decode(spark: SparkSession, text: Column, path: str, slice_chars:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         for texts in batches:
-            ids, decoded = [], []
-            for part in _slices(texts, slice_chars):
+            for part in _slices(texts, slice_chars):  # handed on slice by slice
                 docs = encoder.encode(part)
-                ids.append(_ids_array(docs))
-                decoded.append(pa.array([encoder.decode(d.tolist()) for d in docs], pa.string()))
-            if not ids:
-                ids, decoded = [_ids_array([])], [pa.array([], pa.string())]
-            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], ["ids", "decoded"])
+                decoded = pa.array([encoder.decode(d.tolist()) for d in docs], pa.string())
+                yield pa.StructArray.from_arrays([_ids_array(docs), decoded], ["ids", "decoded"])
 
     return both(text)
 
@@ -235,8 +232,8 @@ def encode(spark: SparkSession, text: Column, path: str, slice_chars: int = SLIC
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         for texts in batches:
-            parts = [_ids_array(encoder.encode(part)) for part in _slices(texts, slice_chars)]
-            yield pa.concat_arrays(parts) if parts else _ids_array([])
+            for part in _slices(texts, slice_chars):
+                yield _ids_array(encoder.encode(part))
 
     return ids_of(text)
 

@@ -104,7 +104,9 @@ def first_lists(parts: list[np.ndarray], own: np.ndarray, ids: np.ndarray, k: in
     n = parts[0].shape[1]
     lead = []
     for p in parts:
-        p = np.where(own, -np.inf, p.astype(float))
+        if p.dtype == object:  # the lists only have to lead to good entries
+            p = np.array([float(min(max(v, -10**300), 10**300)) for v in p.ravel()]).reshape(p.shape)
+        p = np.where(own, -np.inf, p)
         lead.append(np.argpartition(-p, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), p.shape))
     at = np.sort(np.concatenate(lead, axis=1), axis=1)
     twice = np.c_[np.zeros(len(at), bool), at[:, 1:] == at[:, :-1]]
@@ -120,9 +122,8 @@ def sufficient(parts: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff
     least = [p.min(axis=1) for p in parts]
     for i, c in enumerate(cutoff.tolist()):
         keep = ~own[i]
-        if c != _NONE:
-            step = (c - sum(low[i] for low in least)) / len(parts)
-            step -= abs(step) * 1e-9 + 1e-6  # the division may round up
+        if c > _NONE + 1:  # scores that stop at a long's lower end are equal
+            step = (int(c) - sum(int(low[i]) for low in least)) // len(parts)  # exact, rounded down
             keep &= np.logical_or.reduce([p[i] - low[i] >= step for p, low in zip(parts, least, strict=True)])
         at = np.flatnonzero(keep)
         total = _as_long(sum(p[i, at] for p in parts))

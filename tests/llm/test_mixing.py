@@ -40,7 +40,8 @@ def check(rows, plan, slack):
     for s, target in want.items():
         if sizes[s]:
             near = [k for k in got if k[0] == sizes[s] and abs(k[1] - target) < 1e-6]
-            assert near and any(abs(sum(got[k]) - target) <= slack for k in near), s
+            same = sum(sizes[o] == sizes[s] and abs(t - target) < 1e-6 for o, t in want.items())  # sources alike in both
+            assert len(near) == 1 and abs(sum(got[near[0]]) - same * target) <= same * slack, s
 
 
 def test_targets_and_taken_words(spark):

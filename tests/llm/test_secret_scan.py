@@ -56,7 +56,7 @@ def test_entropy_and_allow_list():
     assert "entropy_hex" in kinds(HEX)
     assert kinds("123e4567-e89b-12d3-a456-426614174000") == []
     assert kinds(f"example{KEY}") == [] and kinds(f"{KEY}", Scanner(allow_strings=[KEY])) == []
-    assert kinds("internationalization andsomeverylongwordwithoutanydigit") == [] and kinds("a" * 500 + "1B") == []
+    assert kinds("internationalization andsomeverylongwordwithoutanydigit") == [] and kinds("z" * 500 + "1B") == []
     assert kinds(f"token={KEY}", Scanner(allow_strings=[f"token={KEY}", KEY])) == ["assign"]
 
 
