@@ -27,7 +27,7 @@ from ..operators.rolling import (ALL_METRICS, MULTI_WINDOW_METRICS, VENUE_METRIC
                                  rolling_columns)
 from ..operators.sequence import chunk_with_halo, sequence_ordinal
 from ..operators.unpivot import entries, normalize_contests, repivot
-from ..session import cut_lineage
+from ..session import stored
 
 EXTRA_WINDOWS = (3, 10, 19)
 DEFAULT_WINDOW = 5
@@ -195,7 +195,7 @@ def build_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
     checkpoint folder so its upstream joins and aggregations run once.
     """
     if materialize:
-        matches = cut_lineage(matches)
+        matches = stored(matches)
     side = pivoted_side_features(matches, window, extra_windows)
     level = match_level_features(matches)
     elo = elo_ratings(matches)

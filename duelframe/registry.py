@@ -18,7 +18,7 @@ from .operators.enrich import enrich_left
 from .operators.rolling import rolling
 from .operators.sequence import sequence_ordinal
 from .operators.unpivot import entries, repivot
-from .session import cut_lineage
+from .session import stored
 from .sources.tables import contest_view, enrichment_view, order_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         from pyspark import StorageLevel
         stats = order_stats(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            _CONTESTS[key] = cut_lineage(enrich_left(
+            _CONTESTS[key] = stored(enrich_left(
                 contest_view(spark, sf_dir, stats), enrichment_view(spark, sf_dir, stats),
                 ENRICH_KEYS, tie="src_id"))
         finally:
@@ -91,7 +91,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.features import build_features
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _FEATURES:
-        _FEATURES[key] = cut_lineage(build_features(contests(spark, sf_dir), materialize=False))
+        _FEATURES[key] = stored(build_features(contests(spark, sf_dir), materialize=False))
     return _FEATURES[key]
 
 
@@ -371,7 +371,7 @@ def _split(spark, sf):
         pred = (F.when(F.col("odd_h").isNull(), "H")
                 .when((F.col("odd_h") <= F.col("odd_d")) & (F.col("odd_h") <= F.col("odd_a")), "H")
                 .when(F.col("odd_d") <= F.col("odd_a"), "D").otherwise("A"))
-        _SPLITS[key] = cut_lineage(s.withColumn("pred", pred))
+        _SPLITS[key] = stored(s.withColumn("pred", pred))
     return _SPLITS[key]
 
 
@@ -655,7 +655,7 @@ def _parsed_feed(spark, sf):
     from .sources.tables import feed_documents
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
     if key not in _FEEDS:
-        _FEEDS[key] = cut_lineage(feed_documents(spark, sf))
+        _FEEDS[key] = stored(feed_documents(spark, sf))
     return parse_feed(_FEEDS[key])
 
 
@@ -723,6 +723,26 @@ def q_train_score(spark, sf):
     return top_outcomes(class_probabilities(model, test))
 
 
+@register("model_compare", O.with_contest("""
+n AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM contest)
+SELECT model, fold, n - (2 - fold) * (n // 3) AS n_train, n // 3 AS n_test, true AS f1_in_range, true AS accuracy_in_range,
+       4 AS report_rows_at_least
+FROM n, (VALUES ('xgb_like'), ('gbm_classic'), ('leafwise_like'), ('logistic_balanced')) m(model), (VALUES (0), (1)) f(fold)"""),
+          text_cols=("model", "f1_in_range", "accuracy_in_range"))
+def q_model_compare(spark, sf):
+    """All four models, with few inputs and shallow trees: fold sizes and the ranges of the scores are compared."""
+    from .plans.features import ODDS_COLS
+    from .plans.training import model_catalogue, train_and_compare
+    inputs = ["form_diff", "elo_diff", "streak_diff", "rest_diff", "xg_diff_w3", *ODDS_COLS]
+    s = _labeled_split(spark, sf).select("match_id", "label", "role", "row_idx", "pool", *inputs)
+    models = model_catalogue(inputs, ["pool"], gbt_overrides={"maxIter": 1, "maxDepth": 2})
+    results, _, folds, reports = train_and_compare(models, s.where(F.col("role") == "train"), s.where(F.col("role") == "test"), n_splits=2)
+    n_rows = reports.groupBy("model").agg(F.least(F.count(F.lit(1)), F.lit(4)).cast("int").alias("report_rows_at_least"))
+    return (folds.join(results, "model").join(n_rows, "model")
+            .select("model", "fold", "n_train", "n_test", F.col("macro_f1").between(0, 1).alias("f1_in_range"),
+                    F.col("test_acc").between(0, 1).alias("accuracy_in_range"), "report_rows_at_least"))
+
+
 def _fixture_oracle() -> str:
     from .operators.snapshot import SCORING_DEFAULTS, SNAPSHOT_STATS
     from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS

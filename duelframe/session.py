@@ -89,19 +89,3 @@ def clean_stored(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint).
-
-    The plan is persisted while the checkpoint is written, so it is computed
-    by one job (checkpointing an unpersisted plan computes it twice); the
-    persisted copy is dropped once the checkpoint files exist.
-    """
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
