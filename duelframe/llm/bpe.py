@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 6_000_000
+from .words import releasing
+
+SLICE_CHARS = 3_000_000
 
 # Fixed value: the pattern that byte-level vocabularies of this kind split words by.
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -213,6 +215,7 @@ def encode_and_decode(spark: SparkSession, text: Column, path: str, slice_chars:
     vocabulary = _vocabulary(spark, path)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    @releasing
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         for texts in batches:
@@ -229,6 +232,7 @@ def encode(spark: SparkSession, text: Column, path: str, slice_chars: int = SLIC
     vocabulary = _vocabulary(spark, path)
 
     @F.arrow_udf("array<int>")
+    @releasing
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         for texts in batches:
@@ -243,6 +247,7 @@ def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     vocabulary = _vocabulary(spark, path)
 
     @F.arrow_udf("string")
+    @releasing
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         for rows in batches:

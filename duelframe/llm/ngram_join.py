@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
-from .words import distinct, mix, slices, words_of
+from .words import distinct, mix, releasing, slices, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -159,6 +159,7 @@ def _token_blobs(parts: int):
             [dict(zip(("part", "once", "more", "counts"), r, strict=True)) for r in rows],
             pa.schema([("part", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())]))
 
+    @releasing
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
         for batch in batches:
@@ -176,6 +177,7 @@ def _token_blobs(parts: int):
     return blobs
 
 
+@releasing
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
     for batch in batches:
@@ -347,6 +349,7 @@ def _index(parts: int, prefixes):
                               **{c: v.tobytes() for c, v in zip(_BLOBS, values, strict=True)}})
         yield pa.RecordBatch.from_pylist(blobs, _INDEX_ARROW)
 
+    @releasing
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, held = Prefixes(*prefixes.value), set(), _Held()
         for batch in batches:
@@ -376,6 +379,7 @@ def _index(parts: int, prefixes):
     return index
 
 
+@releasing
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition: documents and members as they are, and the members of keys that meet here."""
     held, names = _Held(), ["kind", *_PLAIN, "bits"]
@@ -403,6 +407,7 @@ def _bloom_places(ids: np.ndarray) -> np.ndarray:
 def _bloom(ids: DataFrame) -> np.ndarray:
     """Bits of a column ``id``; 2 ** BLOOM_BITS whatever their number."""
 
+    @releasing
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.unique(_bloom_places(np.asarray(batch.column("id"))))
@@ -420,6 +425,7 @@ def _in_filter(ids, bits):
     """Whether the filter may hold an id; rows without id pass."""
 
     @F.arrow_udf("boolean")
+    @releasing
     def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             at = _bloom_places(np.asarray(values.fill_null(0)))
@@ -430,6 +436,7 @@ def _in_filter(ids, bits):
 
 def _node_of(text):
     @F.arrow_udf("bigint")
+    @releasing
     def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [fingerprints(*shingle_sets(part))[0] for _, part in slices(pa.nulls(len(texts)), texts)]
@@ -441,6 +448,7 @@ def _node_of(text):
 def _sets_of(bits):
     """(node, tokens) of the rows whose id is in the filter; rows without id pass."""
 
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -459,6 +467,7 @@ def _sets_of(bits):
     return sets
 
 
+@releasing
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -489,6 +498,7 @@ def _numbered(group: DataFrame, i: int) -> DataFrame:
     return group.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "size", "reach", "component")])
 
 
+@releasing
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches allow a link."""
     for batch in batches:

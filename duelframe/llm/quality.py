@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .words import distinct, mix, slices, words_of
+from .words import distinct, mix, releasing, slices, words_of
 
 SHRINK = 0.2  # share of the pooled variances in each class covariance
 
@@ -84,6 +84,7 @@ def with_statistics(docs: DataFrame, text: Column, name: str = "statistics") ->
     """``docs`` with an array<double> of the text's statistics."""
 
     @F.arrow_udf("array<double>")
+    @releasing
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [statistics(part) for _, part in slices(pa.nulls(len(texts)), texts)]
@@ -114,6 +115,7 @@ class Discriminant:
 def _moments(labelled: DataFrame, p: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """(count, sums, sums of products) by label; one row per partition and label, then added up."""
 
+    @releasing
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {0: np.zeros((p + 1, p + 1)), 1: np.zeros((p + 1, p + 1))}
         for batch in batches:
@@ -162,6 +164,7 @@ def score(rows: DataFrame, model: Discriminant, statistics_col: str = "statistic
     p = len(STATISTICS)
 
     @F.arrow_udf("double")
+    @releasing
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             yield pa.array(model.scores(np.asarray(values.flatten()).reshape(-1, p)))

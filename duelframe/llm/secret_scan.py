@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import releasing
+
 MIN_CANDIDATE = 24
 
 #: Needles of which an assignment must hold one; a cheap test before the pattern.
@@ -144,6 +146,7 @@ def secret_spans(text: Column, classes: Sequence[EntropyClass] = CLASSES, allow_
     """array<struct<kind: string, start: bigint, end: bigint>> of a text column."""
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    @releasing
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(classes, allow_patterns, allow_strings)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .words import releasing
 
 PARTS = 4  # slices of the dimensions
 GROUP_ROWS = 2048
@@ -55,6 +56,7 @@ def _matrix(vectors: list) -> np.ndarray:
     return out
 
 
+@releasing
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_ROWS):
@@ -140,6 +142,7 @@ def sufficient(parts: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff
 def _visit(k: int, last: bool):
     """Tasks of (group, block): rows come sorted by group, its candidates first."""
 
+    @releasing
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, rows, ready = None, [], [], None
         for batch in batches:
@@ -172,6 +175,7 @@ def _visit(k: int, last: bool):
 def _merged(k: int):
     """One list a block out of all groups' lists."""
 
+    @releasing
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[bytes, np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -193,6 +197,7 @@ def _merged(k: int):
 
 
 def _cutoffs(k: int):
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = [np.frombuffer(s.as_py(), np.int64).reshape(-1, k)[:, -1].tobytes() for s in batch.column("scores")]
@@ -202,6 +207,7 @@ def _cutoffs(k: int):
 
 
 def _spread(k: int):
+    @releasing
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, found, scores in zip(*(batch.column(c) for c in ("ids", "found", "scores")), strict=True):

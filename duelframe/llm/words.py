@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +21,20 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
+def releasing(task):
+    """A task's iterator that gives memory back when it ends: its worker stays alive, idle, beside those of later tasks."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit of 64-bit values over all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
