@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from duelframe.llm.exact_dedup import drop_copies
 from duelframe.llm.mixing import mix
 from duelframe.llm.ngram_join import keep_one_of_similar
-from duelframe.llm.quality import keep_quality
+from duelframe.llm.quality import DECISION, keep_quality
 from duelframe.llm.queries import token_digests
 from duelframe.llm.tables import table
 from duelframe.session import stored
 
-#: Documents below this score go. It is far under one half: only what is surely poor is rejected.
-LEAST_QUALITY = 0.05
+#: Documents below this score go: those that op4 predicts as poor.
+LEAST_QUALITY = DECISION
 
 #: The classifier, the token ids and the mix's seeded blocks are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -27,6 +27,7 @@ from ..session import stored
 from .words import distinct, mix, releasing, slices, words_of
 
 SHRINK = 0.2  # share of the pooled variances in each class covariance
+DECISION = 0.5  # a score from here on is class 1
 
 
 def _chars(text: str) -> np.ndarray:

@@ -14,7 +14,7 @@ from .exact_dedup import group_copies
 from .line_dedup import drop_site_lines
 from .mixing import mix_plan
 from .ngram_join import similar_documents
-from .quality import classify, held_out
+from .quality import DECISION, classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
 from .topk import top_k
@@ -178,7 +178,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                         (F.col("score") >= DECISION).cast("int").alias("predicted"))
 
 
 @register("op5_secret_scan")

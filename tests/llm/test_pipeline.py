@@ -8,9 +8,10 @@ import corpus_pipeline as P
 import public_tokenizers
 from duelframe.llm.mixing import mix_plan
 from duelframe.llm.quality import classify
+from duelframe.llm.queries import QUERIES
 from duelframe.llm.tables import table
 from duelframe.session import stored
-from helpers import DOC
+from helpers import DOC, documents
 from test_ngram_join import brute
 from tokenizers import Tokenizer
 
@@ -57,3 +58,13 @@ def test_run_and_empty_documents(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_quality_stage_keeps_what_op4_predicts_as_good(spark, tmp_path):
+    rows = [(i, f"some text number {i}") for i in range(12)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    # labels of one class alone: every score is the prior 1 / (n + 2), between 0.05 and 0.5
+    spark.createDataFrame([(i, 0) for i in range(12)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    scored = QUERIES["op4_quality"](spark, str(tmp_path)).collect()
+    assert all(0.05 < r["score"] < 0.5 and r["predicted"] == 0 for r in scored) and len(scored) == 12
+    assert P.quality_stage(spark, documents(spark, rows), str(tmp_path)).count() == 0
