@@ -2,15 +2,18 @@
 
 Sources are ordered by code point, null last, and weigh 3, 1, 2 repeating. They
 share a budget of 150 % of all words; a source's target stops at twice its
-size, and what is above is shared again by weight. Each source's target is a
-number of equal blocks, dealt to its shards by the highest quotients
-size / (2 s + 1); a shard is a hashed part of a source, so a hot source has many.
-
-In a shard the documents lie in seeded random order on a line of words cut into
-blocks. A quota of q blocks takes the line q div n times and then the q mod n
-blocks that follow a seeded one, around the end. The blocks are chosen as one
-run, so almost every document is taken whole; only those at the two ends of the
-run are cut. No block is taken more than twice, so no document either.
+size, and what is above is shared again by weight. The whole budget is dealt to
+the sources by the highest quotients target / (2 s + 1), and a source's part to
+its shards by size / (2 s + 1); a shard is a hashed part of a source, so a hot
+source has many. Both deal blocks of one word, the finest equal ones: blocks of
+``BLOCK_WORDS`` would leave a source of a few words without any.
+
+In a shard the documents lie in seeded random order on a line of n words. A
+quota of q words takes the line q div n times and then the q mod n words that
+follow a seeded place, a multiple of the block, around the end: whole blocks
+and, at the run's end, the part of one that is still missing. They are one run,
+so almost every document is taken whole; only those at the two ends of the run
+are cut. No word is taken more than twice, so no document either.
 
 The tables of sources and shards are tiny beside the documents (a shard has
 about ``SHARD_WORDS`` words); of documents, only (id, source, size) are shuffled.
@@ -88,29 +91,38 @@ def apportion(rows: DataFrame, group: str, weight: str, seats: str, name: str =
         reach *= 2
 
 
+def source_quotas(targets: DataFrame, most: float = MOST) -> DataFrame:
+    """``targets`` with each source's number, which stands for it, null included, and its words of the whole budget."""
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = targets.withColumns({"number": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())),
+                                "all": F.lit(0), "seats": F.round(F.sum("target").over(every)).cast("bigint")})
+    dealt = apportion(stored(rows.withColumn("key", F.col("number"))), "all", "target", "seats", "source_words")
+    full = F.floor(F.col("source_size") * F.lit(most))
+    return dealt.withColumn("source_words", F.least("source_words", full)).drop("all", "key", "seats")
+
+
 def _sharded(sized: DataFrame, targets: DataFrame, shard_words: int, seed: int) -> DataFrame:
-    """Rows with their shard and their source's figures; the number of a source stands for it, null included."""
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    """Rows with their shard and their source's figures."""
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    figures = targets.withColumns({"number": number, "shards": shards}).withColumnRenamed("source", "_source")
+    figures = targets.withColumn("shards", shards).withColumnRenamed("source", "_source")
     return (sized.join(figures, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
             .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards"))))
 
 
 def _shard_plans(rows: DataFrame, block: int, seed: int) -> DataFrame:
-    """Blocks, quota and first block of every shard."""
-    shards = (rows.groupBy("number", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
-              .withColumns({"blocks": F.ceil(F.col("words") / block), "key": F.col("shard"),
-                            "seats": F.round(F.col("target") / block).cast("bigint")}))
+    """Words, quota and first word of every shard."""
+    shards = (rows.groupBy("number", "shard").agg(F.sum("size").alias("words"), F.first("source_words").alias("seats"))
+              .withColumn("key", F.col("shard")))
     shards = apportion(shards, "number", "words", "seats")
-    quota = F.least(F.col("quota"), 2 * F.col("blocks"))
-    return (shards.where("blocks > 0").withColumns({
-        "passes": F.floor(quota / F.col("blocks")), "extra": quota % F.col("blocks"),
-        "first": F.pmod(F.xxhash64("number", "shard", F.lit(seed)), F.col("blocks"))})
-        .select("number", "shard", "blocks", "passes", "extra", "first"))
+    quota = F.least(F.col("quota"), 2 * F.col("words"))
+    blocks = F.ceil(F.col("words") / block)
+    return (shards.where("words > 0").withColumns({
+        "passes": F.floor(quota / F.col("words")), "extra": quota % F.col("words"),
+        "first": block * F.pmod(F.xxhash64("number", "shard", F.lit(seed)), blocks)})
+        .select("number", "shard", "words", "passes", "extra", "first"))
 
 
-def _taken(rows: DataFrame, shards: DataFrame, block: int, seed: int) -> DataFrame:
+def _taken(rows: DataFrame, shards: DataFrame, seed: int) -> DataFrame:
     """Rows with ``passes`` and the cut spans (from, to) of their words."""
     line = Window.partitionBy("number", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "tie")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
@@ -119,11 +131,11 @@ def _taken(rows: DataFrame, shards: DataFrame, block: int, seed: int) -> DataFra
     last = F.col("first") + F.col("extra")
 
     def span(a: Column, b: Column) -> Column:
-        begin = F.greatest(F.col("start"), a * block) - F.col("start")
-        end = F.least(F.col("start") + F.col("size"), b * block) - F.col("start")
+        begin = F.greatest(F.col("start"), a) - F.col("start")
+        end = F.least(F.col("start") + F.col("size"), b) - F.col("start")
         return F.when(end > begin, F.struct(begin.alias("from"), end.alias("to")))
 
-    spans = F.array(span(F.col("first"), F.least(last, F.col("blocks"))), span(F.lit(0), last - F.col("blocks")))
+    spans = F.array(span(F.col("first"), F.least(last, F.col("words"))), span(F.lit(0), last - F.col("words")))
     return rows.withColumns({"passes": F.coalesce("passes", F.lit(0)), "spans": F.filter(spans, lambda s: s.isNotNull())})
 
 
@@ -133,10 +145,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     text = F.col(f"`{text_col}`")
     sized = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
                                words_in(text).alias("size"), F.xxhash64(text).alias("tie")))
-    rows = _sharded(sized, stored(source_targets(sized)), shard_words, seed)
+    rows = _sharded(sized, stored(source_quotas(stored(source_targets(sized)))), shard_words, seed)
     shards = _shard_plans(rows, block, seed)
     cut = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["to"] - s["from"])
-    return _taken(rows, shards, block, seed).select(
+    return _taken(rows, shards, seed).select(
         "id", "size", "source_size", "target", (F.col("passes") * F.col("size") + cut).cast("bigint").alias("taken"))
 
 
@@ -150,10 +162,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
                         F.col(f"`{source_col}`").alias("source"), words_in(text).alias("size"), F.xxhash64(text).alias("tie"))
     small = stored(sized.drop("row"))
-    targets = stored(source_targets(small))
+    targets = stored(source_quotas(stored(source_targets(small))))
     shards = stored(_shard_plans(_sharded(small, targets, shard_words, seed), block, seed))
     rows = _sharded(sized, targets, shard_words, seed)
-    rows = _taken(rows, shards, block, seed)
+    rows = _taken(rows, shards, seed)
     body = F.col("row").getField(text_col)
     whole = F.array_repeat(body, F.col("passes").cast("int"))
     pieces = F.transform("spans", lambda s: F.when((s["from"] == 0) & (s["to"] == F.col("size")), body).otherwise(F.array_join(

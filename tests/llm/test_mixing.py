@@ -97,3 +97,14 @@ def test_empty_tables(spark):
     assert M.mix_plan(empty).count() == 0 and M.mix(empty).count() == 0
     blank = documents(spark, [(1, "", "a"), (2, None, None)])
     assert tuples(M.mix_plan(blank), "id", "taken", "target") == [(1, 0, 0.0), (2, 0, 0.0)] and M.mix(blank).count() == 0
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"a big": 6000, "b rest": 9000, **{f"tail {i:02}": n for i, n in enumerate([1, 2, 3, 9, 15, 16, 31, 65, 70, 79, 100, 129] * 3)}}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    want, got = water(sizes), {}
+    for r in M.mix_plan(documents(spark, rows)).collect():
+        got[rows[r["id"]][2]] = r["taken"]
+    assert all(abs(got[s] - want[s]) <= 1 for s in sizes)
+    assert all(got[s] == 2 * sizes[s] for s in sizes if want[s] == 2 * sizes[s])
+    assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) <= 1
