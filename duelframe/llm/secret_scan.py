@@ -3,12 +3,14 @@
 Every whole text is scanned as UTF-8 bytes; spans are reported in code points,
 end exclusive. Fixed patterns give the kinds ``assign``, ``access`` and ``hex``.
 Candidate strings are runs of at least ``MIN_CANDIDATE`` token characters. In
-each of their runs of one character class a window slides along; its symbol
-counts are updated by the byte that enters and the byte that leaves, so a step
-costs the same whatever the window's length. Windows at or above the class's
-entropy are united to spans of kind ``entropy_<class>``. A candidate that an
-allow-list pattern or string matches gives no entropy spans; spans of the fixed
-patterns are never suppressed.
+each of their runs of one character class a window slides along, the longest of
+the class's windows that the run holds; its symbol counts are updated by the
+byte that enters and the byte that leaves, so a step costs the same whatever
+the window's length. Windows at or above that window's entropy are united to
+spans of kind ``entropy_<class>``. What an allow-list pattern matches, and the
+letters and digits that it is part of, is cut out of its candidate before, so it
+suppresses no other part of it; a candidate that is an allow-list string gives
+no entropy spans. Spans of the fixed patterns are never suppressed.
 
 Defined results: a null text counts as empty and has no spans; texts without
 matches give an empty list; an empty table an empty result. Each row is handled
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .words import releasing
 
-MIN_CANDIDATE = 24
+MIN_CANDIDATE = 16
 
 #: Needles of which an assignment must hold one; a cheap test before the pattern.
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -37,6 +39,7 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
+_REST = re.compile(rb"[A-Za-z0-9]*")
 
 
 def _marks(chars: bytes) -> bytes:
@@ -45,23 +48,35 @@ def _marks(chars: bytes) -> bytes:
 
 
 _DIGITS, _LOWER, _UPPER = b"0123456789", bytes(range(97, 123)), bytes(range(65, 91))
+_ALNUM = frozenset(_DIGITS + _LOWER + _UPPER)
 _HEX_MARKS, _TOKEN_MARKS = _marks(_DIGITS + b"abcdef"), _marks(_DIGITS + _LOWER + _UPPER + b"+/_=-")
 
 
 @dataclass(frozen=True)
 class EntropyClass:
-    """Characters of a class, its window, the least bits per symbol, and what a span must hold."""
+    """Characters of a class, its window, the least bits per symbol, and what a span must hold.
+
+    ``shorter`` are further windows and their least bits, longest first, for runs that don't hold the window.
+    """
 
     name: str
     run: str
     window: int
     min_bits: float
     needs: tuple[str, ...]
+    shorter: tuple[tuple[int, float], ...] = ()
 
+    def fitting(self, length: int) -> tuple[int, float] | None:
+        """The longest window that a run of this length holds, and its least bits."""
+        return next((w for w in ((self.window, self.min_bits), *self.shorter) if w[0] <= length), None)
 
+
+#: The shorter windows' least bits, and all of base36 and base32, miss about 1 of 100 random strings of the window's length.
 CLASSES = (
-    EntropyClass("hex", "[0-9a-fA-F]+", 24, 3.1, ("[0-9]", "[a-fA-F]")),
-    EntropyClass("base64", "[A-Za-z0-9+/_=-]+", 24, 4.0, ("[0-9]", "[a-z]", "[A-Z]")),
+    EntropyClass("hex", "[0-9a-fA-F]+", 24, 3.1, ("[0-9]", "[a-fA-F]"), ((20, 2.88), (16, 2.68))),
+    EntropyClass("base64", "[A-Za-z0-9+/_=-]+", 24, 4.0, ("[0-9]", "[a-z]", "[A-Z]"), ((20, 3.65), (16, 3.38))),
+    EntropyClass("base36", "[a-z0-9]+", 24, 3.6, ("[0-9]", "[g-z]"), ((20, 3.4), (16, 3.12))),
+    EntropyClass("base32", "[A-Z0-9]+", 24, 3.52, ("[0-9]", "[G-Z]"), ((20, 3.34), (16, 3.08))),
 )
 ALLOW_PATTERNS = (
     "(?i)example|placeholder|changeme|dummy|redacted|your[-_]",
@@ -119,17 +134,34 @@ class Scanner:
         if b"x" * MIN_CANDIDATE not in data.translate(_TOKEN_MARKS):
             return
         for found in _CANDIDATE.finditer(data):
-            word = found[0]
-            if word in self.known or any(p.search(word) for p in self.allow):
+            if found[0] in self.known:
+                continue
+            for at, part in self._open_parts(found):
+                yield from self._high(at, part)
+
+    def _open_parts(self, found: re.Match[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(place, bytes) of a candidate without what the allow-list matches and the letters and digits that belong to it."""
+        word, at = found[0], 0
+        for a, b in sorted(m.span() for p in self.allow for m in p.finditer(word)):
+            if b < at:
                 continue
-            for k, (kind, runs, needs) in enumerate(self.classes):
-                for run in runs.finditer(word):
-                    if len(run[0]) < kind.window or not all(n.search(run[0]) for n in needs):
-                        continue
-                    for a, b in high_windows(run[0], kind.window, kind.min_bits):
-                        if all(n.search(run[0], a, b) for n in needs):
-                            at = found.start() + run.start()
-                            yield at + a, at + b, len(BASE_KINDS) + k
+            while a > at and word[a - 1] in _ALNUM:
+                a -= 1
+            if a > at:
+                yield found.start() + at, word[at:a]
+            at = max(at, _REST.match(word, b).end())
+        if at < len(word):
+            yield found.start() + at, word[at:]
+
+    def _high(self, at: int, part: bytes) -> Iterator[tuple[int, int, int]]:
+        for k, (kind, runs, needs) in enumerate(self.classes):
+            for run in runs.finditer(part):
+                fit = kind.fitting(len(run[0]))
+                if fit is None or not all(n.search(run[0]) for n in needs):
+                    continue
+                for a, b in high_windows(run[0], *fit):
+                    if all(n.search(run[0], a, b) for n in needs):
+                        yield at + run.start() + a, at + run.start() + b, len(BASE_KINDS) + k
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed, then end; in code points."""

@@ -60,6 +60,39 @@ def test_entropy_and_allow_list():
     assert kinds(f"token={KEY}", Scanner(allow_strings=[f"token={KEY}", KEY])) == ["assign"]
 
 
+def found_share(alphabet, length, kind, n=400):
+    r, scan = random.Random(length), Scanner()
+    tokens = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(n)]
+    return sum(any(k == kind for k, _, _ in scan.scan(f"at {t} end")) for t in tokens) / n
+
+
+def test_one_case_and_short_tokens():
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    for length in (16, 18, 20, 23, 24, 32, 40):
+        assert found_share(digits + lower, length, "entropy_base36") >= 0.96, length
+        assert found_share(lower.upper() + "234567", length, "entropy_base32") >= 0.9, length  # some hold no digit
+    for length in (16, 20, 23):
+        assert found_share(digits + lower + lower.upper(), length, "entropy_base64") >= 0.9, length
+        assert found_share("0123456789abcdef", length, "entropy_hex") >= 0.96, length
+    assert Scanner().scan("aaaaaaaaaaaaaaaa1z AAAAAAAAAAAAAAAAAAAAAAAA1Z abcabcabcabcabc1 short1key2") == []
+
+
+def test_allow_list_suppresses_only_its_own_part():
+    scan = Scanner()
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for text in (f"example/path/{KEY}", f"{uuid}/{KEY}", f"{KEY}/{uuid}", f"ü {KEY}=example", f"dummy+{KEY}_example"):
+        at = text.index(KEY)
+        spans = scan.scan(text)
+        assert len(spans) == 1 and spans[0][0] == "entropy_base64", text
+        assert spans[0][1] <= at and at + len(KEY) <= spans[0][2] <= len(text), text
+        for word in ("example", "dummy", uuid):
+            if word in text:
+                a = text.index(word)
+                assert spans[0][2] <= a or a + len(word) <= spans[0][1], text
+    for text in (f"{KEY}example", f"your_{KEY}", f"{KEY[:12]}Dummy{KEY[12:]}", uuid, f"example/{uuid}", "example/" * 20_000):
+        assert scan.scan(text) == [], text[:50]
+
+
 def test_column(spark):
     rows = [(i, t) for i, t in enumerate([*TEXTS, None, TEXTS[2]])]
     out = documents(spark, rows).withColumn("kind", F.lit("x")).select("doc_id", "kind", "text", secret_spans(F.col("text")).alias("s")).collect()
