@@ -58,4 +58,6 @@ def save_results(results: DataFrame, path: str) -> None:
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).orderBy(F.col("test_acc").desc())
+    """The summary by falling accuracy; an empty one if none is stored."""
+    return (load_feature_table(spark, path, "model string, test_acc double, cv_mean double")
+            .orderBy(F.col("test_acc").desc()))

@@ -13,7 +13,7 @@ from duelframe.functions.names import name_map_table, standardize_names
 from duelframe.operators.snapshot import latest_snapshot
 from duelframe.plans.features import build_features, feature_columns
 from duelframe.plans.training import ordinal_encode
-from duelframe.sources.artifacts import load_feature_table, save_entities, save_feature_table
+from duelframe.sources.artifacts import load_feature_table, load_results, save_entities, save_feature_table, save_results
 from duelframe.sources.enrichment import merge_enrichment, read_enrichment
 from duelframe.sources.feed import feed_enrichment, parse_feed, read_feed_files, write_enrichment
 
@@ -85,6 +85,15 @@ def test_feature_sink_round_trip_and_snapshot(spark):
     assert set(snap) == {("A", "home"), ("A", "away"), ("B", "home"), ("B", "away")}
 
 
+def test_results_round_trip_and_absent(spark):
+    base = tempfile.mkdtemp()
+    absent = load_results(spark, os.path.join(base, "absent"))
+    assert absent.columns == ["model", "test_acc", "cv_mean"] and absent.count() == 0
+    rows = [("a", 0.4, 0.5, 0.1), ("b", 0.6, 0.3, 0.2)]
+    save_results(spark.createDataFrame(rows, "model string, test_acc double, cv_mean double, cv_std double"), f"{base}/r")
+    assert [tuple(r) for r in load_results(spark, f"{base}/r").collect()] == [rows[1], rows[0]]
+
+
 def test_ordinal_encode_unseen(spark):
     fit = spark.createDataFrame([("b",), ("a",)], "t string")
     df = spark.createDataFrame([("a",), ("b",), ("z",)], "t string")
