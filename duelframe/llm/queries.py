@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .chat_format import format_windows, read_turns
+from .conversation_repair import inject_faults, repair_conversations, whole_digests
 from .exact_dedup import group_copies
 from .line_dedup import drop_site_lines
 from .mixing import mix_plan
@@ -223,3 +224,66 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_copies(table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
+
+
+@register("op13_structure_repair", r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 20 AS code
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded, unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS copy, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM ordered),
+named AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, left(role, 1) AS l,
+    CASE WHEN bare = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+rows_ AS MATERIALIZED (
+  SELECT *, lag(l) OVER (PARTITION BY c ORDER BY k) || l AS pair FROM named),
+inserts(p, q, cost, edits) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+  (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+moves(p, q, cost, edit, needs) AS (VALUES (0, 0, 3, 'D', ''), (1, 1, 3, 'D', ''), (2, 2, 3, 'D', ''), (3, 3, 3, 'D', ''),
+  (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a'),
+  (0, 2, 2, 'R', ''), (1, 2, 2, 'R', ''), (3, 2, 2, 'R', ''), (2, 3, 2, 'R', '')),
+steps AS (SELECT i.p, m.q, i.cost + m.cost AS cost, i.edits || m.edit AS edits, m.edit, m.needs FROM inserts i JOIN moves m ON i.q = m.p),
+dp AS (
+  SELECT DISTINCT c, 0::BIGINT AS k, 0 AS q, {'cost': 0::BIGINT, 'edits': ''} AS best FROM rows_
+  UNION ALL
+  SELECT d.c, r.k, s.q, min({'cost': d.best.cost + s.cost + CASE WHEN s.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+                             'edits': d.best.edits || s.edits})
+  FROM dp d JOIN rows_ r ON r.c = d.c AND r.k = d.k + 1 JOIN steps s ON s.p = d.q
+  WHERE s.edit = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (s.needs = '' OR s.needs = r.l))
+  GROUP BY d.c, r.k, s.q),
+ends AS (
+  SELECT d.c, min({'cost': d.best.cost + i.cost, 'edits': d.best.edits || i.edits}) AS best
+  FROM dp d JOIN (SELECT c, max(k) AS n FROM rows_ GROUP BY c) z ON z.c = d.c AND z.n = d.k JOIN inserts i ON i.p = d.q
+  WHERE i.q IN (0, 3) GROUP BY d.c),
+edits AS (
+  SELECT c, unnest(string_split(best.edits, '')) AS e, generate_subscripts(string_split(best.edits, ''), 1) AS pos FROM ends WHERE best.edits <> ''),
+counted AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS k, count(*) FILTER (e <> 'D') OVER w AS n FROM edits WINDOW w AS (PARTITION BY c ORDER BY pos)),
+turned AS (
+  SELECT x.c, x.pos, x.e, x.n - max(CASE WHEN x.e = 'K' AND r.l = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.c) AS n, r.role, r.text
+  FROM counted x LEFT JOIN rows_ r ON r.c = x.c AND r.k = x.k AND x.e <> 'I' WHERE x.e <> 'D'),
+lines AS (
+  SELECT c, string_agg(CASE WHEN e = 'K' THEN role WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS repaired
+  FROM turned GROUP BY c),
+stats AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.edits, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats ON o.conv_id IS NOT DISTINCT FROM stats.conv_id
+LEFT JOIN ends ON ends.c = stats.c LEFT JOIN lines ON lines.c = stats.c""")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = inject_faults(table(spark, sf_dir, "conversations"))
+    return whole_digests(repair_conversations(damaged, absent=F.col("absent"))).withColumnRenamed("conv", "conv_id")
