@@ -18,11 +18,14 @@ from .ngram_join import similar_documents
 from .quality import DECISION, classify, held_out
 from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
+from .token_alignment import align_tokens
 from .topk import top_k
 from .warc import crawl_records, header_lines, resolve_revisits
 
 #: Vocabulary file of op7 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Second tokenizer of op11.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -287,3 +290,9 @@ LEFT JOIN ends ON ends.c = stats.c LEFT JOIN lines ON lines.c = stats.c""")
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = inject_faults(table(spark, sf_dir, "conversations"))
     return whole_digests(repair_conversations(damaged, absent=F.col("absent"))).withColumnRenamed("conv", "conv_id")
+
+
+@register("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = align_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+    return documents.withColumnRenamed("id", "doc_id")
