@@ -20,6 +20,8 @@ from .secret_scan import BASE_KINDS, secret_spans
 from .tables import table
 from .token_alignment import align_tokens
 from .topk import top_k
+from .toxicity import DECISION as TOXIC
+from .toxicity import detect_toxicity
 from .warc import crawl_records, header_lines, resolve_revisits
 
 #: Vocabulary file of op7 and of the pipeline's last stage.
@@ -296,3 +298,10 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = align_tokens(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
     return documents.withColumnRenamed("id", "doc_id")
+
+
+@register("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
