@@ -125,32 +125,42 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("op3_warc_revisit", r"""
-WITH full_pages AS (
-  SELECT 2 * page_id AS id, 10 * page_id AS ts, url, coalesce(html, '') AS html FROM pages),
+WITH seen AS (SELECT page_id AS n, url, length(coalesce(html, '')) AS size, md5(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS p FROM pages),
+fulls AS (
+  SELECT 16 * n + v AS id, 100 * n + CASE WHEN n % 8 = 7 AND v = 1 THEN 74 ELSE 37 * v END AS ts, url, n, v::VARCHAR AS v, size, h, p
+  FROM seen, (VALUES (0), (1), (2), (3)) x(v) WHERE v <= n % 4
+  UNION ALL SELECT 16 * s.n + 4, 100 * (s.n - s.n % 3) + 60 + 5 * (s.n % 3), g.url, s.n, 'm', s.size, s.h, s.p FROM seen s JOIN seen g ON g.n = s.n - s.n % 3 WHERE s.n % 3 <> 0),
+old_rows AS (
+  SELECT id, ts, url, size, '"' || md5(h || '#' || v) || '"' AS etag, CASE WHEN n % 3 = 1 THEN 'W/' ELSE '' END AS weak, 'day ' || v AS modified, sha256(p || '#' || v) AS payload FROM fulls),
+asked AS (
+  SELECT 16 * n + 8 + j AS id, 100 * n + ([-5, 74, 90, 1000])[j + 1] AS ts, n, j, n + j AS turn, h, contains(url, '?') AS asks, regexp_replace(url, '#.*$', '') AS plain
+  FROM seen, (VALUES (0), (1), (2), (3)) x(j)),
 again AS (
-  SELECT 2 * page_id + 1 AS id, 10 * page_id + 5 + 10 * (page_id % 997) AS ts,
-    regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=again#part' AS url,
-    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"' || page_id || '"' WHEN page_id % 7 = 0 THEN NULL
-      ELSE '"' || md5(coalesce(html, '')) || '"' END AS etag,
-    CASE WHEN page_id % 11 <> 0 THEN 'day ' || length(coalesce(html, '')) END AS modified FROM pages),
+  SELECT id, ts, CASE j WHEN 1 THEN regexp_replace(regexp_replace(plain, '^(https://)([^/?#:]+)', '\1\2:443'), '^(http://)([^/?#:]+)', '\1\2:80')
+      WHEN 2 THEN upper(regexp_extract(plain, '^([A-Za-z]+://)?([^/?#]*)', 0)) || regexp_replace(plain, '^([A-Za-z]+://)?([^/?#]*)', '') ELSE plain END
+      || CASE WHEN asks THEN '&' ELSE '?' END || 'utm_medium=again#part' AS url,
+    CASE WHEN turn % 11 <> 0 AND turn % 7 <> 0 THEN '"' || md5(h || '#' || turn % 4) || '"' END AS etag,
+    CASE WHEN turn % 11 <> 0 THEN 'day ' || turn % 4 END AS modified FROM asked),
 cut AS (
-  SELECT *, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^www\.|:80$|:443$', '', 'g') AS host,
+  SELECT id, ts, regexp_replace(CASE WHEN regexp_matches(url, '^(?i)http://') THEN regexp_replace(host, ':80$', '')
+      WHEN regexp_matches(url, '^(?i)https://') THEN regexp_replace(host, ':443$', '') ELSE host END, '^www\.', '') AS host,
     regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path,
     list_sort(list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^?#]*\?([^#]*)', 1), '&'),
-      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS query
-  FROM (SELECT id, ts, url FROM full_pages UNION ALL SELECT id, ts, url FROM again) u),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)(=|$)'))) AS query
+  FROM (SELECT *, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host
+        FROM (SELECT id, ts, url FROM old_rows UNION ALL SELECT id, ts, url FROM again) u)),
 named AS (SELECT id, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
     || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS key FROM cut),
-old AS (SELECT f.*, n.key, '"' || md5(html) || '"' AS etag, 'day ' || length(html) AS modified FROM full_pages f JOIN named n USING (id)),
+old AS (SELECT f.*, n.key FROM old_rows f JOIN named n USING (id)),
 last_old AS (SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY id DESC) = 1),
 found AS (
-  SELECT a.id, a.ts, n.key AS url, a.etag, a.modified, o.id AS response_id, o.ts AS response_ts, o.html, o.etag AS old_etag, o.modified AS old_modified,
+  SELECT a.id, a.ts, n.key AS url, a.etag, o.id AS response_id, o.ts AS response_ts, o.size, o.payload, o.weak || o.etag AS old_etag, o.modified AS old_modified,
     CASE WHEN o.id IS NULL THEN 'unresolved' WHEN a.etag IS NOT NULL THEN CASE WHEN a.etag = o.etag THEN 'resolved' ELSE 'mismatch' END
       WHEN a.modified IS NOT NULL THEN CASE WHEN a.modified = o.modified THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS state
   FROM again a JOIN named n USING (id) ASOF LEFT JOIN last_old o ON n.key = o.key AND a.ts > o.ts)
 SELECT id, ts, url, state, response_id, response_ts,
-  CASE WHEN state IN ('resolved', 'unverified') THEN sha256(html) END AS payload,
-  CASE WHEN state IN ('resolved', 'unverified') THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || length(html) || chr(10)
+  CASE WHEN state IN ('resolved', 'unverified') THEN payload END AS payload,
+  CASE WHEN state IN ('resolved', 'unverified') THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || size || chr(10)
     || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, old_etag) || chr(10)
     || 'last-modified: ' || old_modified END AS headers
 FROM found""")
