@@ -5,8 +5,8 @@ frame whose values of a measured statistic are all missing gives that
 metric's fallback; otherwise the mean of the non-missing values. ``avg``
 skips NULL, which is exactly "mean of the values that are present".
 
-Frames are ``ROWS BETWEEN w PRECEDING AND 1 PRECEDING`` over the entity's
-ordinal ``k``, inside ``partitionBy(keys, _chunk)`` (see ``sequence``): the
+Frames are ``ROWS BETWEEN w PRECEDING AND 1 PRECEDING`` in the entity's order,
+inside ``partitionBy(keys, _range)`` with a halo (see ``sequence``): the
 current row never sees itself, so no result leaks into its own features.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import chunk_with_halo
+from .sequence import ORDER, in_ranges, with_halo
 
 # Fixed fallback values that must equal the reference's.
 FALLBACK_PPDA = 10.0
@@ -134,8 +134,8 @@ def _metric_exprs(b: _Deps) -> dict[str, Callable[[], Column]]:
     }
 
 
-def rolling_columns(windows: dict[int, Iterable[str]], keys: Sequence[str], k: str,
-                    chunk_col: str = "_chunk", name: Callable[[str, int], str] | None = None
+def rolling_columns(windows: dict[int, Iterable[str]], keys: Sequence[str],
+                    name: Callable[[str, int], str] | None = None
                     ) -> tuple[list[Column], list[Column], list[str]]:
     """Window aggregates, derived metric columns and helper names to drop.
 
@@ -148,7 +148,7 @@ def rolling_columns(windows: dict[int, Iterable[str]], keys: Sequence[str], k: s
         deps = _Deps(suffix)
         exprs = _metric_exprs(deps)
         derived += [exprs[m]().alias(name(m, w)) for m in metrics]
-        frame = Window.partitionBy(*keys, chunk_col).orderBy(k).rowsBetween(-w, -1)
+        frame = Window.partitionBy(*keys, "_range").orderBy(*ORDER).rowsBetween(-w, -1)
         for d in deps.used:
             base_cols.append(_BASE[d]().over(frame).alias(f"_b_{d}{suffix}"))
             helpers.append(f"_b_{d}{suffix}")
@@ -156,13 +156,10 @@ def rolling_columns(windows: dict[int, Iterable[str]], keys: Sequence[str], k: s
 
 
 def rolling(tm: DataFrame, windows: dict[int, Iterable[str]], keys: Sequence[str] = ("pool", "team"),
-            k: str = "k", name: Callable[[str, int], str] | None = None,
-            extra_window_cols: Callable[[Window], list[Column]] | None = None) -> DataFrame:
-    """Add rolling metrics over ordinal ``k`` of ``keys`` groups; chunked with a halo."""
+            name: Callable[[str, int], str] | None = None) -> DataFrame:
+    """Add rolling metrics of the earlier rows of ``keys`` groups, by ranges with a halo."""
     keys = list(keys)
-    halo = max(windows)
-    c = chunk_with_halo(tm, k, halo=halo)
-    base_cols, derived, helpers = rolling_columns(windows, keys, k, name=name)
-    extra = extra_window_cols(Window.partitionBy(*keys, "_chunk").orderBy(k)) if extra_window_cols else []
-    out = c.select("*", *base_cols, *extra).where(~F.col("_halo"))
-    return out.select("*", *derived).drop(*helpers, "_chunk", "_halo")
+    c = with_halo(in_ranges(tm, keys), [(keys, max(windows))])
+    base_cols, derived, helpers = rolling_columns(windows, keys, name=name)
+    out = c.select("*", *base_cols).where(~F.col("_halo"))
+    return out.select("*", *derived).drop(*helpers, "_range", "_halo")

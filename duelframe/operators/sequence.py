@@ -3,22 +3,23 @@
 Every feature in this package reads "the rows of this entity before this
 contest". The direct form, ``Window.partitionBy(entity).orderBy(ts)``, sends a
 whole entity's history to one task; with a hot entity holding a third of all
-rows that task is the job. This module splits the work:
-
-1. ``sequence_ordinal`` gives each row its 0-based position ``k`` inside its
-   key group. The rows are range-partitioned by (key, order) and written once,
-   with the number of their range: Spark's sampled splitters make the ranges
-   even whatever the skew, so a hot key is simply spread over many ranges and
-   a range holds whole stretches of the order. ``row_number`` runs inside
-   (key, range); the offsets are running sums over one row per (key, range),
-   at most keys + ranges rows, whatever the timestamps and ids look like.
-2. ``chunk_with_halo`` cuts each key's sequence into chunks of ``chunk_rows``
-   positions and copies the last ``halo`` rows of every chunk into the next
-   one (flagged ``_halo``). A ROWS frame reaching back at most ``halo`` rows
-   is then exact inside ``partitionBy(key, _chunk)``, and a task holds at most
-   ``chunk_rows + halo`` rows.
-3. ``running_before`` gives exclusive running sums over an unbounded frame
-   (season-to-date totals) as in-chunk sums plus per-chunk offsets.
+rows that task is the job. Here rows are range-partitioned by (key, order) and
+written once, with the number of their range: Spark's sampled splitters make the
+ranges even whatever the skew, so a hot key is simply spread over many ranges and
+a range holds whole stretches of the order. On those ranges
+
+1. ``with_halo`` is a segmented scan for frames: the last rows of a (key, range)
+   that frames of later ranges reach back to (at most the frame's length, found
+   by one grouping and a limited window) are copied there, flagged ``_halo``.
+   A ROWS frame is then exact inside ``partitionBy(key, _range)``; several
+   frames, also of finer keys, share the one exchange by (key, range).
+2. ``running_before`` gives exclusive running sums over an unbounded frame
+   (season-to-date totals) as sums inside the range plus per-range offsets.
+3. ``sequence_ordinal`` gives each row its 0-based position in its key group:
+   ``row_number`` inside (key, range) plus offsets.
+
+Offsets are running sums over one row per (key, range), at most keys + ranges
+rows, whatever the timestamps and ids look like.
 """
 
 from __future__ import annotations
@@ -30,16 +31,53 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-CHUNK_CONF = "duelframe.sequence.chunkRows"
-DEFAULT_CHUNK_ROWS = 1_000_000
+ORDER = ("ts", "match_id")
 
 
-def chunk_rows_of(df: DataFrame) -> int:
-    """Chunk length from the session (tests shrink it to exercise halos)."""
-    return int(df.sparkSession.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
+    """``df`` written in sampled ranges of (keys, order), with the number of each row's ``_range``."""
+    return stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
 
 
-def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "match_id"),
+def _reached(laid: DataFrame, keys: list[str], halo: int, order: Sequence[str]) -> DataFrame:
+    """Rows that a frame of ``halo`` rows in a later range of their key reaches, once for each such range."""
+    names = [c for c in laid.columns if c != "_range"]
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    spans = (laid.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+             .select(*keys, "_range", "_n", F.coalesce(F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                     F.lead("_range").over(by_range).isNotNull().alias("_more")))
+    ending = spans.where("_more").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_n", "_before")
+    at = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        at = at & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    last = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*[F.desc(o) for o in order]))
+    tails = laid.join(ending, at).withColumn("_last", last).where(F.col("_last") <= halo)
+    into = spans.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.col("_range").alias("_to"), F.col("_before").alias("_from"))
+    reach = (F.col("_to") > F.col("_range")) & (F.col("_before") + F.col("_n") - F.col("_last") >= F.col("_from") - halo)
+    for i, k in enumerate(keys):
+        reach = reach & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    return tails.join(into, reach).select(*names, F.col("_to").alias("_range"))
+
+
+def with_halo(laid: DataFrame, frames: Sequence[tuple[Sequence[str], int]], order: Sequence[str] = ORDER) -> DataFrame:
+    """Rows of ``in_ranges`` plus, flagged ``_halo``, those that frames reach in earlier ranges.
+
+    ``frames`` lists (keys, rows reached back); every key list begins with the first one's. The result is
+    partitioned by the first list and ``_range``, so windows over ``partitionBy(keys, "_range")`` need no
+    further exchange, and halo rows of one frame never come between the rows of another.
+    """
+    base = list(frames[0][0])
+    rows = laid.withColumn("_halo", F.lit(False))
+    halos = None
+    for keys, reach in frames:
+        part = _reached(laid, list(keys), reach, order)
+        halos = part if halos is None else halos.unionByName(part)
+    if len(frames) > 1:
+        halos = halos.dropDuplicates([*base, *[k for k in frames[-1][0] if k not in base], *order, "_range"])
+    return rows.unionByName(halos.withColumn("_halo", F.lit(True))).repartition(*base, "_range")
+
+
+def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER,
                      name: str = "k", sub_keys: Sequence[str] = (), sub_name: str | None = None,
                      size_name: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of the row in its ``keys`` group by ``order``.
@@ -49,7 +87,7 @@ def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     group's row count is added too. Without keys the whole table is one group.
     """
     keys, fine = list(keys), [*keys, *sub_keys]
-    laid = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    laid = in_ranges(df, keys, order)
     counts = laid.groupBy(*fine, "_range").agg(F.count(F.lit(1)).alias("_n"))
 
     def offsets(group: Sequence[str], off: str, size: str | None = None) -> DataFrame:
@@ -70,44 +108,22 @@ def sequence_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     return d.select(*df.columns, *([size_name] if size_name else []), *out)
 
 
-def chunk_with_halo(df: DataFrame, k: str, halo: int, chunk_rows: int | None = None,
-                    chunk_col: str = "_chunk", halo_col: str = "_halo") -> DataFrame:
-    """Tag rows with their chunk; copy each chunk's last ``halo`` rows into the next."""
-    size = chunk_rows or chunk_rows_of(df)
-    if halo >= size:
-        raise ValueError(f"halo {halo} must be smaller than chunk_rows {size}")
-    c = F.floor(F.col(k) / F.lit(size)).cast("bigint")
-    own = F.struct(c.alias("c"), F.lit(False).alias("h"))
-    nxt = F.struct((c + 1).alias("c"), F.lit(True).alias("h"))
-    tags = F.when((F.col(k) % F.lit(size)) >= F.lit(size - halo), F.array(own, nxt)) \
-        .otherwise(F.array(own))
-    t = df.select("*", F.explode(tags).alias("_tag"))
-    return t.select(*[F.col(c) for c in df.columns], F.col("_tag.c").alias(chunk_col),
-                    F.col("_tag.h").alias(halo_col))
-
-
-def running_before(df: DataFrame, keys: Sequence[str], k: str, values: dict[str, Column],
-                   chunk_col: str = "_chunk", halo_col: str = "_halo") -> DataFrame:
-    """Exclusive running sums over ``keys`` ordered by ``k`` on a chunked frame.
-
-    ``keys`` may be finer than the chunking key (e.g. add ``season``); halo
-    rows never count. Result columns are named like ``values``; a row with
-    no earlier row in its group gets 0.
+def running_before(df: DataFrame, keys: Sequence[str], values: dict[str, Column], order: Sequence[str] = ORDER) -> DataFrame:
+    """Exclusive running sums over ``keys`` on rows of ``with_halo``.
+
+    ``keys`` may be finer than the ranges' keys (e.g. add ``season``); halo rows never count. Result columns are
+    named like ``values``; a row with no earlier row in its group gets 0.
     """
     keys = list(keys)
-    core = ~F.col(halo_col)
-    in_chunk = Window.partitionBy(*keys, chunk_col).orderBy(k) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    d = df.select("*", *[F.sum(F.when(core, v)).over(in_chunk).alias(f"_in_{n}")
-                         for n, v in values.items()])
-    tot = (df.where(core).groupBy(*keys, chunk_col)
-           .agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()]))
-    w_prev = Window.partitionBy(*keys).orderBy(chunk_col) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*keys, chunk_col,
-                      *[F.sum(f"_t_{n}").over(w_prev).alias(f"_o_{n}") for n in values])
-    d = d.join(offs, [*keys, chunk_col], "left")
-    helpers = {f"_in_{n}" for n in values} | {f"_o_{n}" for n in values}
-    return d.select(*[F.col(c) for c in d.columns if c not in helpers],
-                    *[(F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
-                      for n in values])
+    core = ~F.col("_halo")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = df.select("*", *[F.sum(F.when(core, v)).over(inside).alias(f"_in_{n}") for n, v in values.items()])
+    tot = df.where(core).groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+                      *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values])
+    at = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        at = at & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return d.join(offs, at, "left").select(*[F.col(c) for c in df.columns], *[
+        (F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in values])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend, month
+from .asof import asof_latest
 
 # Fixed fallback values that must equal the reference's (stat -> (column stem, fallback)).
 SNAPSHOT_STATS = {
@@ -69,7 +70,7 @@ def _latest(features: DataFrame, keys: dict[str, str], values: list[str],
     return last.select(*keys.values(), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def fixture_rows(fixtures: DataFrame, features: DataFrame) -> DataFrame:
+def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False) -> DataFrame:
     """Every model input, under its own name, for fixtures (pool, home, away) that are still to come.
 
     The home side brings all ``home_`` columns of its latest contest at home,
@@ -77,7 +78,9 @@ def fixture_rows(fixtures: DataFrame, features: DataFrame) -> DataFrame:
     latest head-to-head rates; differences are computed anew. A side without
     such a contest gets the fallbacks, and null where there is none (models
     impute 0). ``ts`` and odds columns of ``fixtures`` are used if they are
-    there; without ``ts`` the contest is on a weekend.
+    there; without ``ts`` the contest is on a weekend. With ``as_of`` only
+    contests strictly before the fixture's ``ts`` count, so past fixtures can
+    be scored as they stood; a fixture without ``ts`` then has no state.
     """
     from ..plans.features import BASE_NUMERIC_COLS, DIFFS, ODDS_COLS
     diffs = [*DIFFS, ("elo_diff", "home_elo", "away_elo"), ("venue_elo_diff", "home_elo_home", "away_elo_away")]
@@ -85,8 +88,10 @@ def fixture_rows(fixtures: DataFrame, features: DataFrame) -> DataFrame:
     out = fixtures
     for side in ("home", "away"):
         own = [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_")]
-        out = out.join(_latest(features, {"pool": "pool", side: side}, own), ["pool", side], "left")
-    out = out.join(_latest(features, {c: c for c in ("pool", "home", "away")}, pair), ["pool", "home", "away"], "left")
+        out = (asof_latest(out, features, ["pool", side], own) if as_of else
+               out.join(_latest(features, {"pool": "pool", side: side}, own), ["pool", side], "left"))
+    keys = ["pool", "home", "away"]
+    out = asof_latest(out, features, keys, pair) if as_of else out.join(_latest(features, {c: c for c in keys}, pair), keys, "left")
     fallback = {f"{side}_{stem}": value for side in ("home", "away") for stem, value in SNAPSHOT_STATS.values()}
     fallback |= {"h2h_home_win_rate": SCORING_DEFAULTS["h2h_home_win_rate"], "home_rest_days": SCORING_DEFAULTS["rest_days"],
                  "away_rest_days": SCORING_DEFAULTS["rest_days"], "home_avg_reds": SCORING_DEFAULTS["avg_reds"],

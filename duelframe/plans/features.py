@@ -3,13 +3,14 @@
 Plan shape (one pass per concern, no self-joins per statistic):
 
     contests ──entries──> per-side rows (2 per contest)
-        └─ ordinal k per (pool, team) and kv per (pool, team, side)   [count + small offsets]
-        └─ venue frames    partitionBy(pool, team, side, chunk(kv))    [shuffle]
-        └─ all-venue frames partitionBy(pool, team, chunk(k))          [shuffle]
+        └─ sampled ranges of (pool, team, ts, match_id), written once  [shuffle]
+        └─ rows + halos by (pool, team, range)                         [shuffle]
+             venue frames      partitionBy(pool, team, side, range)
+             all-venue frames  partitionBy(pool, team, range)
              rolling w=5 (full), w=3/10/19 (multi), lag(ts), season totals
         └─ repivot groupBy(match_id)                                   [shuffle]
-    contests ──pair frames partitionBy(pool, home, away, chunk)──> h2h, odds, calendar
-    contests ──repartition(pool) + ordered fold──> Elo
+    contests ──pair frames partitionBy(pool, home, away, range)──> h2h, odds, calendar
+    contests ──by (pool, component of entities) + ordered fold──> Elo
     join the three on match_id.
 """
 
@@ -25,7 +26,7 @@ from ..operators.elo import elo_ratings
 from ..operators.history import head_to_head, prev_ts_column, rest_days, season_totals
 from ..operators.rolling import (ALL_METRICS, MULTI_WINDOW_METRICS, VENUE_METRICS,
                                  rolling_columns)
-from ..operators.sequence import chunk_with_halo, sequence_ordinal
+from ..operators.sequence import ORDER, in_ranges, with_halo
 from ..operators.unpivot import entries, normalize_contests, repivot
 from ..session import stored
 
@@ -124,30 +125,23 @@ def side_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS) -> DataFrame:
     """Per-side pre-contest features: one row per (match_id, side)."""
     keys = [S.POOL, "team"]
-    tm = entries(matches)
-    tm = sequence_ordinal(tm, keys, name="k", sub_keys=["side"], sub_name="kv")
-
-    # venue split: the side's own earlier contests at the same venue
     vk = [*keys, "side"]
-    v = chunk_with_halo(tm, "kv", halo=window, chunk_col="_vchunk", halo_col="_vhalo")
-    vb, vd, vh = rolling_columns({window: VENUE_METRICS}, vk, "kv", chunk_col="_vchunk",
-                                 name=lambda m, w: f"_venue_{m}")
-    v = v.select("*", *vb).where(~F.col("_vhalo")).select("*", *vd).drop(*vh, "_vchunk", "_vhalo")
-
-    # all venues: default window (all metrics) + extra windows, rest, season totals
     windows = {window: FEATURE_METRICS, **{w: MULTI_WINDOW_METRICS for w in extra_windows}}
-    c = chunk_with_halo(v, "k", halo=max(windows))
-    bcols, dcols, helpers = rolling_columns(
-        windows, keys, "k",
-        name=lambda m, w: SIDE_RENAME.get(m, m) if w == window else _multi_name(m, w))
-    frame = Window.partitionBy(*keys, "_chunk").orderBy("k")
-    # season sums first: their sort (by season inside the chunk) then carries
+    # one exchange by (pool, team, range) serves the frames of both key lists
+    c = with_halo(in_ranges(entries(matches), keys), [(keys, max(windows)), (vk, window)])
+
+    # season sums first: their sort (by season inside the range) then carries
     # narrow rows, before the wide window aggregates are added
-    c = season_totals(c, keys, "k")
-    c = c.select("*", *bcols, prev_ts_column(frame))
-    c = c.where(~F.col("_halo"))
-    return c.select("*", *dcols, rest_days().alias("rest_days")) \
-        .drop(*helpers, "_prev_ts", "_chunk", "_halo")
+    c = season_totals(c, keys)
+    # venue split: the side's own earlier contests at the same venue
+    vb, vd, vh = rolling_columns({window: VENUE_METRICS}, vk, name=lambda m, w: f"_venue_{m}")
+    c = c.select("*", *vb).select("*", *vd).drop(*vh)
+    # all venues: default window (all metrics) + extra windows, rest
+    bcols, dcols, helpers = rolling_columns(
+        windows, keys, name=lambda m, w: SIDE_RENAME.get(m, m) if w == window else _multi_name(m, w))
+    frame = Window.partitionBy(*keys, "_range").orderBy(*ORDER)
+    c = c.select("*", *bcols, prev_ts_column(frame)).where(~F.col("_halo"))
+    return c.select("*", *dcols, rest_days().alias("rest_days")).drop(*helpers, "_prev_ts", "_range", "_halo")
 
 
 SIDE_OUTPUT = [

@@ -1,4 +1,4 @@
-"""Leakage, permutation, chunk-halo, batch-boundary and conservation properties."""
+"""Leakage, permutation, range-halo, batch-boundary and conservation properties."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators.elo import elo_ratings
-from duelframe.operators.sequence import CHUNK_CONF
 from duelframe.plans.features import BASE_NUMERIC_COLS, build_features
 from duelframe.registry import contests
 from duelframe.sources.tables import contest_view
@@ -53,13 +52,15 @@ def test_permutation_and_partitioning(spark, base):
     assert after == before
 
 
-def test_small_chunks_equal_single_chunk(spark, base):
+def test_many_ranges_equal_few(spark, base):
     c, before = base
-    spark.conf.set(CHUNK_CONF, "23")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         after = _rows(build_features(c, materialize=False))
     finally:
-        spark.conf.unset(CHUNK_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert after == before
 
 
@@ -79,7 +80,8 @@ def test_elo_conservation(spark):
     from duelframe.operators import elo as E
     c = contest_view(spark, SF_SMALL).orderBy("pool", "ts", "match_id").toPandas()
     for pool, g in c.groupby("pool"):
-        out = list(E._fold(iter([g.assign(home=g.home.astype(str), away=g.away.astype(str))])))[0]
+        rows = g.assign(home=g.home.astype(str), away=g.away.astype(str), component=pool, begins=False, **dict.fromkeys(E.RATINGS))
+        out = list(E._fold(iter([rows])))[0]
         # replay the last updates to get final ratings
         ratings = {}
         for (h, a, r), rh, ra in zip(g[["home", "away", "ftr"]].astype(str).itertuples(index=False),
