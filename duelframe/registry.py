@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from . import oracles as O
 from .operators.enrich import enrich_left
 from .operators.rolling import rolling
-from .operators.sequence import sequence_ordinal
 from .operators.unpivot import entries, repivot
 from .session import stored
 from .sources.tables import contest_view, enrichment_view, order_stats
@@ -55,7 +54,18 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
                        for f in df.schema.fields])
 
 
-_CONTESTS: dict[tuple[str, str], DataFrame] = {}
+def _input_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Session, folder and its files with sizes and times: tables stored for an input that was rewritten are not used again."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = []
+    for f in fs.listStatus(root):
+        inner = fs.listStatus(f.getPath()) if f.isDirectory() else [f]
+        files += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inner]
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(files))
+
+
+_CONTESTS: dict[tuple, DataFrame] = {}
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +76,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, then the rows), and the view's joins and aggregations over line
     items should run once, not once per query.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = _input_key(spark, sf_dir)
     if key not in _CONTESTS:
         from pyspark import StorageLevel
         stats = order_stats(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
@@ -79,7 +89,7 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CONTESTS[key]
 
 
-_FEATURES: dict[tuple[str, str], DataFrame] = {}
+_FEATURES: dict[tuple, DataFrame] = {}
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +99,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoring side reads the saved feature table rather than rebuilding it.
     """
     from .plans.features import build_features
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = _input_key(spark, sf_dir)
     if key not in _FEATURES:
         _FEATURES[key] = stored(build_features(contests(spark, sf_dir), materialize=False))
     return _FEATURES[key]
@@ -102,7 +112,7 @@ def side_rolling(spark: SparkSession, sf_dir: str, w: int, metrics: dict[str, st
     ``metrics`` maps output name -> rolling metric name.
     """
     keys = ["pool", "team", "side"] if venue else ["pool", "team"]
-    tm = sequence_ordinal(entries(contests(spark, sf_dir)), keys)
+    tm = entries(contests(spark, sf_dir))
     inv = {m: out for out, m in metrics.items()}
     r = rolling(tm, {w: list(metrics.values())}, keys=keys, name=lambda m, _w: inv[m])
     p = repivot(r.select("match_id", "side", *metrics), list(metrics))
@@ -178,7 +188,7 @@ def _multi_spec():
 @register("multi_window", O.multi_metrics_sql(_multi_spec(),
                                               diffs=[(f"xg_diff_w{w}", f"avg_xg_w{w}") for w in (3, 10, 19)]))
 def q_multi_window(spark, sf):
-    tm = sequence_ordinal(entries(contests(spark, sf)), ["pool", "team"])
+    tm = entries(contests(spark, sf))
     spec = _multi_spec()
     names = {(m, w): out for w, d in spec.items() for out, m in d.items()}
     r = rolling(tm, {w: list(d.values()) for w, d in spec.items()}, name=lambda m, w: names[(m, w)])
@@ -191,12 +201,11 @@ def q_multi_window(spark, sf):
 
 def _season_side(spark, sf):
     from .operators.history import prev_ts_column, rest_days, season_totals
-    from .operators.sequence import chunk_with_halo
+    from .operators.sequence import ORDER, in_ranges, with_halo
     from pyspark.sql import Window
     keys = ["pool", "team"]
-    tm = sequence_ordinal(entries(contests(spark, sf)), keys)
-    c = chunk_with_halo(tm, "k", halo=1)
-    c = c.select("*", prev_ts_column(Window.partitionBy(*keys, "_chunk").orderBy("k")))
+    c = with_halo(in_ranges(entries(contests(spark, sf)), keys), [(keys, 1)])
+    c = c.select("*", prev_ts_column(Window.partitionBy(*keys, "_range").orderBy(*ORDER)))
     c = season_totals(c, keys).where(~F.col("_halo"))
     return c.select("match_id", "side", "season_pts",
                     F.col("season_win_rate").alias("team_season_win_rate"),
@@ -245,6 +254,29 @@ def q_elo_venue(spark, sf):
     return round_doubles(e.select("match_id", "home_elo_home", "away_elo_away", "venue_elo_diff"))
 
 
+@register("elo_seasons", "WITH RECURSIVE " + O.CONTEST_SQL + ",\n" + O.ELO_SQL + """,
+side AS (SELECT c.pool, c.season, s.rn, unnest([c.home, c.away]) AS entity FROM contest c JOIN seq s USING (match_id)),
+ends AS (SELECT pool, season, entity, count(DISTINCT rn) AS contests, max(rn) AS rn FROM side GROUP BY ALL)
+SELECT e.pool, e.season, e.entity::VARCHAR AS entity, e.contests, r.match_id AS last_id, coalesce(m_all[e.entity], 1500.0e0) AS elo,
+  coalesce(m_home[e.entity], 1500.0e0) AS elo_home, coalesce(m_away[e.entity], 1500.0e0) AS elo_away
+FROM ends e JOIN elo_rec r ON r.pool = e.pool AND r.rn = e.rn""", text_cols=("pool", "entity"))
+def q_elo_seasons(spark, sf):
+    from .operators.elo import season_ratings
+    return round_doubles(season_ratings(contests(spark, sf)).drop("last_ts"))
+
+
+@register("elo_resumed", O.elo_sql(["home_elo", "away_elo", "elo_diff", "home_elo_home", "away_elo_away", "venue_elo_diff"]))
+def q_elo_resumed(spark, sf):
+    """Two folds: the earlier half of the seasons, then the later half from the stored season table."""
+    from .operators.elo import elo_ratings, ratings_after, season_ratings
+    c = contests(spark, sf)
+    spans = [r["season"] for r in c.groupBy("season").agg(F.min("ts").alias("t")).orderBy("t").select("season").collect()]
+    early = F.col("season").isin(spans[: len(spans) // 2])
+    start = ratings_after(stored(season_ratings(c.where(early))))
+    return round_doubles(elo_ratings(c.where(early)).unionAll(elo_ratings(c.where(~early), start=start)))
+
+
+
 # ------------------------------------------------------------ full table ---
 def _features_oracle() -> str:
     from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
@@ -359,13 +391,13 @@ split AS (SELECT *, CASE WHEN row_idx < floor(n_rows * 0.8) THEN 'train' ELSE 't
           FROM ordn)"""
 
 
-_SPLITS: dict[tuple[str, str], DataFrame] = {}
+_SPLITS: dict[tuple, DataFrame] = {}
 
 
 def _split(spark, sf):
     """Time-ordered 80/20 split with the bookmaker-favourite prediction, written once per session."""
     from .operators.split import temporal_split
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    key = _input_key(spark, sf)
     if key not in _SPLITS:
         s = temporal_split(contests(spark, sf))
         pred = (F.when(F.col("odd_h").isNull(), "H")
@@ -398,6 +430,29 @@ def q_ts_cv_folds(spark, sf):
     return cv_folds(tr, size="n_train").select("match_id", "row_idx", "test_fold", "train_from_fold")
 
 
+@register("fold_statistics", O.with_contest(SPLIT_SQL + """,
+tr AS (SELECT s.row_idx, s.ftr, u.col, coalesce(u.x, 0.0) AS x, (SELECT count(*) FROM split WHERE role = 'train') AS n
+  FROM split s JOIN contest c USING (match_id),
+  unnest([{'col': 'hg', 'x': c.hg::DOUBLE}, {'col': 'xg_h', 'x': c.xg_h::DOUBLE}, {'col': 'odd_h', 'x': c.odd_h::DOUBLE}]) AS t(u) WHERE s.role = 'train'),
+folds AS (SELECT t.*, f.fold FROM tr t, (VALUES (0), (1), (2), (3), (4), (5)) f(fold) WHERE t.row_idx < n - (5 - f.fold) * (n // 6)),
+shares AS (SELECT fold, ftr, count(*) AS c FROM folds WHERE col = 'hg' GROUP BY ALL),
+modes AS (SELECT fold, ftr AS mode FROM shares QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c DESC, ftr) = 1),
+weights AS (SELECT fold, sum(c) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * c::DOUBLE) AS home_weight, ftr FROM shares)
+SELECT m.fold, m.col, count(*) AS n, avg(x) AS mean, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1.0 END AS std,
+  any_value(modes.mode) AS mode_outcome, any_value(w.home_weight) AS home_weight
+FROM folds m JOIN modes USING (fold) JOIN weights w ON w.fold = m.fold AND w.ftr = 'H' GROUP BY m.fold, m.col"""), text_cols=("col", "mode_outcome"))
+def q_fold_statistics(spark, sf):
+    """Means, deviations, modes and class weights of five expanding folds and of all training rows, from one pass."""
+    from .operators.split import cv_folds
+    from .plans.foldstats import fold_class_weights, fold_modes, fold_moments
+    train = _split(spark, sf).where(F.col("role") == "train")
+    n = train.count()
+    rows = stored(cv_folds(train.withColumn("n", F.lit(n)), 5, size="n").select("train_from_fold", "ftr", "hg", "xg_h", "odd_h"))
+    weights = fold_class_weights(rows, "ftr", 5).where("label = 'H'").select("fold", F.col("weight").alias("home_weight"))
+    modes = fold_modes(rows, ["ftr"], 5).select("fold", F.col("mode").alias("mode_outcome"))
+    return round_doubles(fold_moments(rows, ["hg", "xg_h", "odd_h"], 5).join(modes, "fold").join(weights, "fold"))
+
+
 @register("label_encode", O.with_contest(
     "x AS (SELECT 1)\nSELECT match_id, ftr, CAST(dense_rank() OVER (ORDER BY ftr) - 1 AS DOUBLE) AS label "
     "FROM contest"), text_cols=("ftr",))
@@ -533,6 +588,21 @@ def q_one_hot(spark, sf):
 
 
 # ------------------------------------------------------ snapshot, fixtures ---
+@register("entity_codes", O.with_contest(SPLIT_SQL + """,
+pairs AS (SELECT s.match_id, s.role, c.home::VARCHAR AS home, c.away::VARCHAR AS away, c.home || '>' || c.away || '>' || month(c.ts) AS meeting FROM split s JOIN contest c USING (match_id)),
+h AS (SELECT home AS v, row_number() OVER (ORDER BY home) - 1 AS code FROM (SELECT DISTINCT home FROM pairs WHERE role = 'train')),
+a AS (SELECT away AS v, row_number() OVER (ORDER BY away) - 1 AS code FROM (SELECT DISTINCT away FROM pairs WHERE role = 'train')),
+m AS (SELECT meeting AS v, row_number() OVER (ORDER BY meeting) - 1 AS code FROM (SELECT DISTINCT meeting FROM pairs WHERE role = 'train'))
+SELECT match_id, coalesce(h.code, -1) AS home_code, coalesce(a.code, -1) AS away_code, coalesce(m.code, -1) AS meeting_code
+FROM pairs LEFT JOIN h ON h.v = home LEFT JOIN a ON a.v = away LEFT JOIN m ON m.v = meeting"""))
+def q_entity_codes(spark, sf):
+    """Codes fitted on the training rows; ``meeting`` (sides and month) has many values, and unseen ones."""
+    from .operators.encode import ordinal_codes
+    d = stored(_split(spark, sf).select("match_id", "role", "home", "away", F.concat_ws(">", "home", "away", F.month("ts")).alias("meeting")))
+    cols = ["home", "away", "meeting"]
+    return ordinal_codes(d, cols, d.where(F.col("role") == "train")).select("match_id", *[f"{c}_code" for c in cols])
+
+
 def _snapshot_oracle(select: str) -> str:
     from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
     feat = O.features_sql(ID_COLS, BASE_NUMERIC_COLS, ODDS_COLS, DIFFS)
@@ -563,15 +633,17 @@ def q_latest_snapshot(spark, sf):
 
 @register("fixture_candidates", O.with_contest("""
 ents AS (SELECT pool, home AS team FROM contest UNION SELECT pool, away FROM contest),
-ch AS (SELECT pool, min(team) AS chosen FROM ents GROUP BY pool)
+last AS (SELECT * FROM contest QUALIFY ts = max(ts) OVER (PARTITION BY pool)),
+ch AS (SELECT pool, home AS chosen FROM last UNION SELECT pool, away FROM last)
 SELECT e.pool, ch.chosen, e.team AS opponent FROM ents e JOIN ch USING (pool) WHERE e.team <> ch.chosen"""),
     text_cols=("pool",))
 def q_fixture_candidates(spark, sf):
     from .operators.snapshot import opponent_candidates
     from .plans.profile import entities
-    ents = entities(contests(spark, sf))
-    chosen = ents.groupBy("pool").agg(F.min("team").alias("team"))
-    return opponent_candidates(ents, chosen)
+    c = contests(spark, sf)
+    # chosen: the sides of each pool's latest contests, as many as play at one time, so rows grow with entities
+    latest = c.join(c.groupBy("pool").agg(F.max("ts").alias("ts")), ["pool", "ts"])
+    return opponent_candidates(entities(c), entities(latest))
 
 
 # ---------------------------------------------------------- ingest helpers ---
@@ -646,14 +718,14 @@ def q_union_by_name(spark, sf):
 
 
 # ------------------------------------------------------------------- feed ---
-_FEEDS: dict[tuple[str, str], DataFrame] = {}
+_FEEDS: dict[tuple, DataFrame] = {}
 
 
 def _parsed_feed(spark, sf):
     """Feed documents as landed files would be: derived and written once per session, then parsed."""
     from .sources.feed import parse_feed
     from .sources.tables import feed_documents
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    key = _input_key(spark, sf)
     if key not in _FEEDS:
         _FEEDS[key] = stored(feed_documents(spark, sf))
     return parse_feed(_FEEDS[key])
@@ -706,41 +778,101 @@ def _labeled_split(spark, sf):
     return temporal_split(labeled)
 
 
+def _logistic():
+    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
+    from .plans.training import model_catalogue
+    return model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_boosted=False)["logistic_balanced"]
+
+
+CLASSES = ("A", "D", "H")  # labels 0, 1, 2
+
+
+_SCORES: dict[tuple, DataFrame] = {}
+
+
 @register("train_score")
 def q_train_score(spark, sf):
-    """Weighted multinomial model fitted on the first 80 % in time, scored on the rest.
+    """Weighted multinomial model fitted on the first 80 % in time, its probabilities calibrated by isotonic
+    regression on the scores of expanding-window folds, over the rest (M12, M15, O9, P21).
 
-    Rows-only check: outcome probabilities per test contest, best first (M12, M15, O9).
+    No SQL: the values are a fitted model's. Tests hold the calibration against SQL (``odds_calibration``).
     """
+    from .functions.outcomes import decode_outcome
+    from .plans.calibrate import Calibrator, binned_scores
     from .plans.evaluate import top_outcomes
-    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
-    from .plans.training import class_probabilities, model_catalogue, with_balanced_weights
+    from .plans.training import class_probabilities, fit_weighted, fold_predictions, with_folds
+    key = _input_key(spark, sf)
+    if key in _SCORES:
+        return _SCORES[key]
     s = _labeled_split(spark, sf)
-    train = with_balanced_weights(s.where(F.col("role") == "train"))
-    test = s.where(F.col("role") == "test").withColumn("class_weight", F.lit(1.0))
-    pipe = model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_gbt=False)["logistic_balanced"]
-    model = pipe.fit(train)
-    return top_outcomes(class_probabilities(model, test))
-
-
-@register("model_compare", O.with_contest("""
-n AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM contest)
-SELECT model, fold, n - (2 - fold) * (n // 3) AS n_train, n // 3 AS n_test, true AS f1_in_range, true AS accuracy_in_range,
-       4 AS report_rows_at_least
-FROM n, (VALUES ('xgb_like'), ('gbm_classic'), ('leafwise_like'), ('logistic_balanced')) m(model), (VALUES (0), (1)) f(fold)"""),
-          text_cols=("model", "f1_in_range", "accuracy_in_range"))
+    train = stored(s.where(F.col("role") == "train"))
+    folds, _ = with_folds(train, 3)
+    held = fold_predictions(_logistic(), stored(folds), 3)
+    each = held.select("label", F.posexplode("probability").alias("cls", "p")).withColumn("hit", (F.col("label") == F.col("cls")).cast("int"))
+    calibrator = Calibrator.fit(binned_scores(each, "p", "hit", ["cls"]), "cls")
+    scored = class_probabilities(fit_weighted(_logistic(), train), s.where(F.col("role") == "test"))
+    scored = stored(scored.select("match_id", "probability").withColumn("calibrated", calibrator.probabilities(F.col("probability"), range(len(CLASSES)))))
+    raw = top_outcomes(scored).select("match_id", "outcome", F.col("probability").alias("raw"))
+    _SCORES[key] = stored(top_outcomes(scored, prob_col="calibrated").join(raw, ["match_id", "outcome"])
+                          .select("match_id", "rank", "outcome", decode_outcome("outcome").alias("outcome_text"), "raw", "probability"))
+    return _SCORES[key]
+
+
+@register("reliability")
+def q_reliability(spark, sf):
+    """Reliability table of the calibrated model on the test rows: (cls, bin, n, mean_score, rate)."""
+    from .plans.calibrate import binned_scores
+    truth = _labeled_split(spark, sf).select("match_id", "ftr")
+    scores = q_train_score(spark, sf).join(truth, "match_id").withColumn("hit", (F.col("ftr") == F.col("outcome")).cast("int"))
+    return round_doubles(binned_scores(scores, "probability", "hit", ["outcome"], bins=10))
+
+
+@register("odds_calibration", O.with_contest(O.ODDS_SQL + """,
+scored AS (SELECT u.cls, u.p, CASE WHEN c.ftr = u.cls THEN 1 ELSE 0 END AS hit FROM odds o JOIN contest c USING (match_id),
+  unnest([{'cls': 'H', 'p': o.b365_prob_h}, {'cls': 'D', 'p': o.b365_prob_d}, {'cls': 'A', 'p': o.b365_prob_a}]) AS x(u) WHERE u.p IS NOT NULL),
+binned AS (SELECT cls, least(49, greatest(0, floor(p * 50)))::INTEGER AS bin, count(*) AS n, avg(p) AS mean_score, sum(hit) AS hits
+  FROM scored GROUP BY ALL),
+means AS (SELECT j.cls, j.bin AS j, k.bin AS k,
+    (SELECT sum(hits) / sum(n)::DOUBLE FROM binned b WHERE b.cls = j.cls AND b.bin BETWEEN j.bin AND k.bin) AS v
+  FROM binned j JOIN binned k ON k.cls = j.cls AND k.bin >= j.bin),
+lows AS (SELECT b.cls, b.bin, m.j, min(m.v) AS v FROM binned b JOIN means m ON m.cls = b.cls AND m.j <= b.bin AND m.k >= b.bin GROUP BY ALL)
+SELECT b.cls, b.bin, b.n, b.mean_score, b.hits / b.n::DOUBLE AS rate, (SELECT max(v) FROM lows l WHERE l.cls = b.cls AND l.bin = b.bin) AS calibrated
+FROM binned b"""), text_cols=("cls",))
+def q_odds_calibration(spark, sf):
+    """Implied odds of every contest, calibrated against its outcomes: bins, rates and pooled rates of each class."""
+    from .functions.odds import implied_probs
+    from .plans.calibrate import Calibrator, binned_scores
+    c = contests(spark, sf)
+    probs = dict(zip("HDA", implied_probs("odd_h", "odd_d", "odd_a"), strict=True))
+    each = F.array(*[F.struct(F.lit(k).alias("cls"), p.alias("p")) for k, p in probs.items()])
+    rows = c.select("ftr", F.explode(each).alias("u")).select("u.cls", "u.p", (F.col("ftr") == F.col("u.cls")).cast("int").alias("hit"))
+    binned = stored(binned_scores(rows, "p", "hit", ["cls"]))
+    calibrator = Calibrator.fit(binned, "cls")
+    middle = (F.col("bin") + 0.5) / calibrator.bins
+    return round_doubles(binned.withColumn("calibrated", calibrator.value(F.col("cls"), middle)))
+
+
+@register("model_compare")
 def q_model_compare(spark, sf):
-    """All four models, with few inputs and shallow trees: fold sizes and the ranges of the scores are compared."""
-    from .plans.features import ODDS_COLS
+    """All four models on all inputs, home and away, with 5 folds: fold scores, per-class reports and the ranking.
+
+    Few trees, as the query runs often; the presets' own numbers are the library's defaults. No SQL: the values
+    are fitted models'. (part: fold or report; n: test rows or support.)
+    """
+    from .plans.evaluate import leaderboard
+    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
     from .plans.training import model_catalogue, train_and_compare
-    inputs = ["form_diff", "elo_diff", "streak_diff", "rest_diff", "xg_diff_w3", *ODDS_COLS]
-    s = _labeled_split(spark, sf).select("match_id", "label", "role", "row_idx", "pool", *inputs)
-    models = model_catalogue(inputs, ["pool"], gbt_overrides={"maxIter": 1, "maxDepth": 2})
-    results, _, folds, reports = train_and_compare(models, s.where(F.col("role") == "train"), s.where(F.col("role") == "test"), n_splits=2)
-    n_rows = reports.groupBy("model").agg(F.least(F.count(F.lit(1)), F.lit(4)).cast("int").alias("report_rows_at_least"))
-    return (folds.join(results, "model").join(n_rows, "model")
-            .select("model", "fold", "n_train", "n_test", F.col("macro_f1").between(0, 1).alias("f1_in_range"),
-                    F.col("test_acc").between(0, 1).alias("accuracy_in_range"), "report_rows_at_least"))
+    inputs = BASE_NUMERIC_COLS + ODDS_COLS
+    s = stored(_labeled_split(spark, sf).select("match_id", "label", "role", "row_idx", *CAT_COLS, *inputs))
+    models = model_catalogue(inputs, CAT_COLS, overrides={"rounds": 2, "depth": 3, "rate": 0.3}, width=64, iterations=30)
+    results, _, folds, reports = train_and_compare(models, s.where(F.col("role") == "train"), s.where(F.col("role") == "test"))
+    none = F.lit(None).cast("double")
+    rows = folds.select("model", F.lit("fold").alias("part"), F.col("fold").cast("string").alias("key"), F.col("n_train"), F.col("n_test").alias("n"),
+                        none.alias("precision"), none.alias("recall"), F.col("macro_f1").alias("f1"))
+    rows = rows.unionByName(reports.select("model", F.lit("report").alias("part"), F.col("cls").alias("key"), F.lit(None).cast("bigint").alias("n_train"),
+                                           F.col("support").alias("n"), "precision", "recall", "f1"))
+    ranks = leaderboard(results).select("model", "rank", "test_acc", "cv_mean", "cv_std")
+    return round_doubles(rows.join(ranks, "model"))
 
 
 def _fixture_oracle() -> str:
@@ -784,28 +916,147 @@ def q_fixture_rows(spark, sf):
     return round_doubles(fixture_rows(_fixtures(feats), feats))
 
 
-@register("fixture_scores", O.with_contest("""
-fx AS (SELECT pool, home, away FROM contest UNION SELECT pool, away, home FROM contest)
-SELECT pool, home, away, 'A,D,H' AS outcomes, true AS sums_to_one, true AS falls FROM fx"""), text_cols=("pool", "outcomes", "sums_to_one", "falls"))
+@register("fixture_scores")
 def q_fixture_scores(spark, sf):
-    """The fitted model over the fixtures; the probabilities' properties are compared, not their values."""
+    """The fitted model over the fixtures: outcomes by falling probability, with their texts."""
+    from .functions.outcomes import decode_outcome
     from .operators.snapshot import fixture_rows
     from .plans.evaluate import top_outcomes
-    from .plans.features import BASE_NUMERIC_COLS, CAT_COLS, ODDS_COLS
-    from .plans.training import class_probabilities, fit_weighted, model_catalogue
+    from .plans.training import class_probabilities, fit_weighted
     s = _labeled_split(spark, sf)
-    pipe = model_catalogue(BASE_NUMERIC_COLS + ODDS_COLS, CAT_COLS, include_gbt=False)["logistic_balanced"]
     feats = feature_table(spark, sf)
-    scored = class_probabilities(fit_weighted(pipe, s.where(F.col("role") == "train")), fixture_rows(_fixtures(feats), feats))
+    scored = class_probabilities(fit_weighted(_logistic(), s.where(F.col("role") == "train")), fixture_rows(_fixtures(feats), feats))
     keys = ("pool", "home", "away")
     kinds = dict(feats.dtypes)
     scored = scored.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})  # imputed categories are text
-    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
-    ranked = top_outcomes(scored, keys=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "outcome", "probability"))).alias("r"))
-    sums = scored.select(*keys, (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
-    down = F.forall(F.sequence(F.lit(2), F.size("r")), lambda i: F.element_at("r", i)["probability"] <= F.element_at("r", i - 1)["probability"])
-    return ranked.join(sums, list(keys)).select(
-        *keys, F.array_join(F.array_sort(F.transform("r", lambda x: x["outcome"])), ",").alias("outcomes"), "sums_to_one", down.alias("falls"))
+    return top_outcomes(scored, keys=keys).withColumn("outcome_text", decode_outcome("outcome"))
+
+
+@register("decoded_favourites", O.with_contest(SPLIT_SQL + """
+SELECT match_id, CASE pred WHEN 'H' THEN 'Home Win' WHEN 'D' THEN 'Draw' ELSE 'Away Win' END AS predicted,
+  CASE ftr WHEN 'H' THEN 'Home Win' WHEN 'D' THEN 'Draw' ELSE 'Away Win' END AS actual FROM split"""), text_cols=("predicted", "actual"))
+def q_decoded_favourites(spark, sf):
+    """Predicted and actual outcomes as texts."""
+    from .functions.outcomes import decode_outcome
+    return _split(spark, sf).select("match_id", decode_outcome("pred").alias("predicted"), decode_outcome("ftr").alias("actual"))
+
+
+def _asof_oracle() -> str:
+    from .plans.features import BASE_NUMERIC_COLS, DIFFS, ID_COLS, ODDS_COLS
+    feat = O.features_sql(ID_COLS, BASE_NUMERIC_COLS, ODDS_COLS, DIFFS)
+
+    def last(*keys):
+        return (f"SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)}, ts ORDER BY match_id DESC) = 1")
+
+    return (f"WITH feat AS MATERIALIZED ({feat}),\nhl AS ({last('pool', 'home')}),\nal AS ({last('pool', 'away')}),\npl AS ({last('pool', 'home', 'away')})\n"
+            "SELECT f.match_id, coalesce(h.home_form_points, 7.0)::DOUBLE AS home_form_points, coalesce(a.away_form_points, 7.0)::DOUBLE AS away_form_points, "
+            "coalesce(h.home_elo, 1500.0) AS home_elo, coalesce(a.away_elo, 1500.0) AS away_elo, "
+            "coalesce(h.home_elo, 1500.0) - coalesce(a.away_elo, 1500.0) AS elo_diff, h.home_season_pts::DOUBLE AS home_season_pts, "
+            "a.away_season_pts::DOUBLE AS away_season_pts, coalesce(p.h2h_home_win_rate, 0.5) AS h2h_home_win_rate, p.h2h_draw_rate AS h2h_draw_rate, "
+            "f.is_weekend::DOUBLE AS is_weekend, f.month::DOUBLE AS month\n"
+            "FROM feat f ASOF LEFT JOIN hl h ON h.pool = f.pool AND h.home = f.home AND f.ts > h.ts\n"
+            "ASOF LEFT JOIN al a ON a.pool = f.pool AND a.away = f.away AND f.ts > a.ts\n"
+            "ASOF LEFT JOIN pl p ON p.pool = f.pool AND p.home = f.home AND p.away = f.away AND f.ts > p.ts")
+
+
+@register("fixture_asof", _asof_oracle())
+def q_fixture_asof(spark, sf):
+    """Every contest as a fixture of its own time: the sides' latest rows strictly before it."""
+    from .operators.snapshot import fixture_rows
+    feats = feature_table(spark, sf)
+    out = fixture_rows(feats.select("match_id", "ts", "pool", "home", "away"), feats, as_of=True)
+    return round_doubles(out.select("match_id", "home_form_points", "away_form_points", "home_elo", "away_elo", "elo_diff", "home_season_pts",
+                                    "away_season_pts", "h2h_home_win_rate", "h2h_draw_rate", "is_weekend", "month"))
+
+
+# ------------------------------------------------------ artifacts, merges ---
+@register("artifact_roundtrip", O.with_contest("""
+x AS (SELECT 1)
+SELECT season, count(*) AS n_rows, sum(match_id)::BIGINT AS ids, sum(CASE WHEN ftr = 'H' THEN 1 ELSE 0 END)::BIGINT AS home_wins,
+  (SELECT count(*) FROM (SELECT pool, home FROM contest UNION SELECT pool, away FROM contest)) AS n_entities,
+  CASE WHEN season % 2 = 0 THEN 2 ELSE 1 END AS version, 'always_draw,always_home' AS models
+FROM contest GROUP BY season"""), text_cols=("models",))
+def q_artifact_roundtrip(spark, sf):
+    """Feature table, entities and results written, partly written again, and read back.
+
+    The first version holds all seasons with every outcome changed; a second write brings the odd seasons as
+    they are, a third one the even seasons. Each season's rows come from the newest version that touched it.
+    """
+    import uuid
+
+    from .session import shared_folder
+    from .sources.artifacts import VersionedTable, load_feature_table, load_results, save_entities, save_results
+    feats = feature_table(spark, sf).select("match_id", "season", "pool", "home", "away", "ftr")
+    folder = f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}/artifacts-{uuid.uuid4().hex}"
+    table = VersionedTable(spark, f"{folder}/features")
+    table.write(feats.withColumn("ftr", F.lit("?")))
+    odd = F.col("season") % 2 != 0
+    table.write(feats.where(odd))
+    table.write(feats.where(~odd))
+    table.write(feats.where("false"))
+    save_entities(table.read(), f"{folder}/entities")
+    save_results(spark.createDataFrame([("always_home", 0.5, 0.2), ("always_draw", 0.6, 0.1)], "model string, test_acc double, cv_mean double"), f"{folder}/results")
+    entities = load_feature_table(spark, f"{folder}/entities").count()
+    models = ",".join(sorted(r["model"] for r in load_results(spark, f"{folder}/results").collect()))
+    newest = {n.partition("=")[2]: f for n, f in table.manifest()["parts"].items()}
+    second = {n.partition("=")[2]: f for n, f in table.manifest(2)["parts"].items()}
+    version = F.when(F.col("season").cast("string").isin([k for k, f in newest.items() if second[k] == f]), 1).otherwise(2)
+    rows = table.read().groupBy("season").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("match_id").cast("bigint").alias("ids"),
+                                              F.sum((F.col("ftr") == "H").cast("bigint")).alias("home_wins"))
+    return rows.withColumns({"n_entities": F.lit(entities).cast("bigint"), "models": F.lit(models), "version": version})
+
+
+@register("enrichment_merge", O.with_tm("""
+merged AS (SELECT match_id, 'file' AS source, xg_h, npxg_h, ppda_h, deep_a, xpts_a FROM cx
+  UNION ALL SELECT match_id, 'absent', xg_h, NULL, NULL, NULL, NULL FROM contest)
+SELECT *, NULL::DOUBLE AS fc_w FROM merged"""), text_cols=("source",))
+def q_enrichment_merge(spark, sf):
+    """The provider's file, which lacks the forecast columns, merged onto the contests; then no file at all."""
+    import uuid
+
+    from .operators.enrich import dedupe_latest
+    from .session import shared_folder
+    from .sources.enrichment import merge_enrichment, read_enrichment
+    from .sources.tables import contest_view, enrichment_view
+    side = {c: F.concat_ws("/", "pool", c) for c in ("home", "away")}
+    c = contest_view(spark, sf)
+    c = stored(c.withColumns({**side, "ts": F.col("ts").cast("timestamp_ntz")}).select("match_id", "ts", "home", "away", "xg_h", "xg_a"))
+    names = {"npxg_h": "us_home_npxg", "ppda_h": "us_home_ppda", "deep_a": "us_away_deep", "xpts_a": "us_away_xpts"}
+    e = dedupe_latest(enrichment_view(spark, sf), ENRICH_KEYS, tie="src_id").withColumns(side)
+    folder = f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}/provider-{uuid.uuid4().hex}"
+    e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("home").alias("home_team"), F.col("away").alias("away_team"),
+             *[F.col(k).alias(v) for k, v in names.items()]).write.parquet(folder)
+    columns = ["match_id", "source", "xg_h", *names, "fc_w"]
+    parts = [merge_enrichment(c, read_enrichment(spark, path)).withColumn("source", F.lit(kind)).select(*columns)
+             for kind, path in (("file", folder), ("absent", f"{folder}-none"))]
+    return round_doubles(parts[0].unionByName(parts[1]))
+
+
+@register("entry_metrics", O.with_tm("""
+x AS (SELECT 1)
+SELECT match_id, side, clean_sheet, scored_any, goal_diff, res, xg_overperf AS xg_op, CASE WHEN points = 3 THEN 1 ELSE 0 END AS win,
+  CASE WHEN sot > 0 THEN scored / sot::DOUBLE ELSE 0.0 END AS shot_conv FROM tmx"""), text_cols=("side",))
+def q_entry_metrics(spark, sf):
+    """Per-side metrics of a contest's own numbers."""
+    return round_doubles(entries(contests(spark, sf)).select("match_id", "side", "clean_sheet", "scored_any", "goal_diff", "res", "xg_op", "win", "shot_conv"))
+
+
+@register("lookup_twice", O.with_contest("""
+each AS (SELECT pool, season, home AS team, hg AS goals FROM contest UNION ALL SELECT pool, season, away, ag FROM contest),
+per AS (SELECT pool, season, team, count(*) AS games, sum(goals)::BIGINT AS goals FROM each GROUP BY ALL)
+SELECT c.match_id, h.games AS home_games, h.goals AS home_goals, a.games AS away_games, a.goals AS away_goals
+FROM contest c LEFT JOIN per h ON h.pool = c.pool AND h.season = c.season - 1 AND h.team = c.home
+LEFT JOIN per a ON a.pool = c.pool AND a.season = c.season - 1 AND a.team = c.away"""))
+def q_lookup_twice(spark, sf):
+    """One table of sides looked up for the home and for the away side: last season's games and goals."""
+    c = contests(spark, sf)
+    per = entries(c).groupBy("pool", "season", "team").agg(F.count(F.lit(1)).alias("games"), F.sum("scored").cast("bigint").alias("goals"))
+    out = c.select("match_id", "pool", "season", "home", "away")
+    for side in ("home", "away"):
+        own = per.select("pool", (F.col("season") + 1).alias("season"), F.col("team").alias(side), F.col("games").alias(f"{side}_games"),
+                         F.col("goals").alias(f"{side}_goals"))
+        out = out.join(own, ["pool", "season", side], "left")
+    return out.select("match_id", "home_games", "home_goals", "away_games", "away_goals")
 
 
 @register("season_ingest", O.with_contest("""

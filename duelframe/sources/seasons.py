@@ -1,18 +1,19 @@
 """Season files: scan, header check, union by name and mapping to a contest table.
 
 Files with different headers must not be read by one CSV scan (columns would
-be matched by position, T1). Headers are read from each file's first line
-through the Hadoop filesystem (metadata-sized driver IO, like a listing);
-files sharing a header are read by one ``spark.read.csv`` over all of them;
-the header groups are then combined with ``unionByName(allowMissingColumns)``.
-The number of scans is the number of distinct headers, not of files.
+be matched by position, T1). The first lines of all files come from one Spark job,
+grouped by header, whatever the number of files; the driver gets the headers with
+their file names, a listing. Files sharing a header are read by one ``spark.read.csv``
+over all of them; the header groups are then combined with
+``unionByName(allowMissingColumns)``. The number of scans is the number of distinct
+headers, not of files.
 """
 
 from __future__ import annotations
 
 import csv
 import posixpath
-from collections import OrderedDict
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,20 +50,12 @@ def list_season_files(spark: SparkSession, data_dir: str, exclude: tuple[str, ..
                    if st.isFile() and st.getPath().getName().endswith(".csv")
                    and st.getPath().getName() not in exclude)
     if not names:
-        raise FileNotFoundError(f"No match CSV files found in {data_dir}.")
+        raise FileNotFoundError(f"{data_dir} holds no season file (*.csv)")
     return names
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine() or ""
-    finally:
-        stream.close()
-    # blank names (trailing commas) are named by their place, repeated ones after it
+def _names(line: str) -> tuple[str, ...]:
+    """Column names of a header line: blank ones (trailing commas) are named by their place, repeated ones after it."""
     names: list[str] = []
     for i, h in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
         name = h.strip() or f"_blank{i}"
@@ -70,13 +63,26 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(line, files): the distinct first lines and the files that begin with them, by one job.
+
+    Only the split at a file's start holds its first line; inside it the first row is found by a partial minimum.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                          F.monotonically_increasing_id().alias("place"), "value")
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    return first.groupBy("line").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
 def read_season_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All files as string columns plus ``source_file`` (the season key)."""
-    groups: OrderedDict[tuple[str, ...], list[str]] = OrderedDict()
-    for path in paths:
-        groups.setdefault(_header(spark, path), []).append(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in file_headers(spark, paths).collect():  # file names, as in a listing
+        groups.setdefault(_names(r["line"]), []).extend(unquote(f) for f in r["files"])
+    if not groups:
+        raise ValueError("the season files are empty")
     parts = []
-    for header, files in groups.items():
+    for header, files in sorted(groups.items(), key=lambda g: min(g[1])):
         schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
         df = (spark.read.option("header", True).option("encoding", "UTF-8").option("escape", "\"").schema(schema)
               .option("enforceSchema", True).csv(files))

@@ -15,7 +15,7 @@ from duelframe.plans.features import build_features, feature_columns
 from duelframe.plans.training import ordinal_encode
 from duelframe.sources.artifacts import load_feature_table, load_results, save_entities, save_feature_table, save_results
 from duelframe.sources.enrichment import merge_enrichment, read_enrichment
-from duelframe.sources.feed import feed_enrichment, parse_feed, read_feed_files, write_enrichment
+from duelframe.sources.feed import cut_feed, feed_enrichment, finished_match_rows, flatten_team_history, parse_feed, read_feed_files, write_enrichment
 
 
 def test_enrichment_file_absent_and_present(spark):
@@ -99,3 +99,46 @@ def test_ordinal_encode_unseen(spark):
     df = spark.createDataFrame([("a",), ("b",), ("z",)], "t string")
     got = {r.t: r.t_ord for r in ordinal_encode(df, ["t"], fit_on=fit).collect()}
     assert got == {"a": 0, "b": 1, "z": -1}
+
+
+def _large_feed(seed, spaces):
+    import random
+    r = random.Random(seed)
+    names = [f"Team {k}" for k in range(12)] + ['Quo"ted \\\\ é', "Empty", "Single"]
+
+    def entry():
+        e = {"date": f"2021-0{r.randrange(1, 10)}-{r.randrange(10, 29)} 20:00:00", "ppda": {"att": str(r.randrange(300)), "def": str(r.randrange(20))},
+             "xpts": str(r.random()), "npxG": r.choice(["0.5", "n/a", None]), "deep": str(r.randrange(9))}
+        return {k: v for k, v in e.items() if r.random() > 0.1 or k == "date"}
+
+    def match():
+        m = {"isResult": r.random() > 0.1, "datetime": f"2021-0{r.randrange(1, 10)}-{r.randrange(10, 29)} 20:00:00", "h": {"title": r.choice(names)},
+             "a": {"title": r.choice(names)}, "xG": {"h": str(r.random()), "a": r.choice(["1", "oops"])}}
+        return m | ({"forecast": {"w": "0.5", "l": "0.2"}} if r.random() > 0.3 else {})
+
+    teams = {str(k): {"title": n, "history": [entry() for _ in range(0 if n == "Empty" else 1 if n == "Single" else r.randrange(2, 40))]} for k, n in enumerate(names)}
+    doc = {"matches": [match() for _ in range(200)], "teams": teams}
+    if seed % 2:
+        doc = dict(reversed(doc.items()))
+    return json.dumps(doc, ensure_ascii=False, separators=(", ", ": ") if spaces else (",", ":"))
+
+
+def test_one_large_document_is_cut_into_many_tasks(spark):
+    d = tempfile.mkdtemp(prefix="duelframe-large-")
+    for spaces in (False, True):
+        paths = [os.path.join(d, f"{spaces}-{seed}.json") for seed in (1, 2)] + [os.path.join(d, f"{spaces}-none.json")]
+        for path, text in zip(paths, (_large_feed(1, spaces), _large_feed(2, spaces), '{"matches":[],"teams":{}}'), strict=True):
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+        whole = parse_feed(read_feed_files(spark, paths))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            cut = cut_feed(spark, paths, "}, {" if spaces else "},{")
+            assert spark.read.option("lineSep", "},{").text(paths).rdd.getNumPartitions() > 15
+            results = [[sorted(map(repr, f(feed).collect())) for f in (lambda x: finished_match_rows(x).drop("pos"), flatten_team_history, feed_enrichment)]
+                       for feed in (whole, cut)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert results[0] == results[1] and all(len(x) > 50 for x in results[0])
