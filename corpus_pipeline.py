@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; its result is written as Parquet and read again as the next one's docs.
 All stages but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty, equals an empty one, and is scored, kept
+and encoded like any other; texts without words link with nothing and are left out of
+the mix; very long texts are read whole by every stage; of repeated rows one goes on;
+rows with null ids are never learnt from and count as rows of their own; ties go to the
+smallest id; an empty table gives an empty result at every stage; further columns of
+``documents``, whatever their names, are passed through to the last stage.
 """
 
 from __future__ import annotations
