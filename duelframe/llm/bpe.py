@@ -11,12 +11,14 @@ The vocabulary (a tokenizers JSON file, a few MB whatever the input) is read by
 the driver and broadcast. A slice holds about ``SLICE_CHARS`` characters of
 whole texts, which bounds a worker's memory; a longer text is a slice of its own.
 
-Defined results: a null text counts as empty and gives no ids; an empty table
-gives an empty result; all other columns are passed through unread.
+Defined results: a null text counts as empty and gives no ids; a repeated row is
+encoded as often as it occurs; an empty table gives an empty result; all other
+columns are passed through unread.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import json
@@ -29,7 +31,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .words import releasing
+from .words import decimal_table, decimals, releasing
 
 SLICE_CHARS = 3_000_000
 
@@ -227,6 +229,32 @@ def encode_and_decode(spark: SparkSession, text: Column, path: str, slice_chars:
     return both(text)
 
 
+def digests(spark: SparkSession, text: Column, path: str, with_ids: bool = False, slice_chars: int = SLICE_CHARS) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256, ids> of a text column; ids are null unless asked for.
+
+    Ids are digested (in decimal, joined by commas) and decoded where they are made: neither the decoded text nor
+    a text form of the ids goes back to the JVM.
+    """
+    vocabulary = _vocabulary(spark, path)
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,ids:array<int>>")
+    @releasing
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(Vocabulary(vocabulary.value))
+        table = decimal_table(encoder.vocab.size)
+        for texts in batches:
+            for part in _slices(texts, slice_chars):
+                docs = encoder.encode(part)
+                ids = pa.nulls(len(docs), pa.list_(pa.int32())) if not with_ids else _ids_array(docs)
+                yield pa.StructArray.from_arrays([
+                    pa.array([len(d) for d in docs], pa.int64()),
+                    pa.array([hashlib.sha256(decimals(d, np.full(len(d), 44, np.uint8), table)[:-1]).hexdigest() for d in docs]),
+                    pa.array([hashlib.sha256(encoder.decode(d.tolist()).encode()).hexdigest() for d in docs]),
+                    ids], ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    return of(text)
+
+
 def encode(spark: SparkSession, text: Column, path: str, slice_chars: int = SLICE_CHARS) -> Column:
     """array<int> of a text column."""
     vocabulary = _vocabulary(spark, path)

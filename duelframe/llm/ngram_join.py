@@ -434,15 +434,22 @@ def _in_filter(ids, bits):
     return held(ids.cast("bigint"))
 
 
-def _node_of(text):
-    @F.arrow_udf("bigint")
+def _node_in_filter(ids, text, bits):
+    """struct<held, node>: whether the filter may hold the id, and then the node of its text; one worker does both."""
+
+    @F.arrow_udf("struct<held:boolean,node:bigint>")
     @releasing
-    def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [fingerprints(*shingle_sets(part))[0] for _, part in slices(pa.nulls(len(texts)), texts)]
-            yield pa.array(np.concatenate([np.empty(0, np.int64), *parts]))
+    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for values, texts in batches:
+            at = _bloom_places(np.asarray(values.fill_null(0)))
+            hit = (bits.value[at >> _U(6)] >> (at & _U(63)) & _U(1)).all(0) | np.asarray(values.is_null())
+            some = texts.filter(pa.array(hit))
+            parts = [fingerprints(*shingle_sets(part))[0] for _, part in slices(pa.nulls(len(some)), some)]
+            nodes = np.zeros(len(texts), np.int64)
+            nodes[hit] = np.concatenate([np.empty(0, np.int64), *parts])
+            yield pa.StructArray.from_arrays([pa.array(hit), pa.array(nodes)], ["held", "node"])
 
-    return node(text)
+    return found(ids.cast("bigint"), text)
 
 
 def _sets_of(bits):
@@ -610,7 +617,8 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(gone.select("id")))
     # only rows that the filter lets through are joined, so the texts of the others are not shuffled
-    marked = rows.withColumn("maybe", _in_filter(F.col("id"), bits))
-    maybe = marked.where("maybe").withColumn("node", _node_of(F.col(f"row.`{text_col}`")))
+    free = rows.where(~_in_filter(F.col("id"), bits)).select("row")
+    maybe = (rows.withColumn("f", _node_in_filter(F.col("id"), F.col(f"row.`{text_col}`"), bits)).where("f.held")
+             .select("row", "id", F.col("f.node").alias("node")))
     same = maybe["id"].eqNullSafe(gone["id"]) & (maybe["node"] == gone["node"])
-    return marked.where(~F.col("maybe")).select("row").unionAll(maybe.join(gone, same, "left_anti").select("row")).select("row.*")
+    return free.unionAll(maybe.join(gone, same, "left_anti").select("row")).select("row.*")

@@ -44,11 +44,8 @@ def register(name: str, sql: str | None = None):
 
 def token_digests(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts, and the ids themselves if wanted."""
-    both = docs.select("doc_id", bpe.encode_and_decode(spark, F.col("text"), path).alias("t"))
-    return both.select(
-        "doc_id", F.size("t.ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("t.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("t.decoded", 256).alias("decoded_sha256"), *([F.col("t.ids").alias("ids")] if with_ids else []))
+    found = docs.select("doc_id", bpe.digests(spark, F.col("text"), path, with_ids).alias("t"))
+    return found.select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256", *(["t.ids"] if with_ids else []))
 
 
 @register("op7_bpe")

@@ -48,7 +48,7 @@ from pyspark.sql.types import StructType
 
 from ..session import stored
 from .bpe import Encoder, Vocabulary
-from .words import releasing
+from .words import decimal_table, decimals, releasing
 
 SLICE_CHARS = 16_000_000  # documents whose pairs are counted together
 CHUNK_CHARS = 2_000_000  # documents merged in lockstep
@@ -179,13 +179,6 @@ def merge(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.n
     return np.sort(whole[0]), np.sort(whole[1]), *whole[2:]
 
 
-def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal digits of 0 to n - 1, right-aligned, and how many."""
-    wide = len(str(max(n - 1, 0)))
-    values = np.arange(n)[:, None] // 10 ** np.arange(wide - 1, -1, -1)
-    return (values % 10 + 48).astype(np.uint8), np.maximum((values > 0).sum(1), 1)
-
-
 def group_strings(ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, bounds_a: np.ndarray,
                   digits: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` of each document."""
@@ -196,11 +189,7 @@ def group_strings(ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts
     ids, mark = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
     ids[at_a], ids[at_b] = ids_a, ids_b
     mark[at_a[cuts_a]], mark[at_b[cuts_b]] = ord("|"), ord(";")
-    figures, length = digits
-    wide = figures.shape[1]
-    rows = np.column_stack([figures[ids], mark])
-    used = np.arange(wide + 1) >= (wide - length[ids])[:, None]
-    data = rows[used].tobytes()
+    data, length = decimals(ids, mark, digits), digits[1]
     # every document ends a group on both sides, so its tokens are one run
     ends = np.r_[0, np.cumsum(length[ids] + 1)]
     last_group = np.searchsorted(cuts_a, bounds_a[1:] - 1)  # the group that ends a document
@@ -221,7 +210,7 @@ class Aligner:
 
     def __init__(self, file: str, model: bytes):
         self.a, self.b = ByteLevel(file), Pieces(model)
-        self.digits = _digits(max(self.a.size, self.b.size))
+        self.digits = decimal_table(max(self.a.size, self.b.size))
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """((n_a, n_b, n_groups, n_links, groups) of each text; document, key and occurrences of its distinct id pairs)."""

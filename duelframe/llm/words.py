@@ -114,3 +114,17 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     new[bounds[:-1][bounds[:-1] < len(values)]] = True
     at = np.flatnonzero(new)
     return values[at], np.diff(np.r_[at, len(values)]), np.searchsorted(at, bounds)
+
+
+def decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of 0 to n - 1, right-aligned, and how many."""
+    wide = len(str(max(n - 1, 0)))
+    values = np.arange(n)[:, None] // 10 ** np.arange(wide - 1, -1, -1)
+    return (values % 10 + 48).astype(np.uint8), np.maximum((values > 0).sum(1), 1)
+
+
+def decimals(ids: np.ndarray, marks: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The ids in decimal, each followed by its mark (one byte)."""
+    digits, length = table
+    used = np.arange(digits.shape[1] + 1) >= (digits.shape[1] - length[ids])[:, None]
+    return np.column_stack([digits[ids], marks])[used].tobytes()

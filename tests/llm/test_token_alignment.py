@@ -10,6 +10,7 @@ import public_tokenizers
 import sentencepiece
 from duelframe.llm import token_alignment as T
 from duelframe.llm.queries import PIECES, QUERIES, VOCABULARY
+from duelframe.llm.words import decimal_table, decimals
 from helpers import documents, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -129,6 +130,6 @@ def test_lanes_and_dense_groups_give_the_same_merge(monkeypatch):
     assert run() == whole
 
 
-def test_decimal_digits():
-    digits, length = T._digits(1001)
-    assert all(bytes(digits[k][len(digits[k]) - length[k]:]) == str(k).encode() for k in (0, 1, 9, 10, 99, 100, 1000))
+def test_decimals():
+    ids = np.array([0, 1, 9, 10, 99, 100, 1000, 7])
+    assert decimals(ids, np.full(8, ord(","), np.uint8), decimal_table(1001)) == b"0,1,9,10,99,100,1000,7,"
