@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Parquet scan with the projection stated up front (column pruning)."""
@@ -273,52 +275,59 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     (``isResult`` false), malformed xG ("n/a"), absent forecast objects,
     absent keys inside objects all occur, so every flatten rule is exercised.
     Documents stay small at any scale (bounded by the id block).
+
+    Line items are aggregated once for both views, and a document's contests are collected once, as plain
+    numbers; its objects and texts are made of them in the row.
     """
-    c = contest_view(spark, sf_dir)
-    e = enrichment_view(spark, sf_dir)
+    stats = stored(order_stats(spark, sf_dir))
+    c = contest_view(spark, sf_dir, stats)
+    e = enrichment_view(spark, sf_dir, stats)
     t = team_titles(spark, sf_dir).select("k", "provider_title")
     m = c.join(e.drop("pool", "ts", "home", "away"), c.match_id == e.src_id)
     m = (m.join(t.select(F.col("k").alias("hk"), F.col("provider_title").alias("h_title")), m.home == F.col("hk"))
           .join(t.select(F.col("k").alias("ak"), F.col("provider_title").alias("a_title")), m.away == F.col("ak")))
     doc_id = F.concat_ws("/", F.col("pool"), F.date_format("ts", "yyyy-MM-dd"),
                          F.floor(F.col("match_id") / 100000).cast("string"))
-    m = m.withColumn("doc_id", doc_id)
+    played = ~((F.col("hg") == F.col("ag")) & (F.col("hs") == F.col("as_")))
+    contest = F.struct("match_id", "ts", "home", "away", "h_title", "a_title", played.alias("played"), "xg_h", "xg_a", "fc_w", "fc_d", "fc_l",
+                       *[f"{x}_{s}" for s in "ha" for x in ("ppda", "deep", "xpts", "npxg")])
+    docs = m.select(doc_id.alias("doc_id"), contest.alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("rows"))
 
     def txt(c):
-        return F.col(c).cast("string")
-
-    match_obj = F.struct(
-        (~((F.col("hg") == F.col("ag")) & (F.col("hs") == F.col("as_")))).alias("isResult"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"),
-        F.struct(F.col("h_title").alias("title")).alias("h"),
-        F.struct(F.col("a_title").alias("title")).alias("a"),
-        F.struct(F.coalesce(txt("xg_h"), F.lit("n/a")).alias("h"),
-                 F.coalesce(txt("xg_a"), F.lit("n/a")).alias("a")).alias("xG"),
-        F.when(F.col("fc_w").isNotNull(), F.struct(
-            txt("fc_w").alias("w"), F.when(F.col("fc_d") != 0, txt("fc_d")).alias("d"),
-            txt("fc_l").alias("l"))).alias("forecast"))
-    matches = m.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("match_id", match_obj.alias("o")))),
-                    lambda x: x["o"]).alias("matches"))
-
-    def entry(side):
-        s = side
+        return c.cast("string")
+
+    def match_obj(r):
         return F.struct(
-            F.date_format("ts", "yyyy-MM-dd").alias("date"),
-            F.when(F.col(f"ppda_{s}").isNotNull(), F.struct(
-                txt(f"ppda_{s}").alias("att"),
-                F.when(F.col(f"deep_{s}") != 0, F.lit("1")).alias("def"))).alias("ppda"),
-            txt(f"xpts_{s}").alias("xpts"), txt(f"npxg_{s}").alias("npxG"),
-            txt(f"deep_{s}").alias("deep"))
-
-    ents = (m.select("doc_id", "match_id", F.col("home").alias("team_id"), F.col("h_title").alias("title"),
-                     entry("h").alias("e"))
-            .unionByName(m.select("doc_id", "match_id", F.col("away").alias("team_id"),
-                                  F.col("a_title").alias("title"), entry("a").alias("e"))))
-    per_team = ents.groupBy("doc_id", "team_id", "title").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("match_id", "e"))), lambda x: x["e"]).alias("history"))
-    teams = per_team.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("team_id").cast("string").alias("k"),
-                 F.struct("title", "history").alias("v"))))).alias("teams"))
-    docs = matches.join(teams, "doc_id")
+            r["played"].alias("isResult"),
+            F.date_format(r["ts"], "yyyy-MM-dd HH:mm:ss").alias("datetime"),
+            F.struct(r["h_title"].alias("title")).alias("h"),
+            F.struct(r["a_title"].alias("title")).alias("a"),
+            F.struct(F.coalesce(txt(r["xg_h"]), F.lit("n/a")).alias("h"),
+                     F.coalesce(txt(r["xg_a"]), F.lit("n/a")).alias("a")).alias("xG"),
+            F.when(r["fc_w"].isNotNull(), F.struct(
+                txt(r["fc_w"]).alias("w"), F.when(r["fc_d"] != 0, txt(r["fc_d"])).alias("d"),
+                txt(r["fc_l"]).alias("l"))).alias("forecast"))
+
+    def entry(r, team, s):
+        e = F.struct(
+            F.date_format(r["ts"], "yyyy-MM-dd").alias("date"),
+            F.when(r[f"ppda_{s}"].isNotNull(), F.struct(
+                txt(r[f"ppda_{s}"]).alias("att"),
+                F.when(r[f"deep_{s}"] != 0, F.lit("1")).alias("def"))).alias("ppda"),
+            txt(r[f"xpts_{s}"]).alias("xpts"), txt(r[f"npxg_{s}"]).alias("npxG"),
+            txt(r[f"deep_{s}"]).alias("deep"))
+        return F.struct(txt(r[team]).alias("k"), r[f"{s}_title"].alias("title"), r["match_id"].alias("match_id"), e.alias("e"))
+
+    objects = F.array_sort(F.transform("rows", lambda r: F.struct(r["match_id"].alias("match_id"), match_obj(r).alias("o"))))
+    sides = F.array_sort(F.flatten(F.transform("rows", lambda r: F.array(entry(r, "home", "h"), entry(r, "away", "a")))))
+    docs = docs.select("doc_id", F.transform(objects, lambda x: x["o"]).alias("matches"), sides.alias("sides"))
+    names = F.array_distinct(F.transform("sides", lambda x: F.struct(x["k"].alias("k"), x["title"].alias("title"))))
+
+    def history(n):
+        own = F.filter("sides", lambda x: (x["k"] == n["k"]) & x["title"].eqNullSafe(n["title"]))
+        return F.transform(own, lambda x: x["e"])
+
+    teams = F.map_from_entries(F.transform(names, lambda n: F.struct(
+        n["k"].alias("k"), F.struct(n["title"].alias("title"), history(n).alias("history")).alias("v"))))
+    docs = docs.select("doc_id", "matches", teams.alias("teams"))
     return docs.select("doc_id", F.to_json(F.struct("matches", "teams")).alias("doc"))
