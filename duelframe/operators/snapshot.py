@@ -1,9 +1,9 @@
 """Latest per-entity snapshots and fixture rows for scoring.
 
 ``latest_snapshot`` keeps, per (pool, entity, venue), the most recent feature
-row where the entity played at that venue. It is a ``max_by`` aggregation,
-so partial aggregation collapses each entity's rows map-side before the
-shuffle; no sort of an entity's whole history is needed.
+row where the entity played at that venue. The last time and id of each key are
+found first, by hash aggregations over the order's columns alone; wide rows are only
+read where they match it, so none but the latest is ever sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend, month
+from ..session import stored
 from .asof import asof_latest
 
 # Fixed fallback values that must equal the reference's (stat -> (column stem, fallback)).
@@ -36,6 +37,25 @@ SNAPSHOT_STATS = {
 SCORING_DEFAULTS = {"avg_reds": 0.05, "h2h_home_win_rate": 0.5, "rest_days": 7, "is_weekend": 1}
 
 
+def _last_rows(features: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The rows of ``features`` that stand last in their key's order: one a key, more if the whole order repeats.
+
+    One column of the order after the other is narrowed down to its maximum. The maxima have one row a key and are
+    stored, so their size is known when they are joined.
+    """
+    def at_last(rows: DataFrame, last: DataFrame, cols: list[str]) -> DataFrame:
+        names = {c: f"_l{i}" for i, c in enumerate(cols)}
+        on = [rows[c].eqNullSafe(F.col(n)) for c, n in names.items()]
+        return rows.join(last.select(*[F.col(c).alias(n) for c, n in names.items()]), on, "left_semi")
+
+    narrow, done = features.select(*keys, *order), list(keys)
+    for c in order:
+        rows = narrow if c == order[0] else at_last(narrow, last, done)
+        done.append(c)
+        last = stored(rows.groupBy(*done[:-1]).agg(F.max(c).alias(c)))
+    return at_last(features, last, done)
+
+
 def latest_snapshot(features: DataFrame, pool: str = "pool", home: str = "home", away: str = "away",
                     order: tuple[str, ...] = ("ts", "match_id")) -> DataFrame:
     """(pool, team, venue, stats...) from each entity's latest row at that venue."""
@@ -43,7 +63,7 @@ def latest_snapshot(features: DataFrame, pool: str = "pool", home: str = "home",
     for venue, ent, prefix in (("home", home, "home_"), ("away", away, "away_")):
         stats = F.struct(*[F.col(prefix + stem).cast("double").alias(name)
                            for name, (stem, _) in SNAPSHOT_STATS.items()])
-        parts.append(features.select(F.col(pool).alias("pool"), F.col(ent).alias("team"),
+        parts.append(_last_rows(features, [pool, ent], order).select(F.col(pool).alias("pool"), F.col(ent).alias("team"),
                                      F.lit(venue).alias("venue"), stats.alias("s"),
                                      F.struct(*order).alias("o")))
     both = parts[0].unionByName(parts[1])
@@ -65,13 +85,13 @@ def opponent_candidates(entities: DataFrame, chosen: DataFrame, team: str = "tea
 def _latest(features: DataFrame, keys: dict[str, str], values: list[str],
             order: tuple[str, ...] = ("ts", "match_id")) -> DataFrame:
     """(keys as named, values) of the latest row of each key."""
-    last = features.groupBy(*[F.col(k).alias(n) for k, n in keys.items()]).agg(
+    last = _last_rows(features, list(keys), order).groupBy(*[F.col(k).alias(n) for k, n in keys.items()]).agg(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
     return last.select(*keys.values(), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False) -> DataFrame:
-    """Every model input, under its own name, for fixtures (pool, home, away) that are still to come.
+def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """Every model input (or only those named in ``columns``), under its own name, for fixtures (pool, home, away) that are still to come.
 
     The home side brings all ``home_`` columns of its latest contest at home,
     the away side all ``away_`` columns of its latest one away, the pair its
@@ -80,23 +100,30 @@ def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False)
     impute 0). ``ts`` and odds columns of ``fixtures`` are used if they are
     there; without ``ts`` the contest is on a weekend. With ``as_of`` only
     contests strictly before the fixture's ``ts`` count, so past fixtures can
-    be scored as they stood; a fixture without ``ts`` then has no state.
+    be scored as they stood; a fixture without ``ts`` then has no state. Values
+    that no wanted input is made of aren't carried through the merges.
     """
     from ..plans.features import BASE_NUMERIC_COLS, DIFFS, ODDS_COLS
     diffs = [*DIFFS, ("elo_diff", "home_elo", "away_elo"), ("venue_elo_diff", "home_elo_home", "away_elo_away")]
-    pair = ["h2h_home_win_rate", "h2h_draw_rate"]
+    inputs = [c for c in (*BASE_NUMERIC_COLS, *ODDS_COLS) if columns is None or c in columns]
+    needed = set(inputs) | {x for o, h, a in diffs if o in inputs for x in (h, a)}
+    pair = [c for c in ("h2h_home_win_rate", "h2h_draw_rate") if c in needed]
+    diffs = [d for d in diffs if d[0] in needed]
     out = fixtures
     for side in ("home", "away"):
-        own = [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_")]
+        own = [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_") and c in needed]
+        if not own:
+            continue
         out = (asof_latest(out, features, ["pool", side], own) if as_of else
                out.join(_latest(features, {"pool": "pool", side: side}, own), ["pool", side], "left"))
     keys = ["pool", "home", "away"]
-    out = asof_latest(out, features, keys, pair) if as_of else out.join(_latest(features, {c: c for c in keys}, pair), keys, "left")
+    if pair:
+        out = asof_latest(out, features, keys, pair) if as_of else out.join(_latest(features, {c: c for c in keys}, pair), keys, "left")
     fallback = {f"{side}_{stem}": value for side in ("home", "away") for stem, value in SNAPSHOT_STATS.values()}
     fallback |= {"h2h_home_win_rate": SCORING_DEFAULTS["h2h_home_win_rate"], "home_rest_days": SCORING_DEFAULTS["rest_days"],
                  "away_rest_days": SCORING_DEFAULTS["rest_days"], "home_avg_reds": SCORING_DEFAULTS["avg_reds"],
                  "away_avg_reds": SCORING_DEFAULTS["avg_reds"]}
-    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in fallback.items()})
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in fallback.items() if c in needed})
     has_ts = "ts" in fixtures.columns
     made = {o: F.col(h).cast("double") - F.col(a).cast("double") for o, h, a in diffs}
     made["is_weekend"] = is_weekend("ts") if has_ts else F.lit(SCORING_DEFAULTS["is_weekend"])
@@ -104,4 +131,4 @@ def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False)
     made |= {c: F.lit(None).cast("double") for c in ODDS_COLS if c not in fixtures.columns}
     out = out.withColumns(made)
     rest = [c for c in fixtures.columns if c not in ODDS_COLS]
-    return out.select(*rest, *[F.col(c).cast("double").alias(c) for c in (*BASE_NUMERIC_COLS, *ODDS_COLS)])
+    return out.select(*rest, *[F.col(c).cast("double").alias(c) for c in inputs])
