@@ -56,6 +56,11 @@ _BASE: dict[str, Callable[[], Column]] = {
 }
 
 
+# the entry column that a base aggregate reads, where its name doesn't end in it
+_READS = {"n": None, "s_pts": "points", "codes": "res", **{f"{p}_{short}": c for short, c in (
+    ("sc", "scored"), ("co", "conceded"), ("cs", "clean_sheet"), ("sa", "scored_any"), ("gd", "goal_diff")) for p in "acs"}}
+
+
 class _Deps:
     """Records which base aggregates a set of metrics reads."""
 
@@ -134,6 +139,15 @@ def _metric_exprs(b: _Deps) -> dict[str, Callable[[], Column]]:
     }
 
 
+def read_columns(metrics: Iterable[str]) -> list[str]:
+    """Entry columns that the metrics are made of; ranges written for them need hold no others."""
+    deps = _Deps("")
+    exprs = _metric_exprs(deps)
+    for m in metrics:
+        exprs[m]()
+    return sorted({c for d in deps.used if (c := _READS.get(d, d.partition("_")[2]))})
+
+
 def rolling_columns(windows: dict[int, Iterable[str]], keys: Sequence[str],
                     name: Callable[[str, int], str] | None = None
                     ) -> tuple[list[Column], list[Column], list[str]]:
@@ -159,7 +173,7 @@ def rolling(tm: DataFrame, windows: dict[int, Iterable[str]], keys: Sequence[str
             name: Callable[[str, int], str] | None = None) -> DataFrame:
     """Add rolling metrics of the earlier rows of ``keys`` groups, by ranges with a halo."""
     keys = list(keys)
-    c = with_halo(in_ranges(tm, keys), [(keys, max(windows))])
+    c = with_halo(in_ranges(tm, keys, counted=True), [(keys, max(windows))])
     base_cols, derived, helpers = rolling_columns(windows, keys, name=name)
     out = c.select("*", *base_cols).where(~F.col("_halo"))
     return out.select("*", *derived).drop(*helpers, "_range", "_halo")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from . import oracles as O
 from .operators.enrich import enrich_left
-from .operators.rolling import rolling
+from .operators.rolling import read_columns, rolling
 from .operators.unpivot import entries, repivot
 from .session import stored
 from .sources.tables import contest_view, enrichment_view, order_stats
@@ -112,7 +112,7 @@ def side_rolling(spark: SparkSession, sf_dir: str, w: int, metrics: dict[str, st
     ``metrics`` maps output name -> rolling metric name.
     """
     keys = ["pool", "team", "side"] if venue else ["pool", "team"]
-    tm = entries(contests(spark, sf_dir))
+    tm = entries(contests(spark, sf_dir)).select("match_id", "ts", "side", "pool", "team", *read_columns(metrics.values()))
     inv = {m: out for out, m in metrics.items()}
     r = rolling(tm, {w: list(metrics.values())}, keys=keys, name=lambda m, _w: inv[m])
     p = repivot(r.select("match_id", "side", *metrics), list(metrics))
@@ -188,8 +188,9 @@ def _multi_spec():
 @register("multi_window", O.multi_metrics_sql(_multi_spec(),
                                               diffs=[(f"xg_diff_w{w}", f"avg_xg_w{w}") for w in (3, 10, 19)]))
 def q_multi_window(spark, sf):
-    tm = entries(contests(spark, sf))
     spec = _multi_spec()
+    read = read_columns(m for d in spec.values() for m in d.values())
+    tm = entries(contests(spark, sf)).select("match_id", "ts", "side", "pool", "team", *read)
     names = {(m, w): out for w, d in spec.items() for out, m in d.items()}
     r = rolling(tm, {w: list(d.values()) for w, d in spec.items()}, name=lambda m, w: names[(m, w)])
     cols = [out for d in spec.values() for out in d]
@@ -204,7 +205,7 @@ def _season_side(spark, sf):
     from .operators.sequence import ORDER, in_ranges, with_halo
     from pyspark.sql import Window
     keys = ["pool", "team"]
-    c = with_halo(in_ranges(entries(contests(spark, sf)), keys), [(keys, 1)])
+    c = with_halo(in_ranges(entries(contests(spark, sf)), keys, counted=True), [(keys, 1)])
     c = c.select("*", prev_ts_column(Window.partitionBy(*keys, "_range").orderBy(*ORDER)))
     c = season_totals(c, keys).where(~F.col("_halo"))
     return c.select("match_id", "side", "season_pts",
@@ -822,7 +823,7 @@ def q_train_score(spark, sf):
 def q_reliability(spark, sf):
     """Reliability table of the calibrated model on the test rows: (cls, bin, n, mean_score, rate)."""
     from .plans.calibrate import binned_scores
-    truth = _labeled_split(spark, sf).select("match_id", "ftr")
+    truth = feature_table(spark, sf).select("match_id", "ftr")
     scores = q_train_score(spark, sf).join(truth, "match_id").withColumn("hit", (F.col("ftr") == F.col("outcome")).cast("int"))
     return round_doubles(binned_scores(scores, "probability", "hit", ["outcome"], bins=10))
 
@@ -964,9 +965,10 @@ def q_fixture_asof(spark, sf):
     """Every contest as a fixture of its own time: the sides' latest rows strictly before it."""
     from .operators.snapshot import fixture_rows
     feats = feature_table(spark, sf)
-    out = fixture_rows(feats.select("match_id", "ts", "pool", "home", "away"), feats, as_of=True)
-    return round_doubles(out.select("match_id", "home_form_points", "away_form_points", "home_elo", "away_elo", "elo_diff", "home_season_pts",
-                                    "away_season_pts", "h2h_home_win_rate", "h2h_draw_rate", "is_weekend", "month"))
+    inputs = ["home_form_points", "away_form_points", "home_elo", "away_elo", "elo_diff", "home_season_pts", "away_season_pts",
+              "h2h_home_win_rate", "h2h_draw_rate", "is_weekend", "month"]
+    out = fixture_rows(feats.select("match_id", "ts", "pool", "home", "away"), feats, as_of=True, columns=inputs)
+    return round_doubles(out.select("match_id", *inputs))
 
 
 # ------------------------------------------------------ artifacts, merges ---
