@@ -805,10 +805,10 @@ def q_train_score(spark, sf):
     key = _input_key(spark, sf)
     if key in _SCORES:
         return _SCORES[key]
-    s = _labeled_split(spark, sf)
-    train = stored(s.where(F.col("role") == "train"))
+    s = stored(_labeled_split(spark, sf))
+    train = s.where(F.col("role") == "train")
     folds, _ = with_folds(train, 3)
-    held = fold_predictions(_logistic(), stored(folds), 3)
+    held = fold_predictions(_logistic(), folds, 3)
     each = held.select("label", F.posexplode("probability").alias("cls", "p")).withColumn("hit", (F.col("label") == F.col("cls")).cast("int"))
     calibrator = Calibrator.fit(binned_scores(each, "p", "hit", ["cls"]), "cls")
     scored = class_probabilities(fit_weighted(_logistic(), train), s.where(F.col("role") == "test"))
