@@ -23,7 +23,7 @@ from duelframe.llm.ngram_join import keep_one_of_similar
 from duelframe.llm.quality import DECISION, keep_quality
 from duelframe.llm.queries import token_digests
 from duelframe.llm.tables import table
-from duelframe.session import stored
+from duelframe.session import bounded_batches, stored
 
 #: Documents below this score go: those that op4 predicts as poor.
 LEAST_QUALITY = DECISION
@@ -34,6 +34,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    bounded_batches(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
@@ -44,6 +45,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the smallest id."""
+    bounded_batches(spark)
     return keep_one_of_similar(docs)
 
 

@@ -9,7 +9,8 @@ off as sequences of their words' ids.
 
 The vocabulary (a tokenizers JSON file, a few MB whatever the input) is read by
 the driver and broadcast. A slice holds about ``SLICE_CHARS`` characters of
-whole texts, which bounds a worker's memory; a longer text is a slice of its own.
+whole texts, which bounds a worker's memory, as texts reach it in batches of bounded
+bytes; a longer text is a slice of its own.
 
 Defined results: a null text counts as empty and gives no ids; a repeated row is
 encoded as often as it occurs; an empty table gives an empty result; all other
@@ -31,6 +32,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 from .words import decimal_table, decimals, releasing
 
 SLICE_CHARS = 3_000_000
@@ -186,16 +188,18 @@ class Encoder:
         return b"".join(map(self.vocab.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _slices(texts: pa.Array, chars: int) -> Iterator[list[str]]:
+def _slices(batches: Iterable[pa.Array], chars: int) -> Iterator[list[str]]:
+    """A slice goes on over batches: its size doesn't depend on theirs."""
     part: list[str] = []
     size = 0
-    for value in texts:
-        text = value.as_py() or ""
-        part.append(text)
-        size += len(text)
-        if size >= chars:
-            yield part
-            part, size = [], 0
+    for texts in batches:
+        for value in texts:
+            text = value.as_py() or ""
+            part.append(text)
+            size += len(text)
+            if size >= chars:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
@@ -208,6 +212,7 @@ def _ids_array(docs: list[np.ndarray]) -> pa.Array:
 
 def _vocabulary(spark: SparkSession, path: str):
     """The file is read once by the driver: executors need no copy of it."""
+    bounded_batches(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -220,11 +225,10 @@ def encode_and_decode(spark: SparkSession, text: Column, path: str, slice_chars:
     @releasing
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
-        for texts in batches:
-            for part in _slices(texts, slice_chars):  # handed on slice by slice
-                docs = encoder.encode(part)
-                decoded = pa.array([encoder.decode(d.tolist()) for d in docs], pa.string())
-                yield pa.StructArray.from_arrays([_ids_array(docs), decoded], ["ids", "decoded"])
+        for part in _slices(batches, slice_chars):  # handed on slice by slice
+            docs = encoder.encode(part)
+            decoded = pa.array([encoder.decode(d.tolist()) for d in docs], pa.string())
+            yield pa.StructArray.from_arrays([_ids_array(docs), decoded], ["ids", "decoded"])
 
     return both(text)
 
@@ -242,15 +246,14 @@ def digests(spark: SparkSession, text: Column, path: str, with_ids: bool = False
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
         table = decimal_table(encoder.vocab.size)
-        for texts in batches:
-            for part in _slices(texts, slice_chars):
-                docs = encoder.encode(part)
-                ids = pa.nulls(len(docs), pa.list_(pa.int32())) if not with_ids else _ids_array(docs)
-                yield pa.StructArray.from_arrays([
-                    pa.array([len(d) for d in docs], pa.int64()),
-                    pa.array([hashlib.sha256(decimals(d, np.full(len(d), 44, np.uint8), table)[:-1]).hexdigest() for d in docs]),
-                    pa.array([hashlib.sha256(encoder.decode(d.tolist()).encode()).hexdigest() for d in docs]),
-                    ids], ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        for part in _slices(batches, slice_chars):
+            docs = encoder.encode(part)
+            ids = pa.nulls(len(docs), pa.list_(pa.int32())) if not with_ids else _ids_array(docs)
+            yield pa.StructArray.from_arrays([
+                pa.array([len(d) for d in docs], pa.int64()),
+                pa.array([hashlib.sha256(decimals(d, np.full(len(d), 44, np.uint8), table)[:-1]).hexdigest() for d in docs]),
+                pa.array([hashlib.sha256(encoder.decode(d.tolist()).encode()).hexdigest() for d in docs]),
+                ids], ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return of(text)
 
@@ -263,9 +266,8 @@ def encode(spark: SparkSession, text: Column, path: str, slice_chars: int = SLIC
     @releasing
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(Vocabulary(vocabulary.value))
-        for texts in batches:
-            for part in _slices(texts, slice_chars):
-                yield _ids_array(encoder.encode(part))
+        for part in _slices(batches, slice_chars):
+            yield _ids_array(encoder.encode(part))
 
     return ids_of(text)
 

@@ -72,6 +72,18 @@ def shared_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows reach this session's Python workers in Arrow batches of about ``BATCH_BYTES``.
+
+    The default, 10,000 rows, is tens of MB of whole texts, which each running task holds several times: in the
+    executor's growing Arrow buffers and in its worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df):
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 

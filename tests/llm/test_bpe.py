@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from duelframe.llm import bpe
 from duelframe.llm.queries import VOCABULARY
+from duelframe.session import BATCH_BYTES
 from helpers import documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,3 +52,25 @@ def test_columns(spark):
         assert list(r["t"]["ids"]) == list(r["e"]) == want and r["t"]["decoded"] == r["d"] == (r["text"] or "")
     empty = df.limit(0).select(bpe.encode_and_decode(spark, F.col("text"), VOCABULARY).alias("t"))
     assert empty.count() == 0
+
+
+def test_slices_go_on_over_batches():
+    batches = [pa.array(["ab"]), pa.array(["c", None]), pa.array([], pa.string()), pa.array(["defg"])]
+    assert list(bpe._slices(batches, 3)) == [["ab", "c"], ["", "defg"]]
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """Before, 10,000 rows whatever their length: 15 MB here, held several times by each task."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = documents(spark, [(i, f"{i} " + "word " * 600) for i in range(3)]).drop("doc_id").crossJoin(
+        spark.range(5_000, numPartitions=1).withColumnRenamed("id", "doc_id")).coalesce(1)
+    got = docs.select("doc_id", bpe.digests(spark, F.col("text"), VOCABULARY).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    largest = docs.select("text").mapInArrow(sizes, "size bigint").agg(F.max("size")).first()[0]
+    assert largest < 1.5 * BATCH_BYTES
+    assert got.where("t.n_tokens > 600").count() == 15_000
+    assert got.select("t.ids_sha256").distinct().count() == 3
