@@ -4,7 +4,8 @@ Left and right rows are laid out together in sampled ranges of (key, time), so a
 range holds a bounded number of rows whatever the key's share or the clustering
 of times. Inside a range a running last value finds the right row; the last right
 row of each (key, range) is carried into the key's later ranges by a window over
-one row per (key, range).
+one row per (key, range), and stands there before the range's own rows, so the
+ranges are exchanged once.
 """
 
 from __future__ import annotations
@@ -36,20 +37,13 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], values:
     # at one time fixtures come before results, so they never see them
     order = ["_ts", "_kind", "_tie"]
     laid = in_ranges(rows, ks, order)
-    before = Window.partitionBy(*ks, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = laid.withColumn("_found", F.last("_right", ignorenulls=True).over(before))
-    last = (laid.where(F.col("_kind") == 1).groupBy(*ks, "_range").agg(F.max_by("_right", F.struct("_ts", "_tie")).alias("_last")))
-    present = laid.select(*ks, "_range").distinct()
+    # one row per (key, range): its last right row, and then the last one of earlier ranges
+    last = laid.groupBy(*ks, "_range").agg(F.max_by("_right", F.when(F.col("_kind") == 1, F.struct("_ts", "_tie"))).alias("_last"))
     earlier = Window.partitionBy(*ks).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*ks, "_range"]]
-
-    def joined(a: DataFrame, b: DataFrame, columns: list) -> DataFrame:
-        on = same[0]
-        for s in same[1:]:
-            on = on & s
-        return a.alias("l").join(b.alias("r"), on, "left").select("l.*", *columns)
-
-    carried = joined(present, last, [F.col("r._last")]).withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
-    out = joined(inside.where(F.col("_kind") == 0), carried, [F.col("r._carried")])
-    got = F.when(F.col("_ts").isNotNull(), F.coalesce("_found", "_carried"))
+    carried = last.withColumn("_right", F.last("_last", ignorenulls=True).over(earlier)).where(F.col("_right").isNotNull())
+    carried = carried.select(*ks, "_range", F.lit(-1).alias("_kind"), "_right")  # without a time, so it comes first
+    before = Window.partitionBy(*ks, "_range").orderBy("_ts", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    out = laid.unionByName(carried, allowMissingColumns=True).withColumn("_found", F.last("_right", ignorenulls=True).over(before))
+    out = out.where(F.col("_kind") == 0)
+    got = F.when(F.col("_ts").isNotNull(), F.col("_found"))
     return out.withColumn("_got", got).select("_left.*", *[F.col("_got").getField(v).alias(prefix + v) for v in values])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend, month
-from ..session import stored
+from ..session import stored, stored_result
 from .asof import asof_latest
 
 # Fixed fallback values that must equal the reference's (stat -> (column stem, fallback)).
@@ -90,6 +90,30 @@ def _latest(features: DataFrame, keys: dict[str, str], values: list[str],
     return last.select(*keys.values(), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def _wanted(columns: list[str] | None) -> tuple[list[str], list[tuple[str, str, str]], list[tuple[list[str], list[str]]]]:
+    """(model inputs, differences that they are or are made of, (keys, values) of each merge that brings what they are made of)."""
+    from ..plans.features import BASE_NUMERIC_COLS, DIFFS, ODDS_COLS
+    diffs = [*DIFFS, ("elo_diff", "home_elo", "away_elo"), ("venue_elo_diff", "home_elo_home", "away_elo_away")]
+    inputs = [c for c in (*BASE_NUMERIC_COLS, *ODDS_COLS) if columns is None or c in columns]
+    needed = set(inputs) | {x for o, h, a in diffs if o in inputs for x in (h, a)}
+    merges = [(["pool", side], [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_") and c in needed]) for side in ("home", "away")]
+    merges.append((["pool", "home", "away"], [c for c in ("h2h_home_win_rate", "h2h_draw_rate") if c in needed]))
+    return inputs, [d for d in diffs if d[0] in needed], [m for m in merges if m[1]]
+
+
+def columns_read(columns: list[str] | None = None) -> list[str]:
+    """Columns of the feature table that ``fixture_rows`` makes the inputs of."""
+    return ["match_id", "ts", "pool", "home", "away", *[v for _, values in _wanted(columns)[2] for v in values]]
+
+
+def _as_they_stood(fixtures: DataFrame, features: DataFrame, merges: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """``fixtures`` with the values of all merges. Each merge's ranges are deleted when its result is written, so one merge's files are there at a time."""
+    if not merges:
+        return fixtures
+    *earlier, (keys, values) = merges
+    return stored_result(fixtures.sparkSession, lambda: asof_latest(_as_they_stood(fixtures, features, earlier), features, keys, values))
+
+
 def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Every model input (or only those named in ``columns``), under its own name, for fixtures (pool, home, away) that are still to come.
 
@@ -103,22 +127,15 @@ def fixture_rows(fixtures: DataFrame, features: DataFrame, as_of: bool = False,
     be scored as they stood; a fixture without ``ts`` then has no state. Values
     that no wanted input is made of aren't carried through the merges.
     """
-    from ..plans.features import BASE_NUMERIC_COLS, DIFFS, ODDS_COLS
-    diffs = [*DIFFS, ("elo_diff", "home_elo", "away_elo"), ("venue_elo_diff", "home_elo_home", "away_elo_away")]
-    inputs = [c for c in (*BASE_NUMERIC_COLS, *ODDS_COLS) if columns is None or c in columns]
-    needed = set(inputs) | {x for o, h, a in diffs if o in inputs for x in (h, a)}
-    pair = [c for c in ("h2h_home_win_rate", "h2h_draw_rate") if c in needed]
-    diffs = [d for d in diffs if d[0] in needed]
+    from ..plans.features import ODDS_COLS
+    inputs, diffs, merges = _wanted(columns)
+    needed = {*inputs, *[v for _, values in merges for v in values]}
     out = fixtures
-    for side in ("home", "away"):
-        own = [c for c in BASE_NUMERIC_COLS if c.startswith(f"{side}_") and c in needed]
-        if not own:
-            continue
-        out = (asof_latest(out, features, ["pool", side], own) if as_of else
-               out.join(_latest(features, {"pool": "pool", side: side}, own), ["pool", side], "left"))
-    keys = ["pool", "home", "away"]
-    if pair:
-        out = asof_latest(out, features, keys, pair) if as_of else out.join(_latest(features, {c: c for c in keys}, pair), keys, "left")
+    if as_of:
+        out = _as_they_stood(out, features, merges)
+    else:
+        for keys, values in merges:
+            out = out.join(_latest(features, {k: k for k in keys}, values), keys, "left")
     fallback = {f"{side}_{stem}": value for side in ("home", "away") for stem, value in SNAPSHOT_STATS.values()}
     fallback |= {"h2h_home_win_rate": SCORING_DEFAULTS["h2h_home_win_rate"], "home_rest_days": SCORING_DEFAULTS["rest_days"],
                  "away_rest_days": SCORING_DEFAULTS["rest_days"], "home_avg_reds": SCORING_DEFAULTS["avg_reds"],

@@ -16,6 +16,8 @@ Plan shape (one pass per concern, no self-joins per statistic):
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from ..functions.odds import implied_probs
 from ..operators.elo import elo_ratings
 from ..operators.history import head_to_head, prev_ts_column, rest_days, season_totals
 from ..operators.rolling import (ALL_METRICS, MULTI_WINDOW_METRICS, VENUE_METRICS,
-                                 rolling_columns)
+                                 read_columns, rolling_columns)
 from ..operators.sequence import ORDER, in_ranges, with_halo
 from ..operators.unpivot import entries, normalize_contests, repivot
 from ..session import stored
@@ -124,17 +126,24 @@ def _multi_name(metric: str, w: int) -> str:
 def side_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS) -> DataFrame:
     """Per-side pre-contest features: one row per (match_id, side)."""
+    return _side_frames(matches, {window: FEATURE_METRICS, **{w: MULTI_WINDOW_METRICS for w in extra_windows}}, VENUE_METRICS, window)
+
+
+def _side_frames(matches: DataFrame, windows: dict[int, Sequence[str]], venue: Sequence[str], window: int) -> DataFrame:
+    """The metrics of ``windows``, those of ``venue`` over the side's own contests, rest days and season totals."""
     keys = [S.POOL, "team"]
     vk = [*keys, "side"]
-    windows = {window: FEATURE_METRICS, **{w: MULTI_WINDOW_METRICS for w in extra_windows}}
+    # ranges hold what the frames and season totals read, no other entry columns
+    read = read_columns([*venue, *[m for metrics in windows.values() for m in metrics]])
+    tm = entries(matches).select(S.MATCH_ID, S.TS, S.SEASON, S.POOL, "side", "team", *dict.fromkeys(["points", "win", *read]))
     # one exchange by (pool, team, range) serves the frames of both key lists
-    c = with_halo(in_ranges(entries(matches), keys, counted=True), [(keys, max(windows)), (vk, window)])
+    c = with_halo(in_ranges(tm, keys, counted=True), [(keys, max(windows)), (vk, window)])
 
     # season sums first: their sort (by season inside the range) then carries
     # narrow rows, before the wide window aggregates are added
     c = season_totals(c, keys)
     # venue split: the side's own earlier contests at the same venue
-    vb, vd, vh = rolling_columns({window: VENUE_METRICS}, vk, name=lambda m, w: f"_venue_{m}")
+    vb, vd, vh = rolling_columns({window: venue}, vk, name=lambda m, w: f"_venue_{m}")
     c = c.select("*", *vb).select("*", *vd).drop(*vh)
     # all venues: default window (all metrics) + extra windows, rest
     bcols, dcols, helpers = rolling_columns(
@@ -144,36 +153,42 @@ def side_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
     return c.select("*", *dcols, rest_days().alias("rest_days")).drop(*helpers, "_prev_ts", "_range", "_halo")
 
 
+VENUE_RENAME = {"form_points": "venue_form", "avg_scored": "venue_scored", "avg_conceded": "venue_conceded", "xg_proxy": "venue_xg"}
+
 SIDE_OUTPUT = [
     *[SIDE_RENAME[m] for m in FEATURE_METRICS],
-    "venue_form", "venue_scored", "venue_conceded", "venue_xg",
+    *VENUE_RENAME.values(),
     "rest_days", "season_pts", "team_season_win_rate",
     *[_multi_name(m, w) for w in EXTRA_WINDOWS for m in MULTI_WINDOW_METRICS],
 ]
 
 
 def pivoted_side_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
-                          extra_windows: tuple[int, ...] = EXTRA_WINDOWS) -> DataFrame:
-    sf = side_features(matches, window, extra_windows)
-    sf = sf.select(
-        "match_id", "side", *[SIDE_RENAME[m] for m in FEATURE_METRICS],
-        F.col("_venue_form_points").alias("venue_form"),
-        F.col("_venue_avg_scored").alias("venue_scored"),
-        F.col("_venue_avg_conceded").alias("venue_conceded"),
-        F.col("_venue_xg_proxy").alias("venue_xg"),
-        "rest_days", "season_pts", F.col("season_win_rate").alias("team_season_win_rate"),
-        *[_multi_name(m, w) for w in extra_windows for m in MULTI_WINDOW_METRICS],
-    )
-    cols = [c for c in sf.columns if c not in ("match_id", "side")]
+                          extra_windows: tuple[int, ...] = EXTRA_WINDOWS, wanted: Collection[str] | None = None) -> DataFrame:
+    """Both sides' features in a contest's row, or only those that the columns ``wanted`` are or are made of."""
+    made = {o: (h, a) for o, h, a in DIFFS}
+    stems = None if wanted is None else {x.split("_", 1)[1] for c in wanted for x in made.get(c, [c]) if x.startswith(("home_", "away_"))}
+
+    def kept(metrics, name):
+        return [m for m in metrics if stems is None or name(m) in stems]
+
+    windows = {window: kept(FEATURE_METRICS, SIDE_RENAME.get), **{w: kept(MULTI_WINDOW_METRICS, lambda m, w=w: _multi_name(m, w)) for w in extra_windows}}
+    venue = kept(VENUE_METRICS, VENUE_RENAME.get)
+    sf = _side_frames(matches, windows, venue, window).withColumnRenamed("season_win_rate", "team_season_win_rate")
+    sf = sf.withColumnsRenamed({f"_venue_{m}": VENUE_RENAME[m] for m in venue})
+    other = kept(["rest_days", "season_pts", "team_season_win_rate"], str)
+    cols = [*[SIDE_RENAME[m] for m in windows[window]], *[VENUE_RENAME[m] for m in venue], *other,
+            *[_multi_name(m, w) for w in extra_windows for m in windows[w]]]
     return repivot(sf, cols)
 
 
-def match_level_features(matches: DataFrame) -> DataFrame:
-    """Pair rates, implied odds and calendar columns: one row per contest."""
+def match_level_features(matches: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
+    """Pair rates, implied odds and calendar columns: one row per contest. With ``wanted`` only the books that it names are read."""
     m = normalize_contests(matches)
-    h2h = head_to_head(m.select(*ID_COLS, *[c for b in S.ODDS_BOOKS.values() for c in b]))
+    books = {b: cols for b, cols in S.ODDS_BOOKS.items() if wanted is None or any(c.startswith(f"{b}_prob_") for c in wanted)}
+    h2h = head_to_head(m.select(*ID_COLS, *[c for b in books.values() for c in b]))
     probs = []
-    for book, cols in S.ODDS_BOOKS.items():
+    for book, cols in books.items():
         ph, pd_, pa = implied_probs(*cols)
         probs += [ph.alias(f"{book}_prob_h"), pd_.alias(f"{book}_prob_d"), pa.alias(f"{book}_prob_a")]
     return h2h.select(*ID_COLS, "h2h_home_win_rate", "h2h_draw_rate",
@@ -181,22 +196,25 @@ def match_level_features(matches: DataFrame) -> DataFrame:
 
 
 def build_features(matches: DataFrame, window: int = DEFAULT_WINDOW,
-                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS, materialize: bool = True) -> DataFrame:
+                   extra_windows: tuple[int, ...] = EXTRA_WINDOWS, materialize: bool = True,
+                   columns: Sequence[str] | None = None) -> DataFrame:
     """The full leakage-free feature table: ids + 101 numeric + 6 odds columns.
 
     The input is read by three independent passes (per-side frames, pair
     frames, Elo). With ``materialize`` it is written once to the session's
-    checkpoint folder so its upstream joins and aggregations run once.
+    checkpoint folder so its upstream joins and aggregations run once. With
+    ``columns`` the table has the same rows and only the columns named; what no
+    such column is made of is not carried through ranges and exchanges.
     """
     if materialize:
         matches = stored(matches)
-    side = pivoted_side_features(matches, window, extra_windows)
-    level = match_level_features(matches)
+    side = pivoted_side_features(matches, window, extra_windows, columns)
+    level = match_level_features(matches, columns)
     elo = elo_ratings(matches)
     j = level.join(side, "match_id").join(elo, "match_id")
-    diffs = [(F.col(h) - F.col(a)).alias(o) for o, h, a in DIFFS]
+    diffs = [(F.col(h) - F.col(a)).alias(o) for o, h, a in DIFFS if columns is None or o in columns]
     j = j.select("*", *diffs)
-    return j.select(*ID_COLS, *BASE_NUMERIC_COLS, *ODDS_COLS)
+    return j.select(*ID_COLS, *BASE_NUMERIC_COLS, *ODDS_COLS) if columns is None else j.select(*columns)
 
 
 def feature_columns(use_odds: bool = True, available: list[str] | None = None) -> tuple[list[str], list[str]]:

@@ -17,7 +17,7 @@ from . import oracles as O
 from .operators.enrich import enrich_left
 from .operators.rolling import read_columns, rolling
 from .operators.unpivot import entries, repivot
-from .session import stored
+from .session import stored, stored_result
 from .sources.tables import contest_view, enrichment_view, order_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,30 +78,32 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = _input_key(spark, sf_dir)
     if key not in _CONTESTS:
-        from pyspark import StorageLevel
-        stats = order_stats(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            _CONTESTS[key] = stored(enrich_left(
-                contest_view(spark, sf_dir, stats), enrichment_view(spark, sf_dir, stats),
-                ENRICH_KEYS, tie="src_id"))
-        finally:
-            stats.unpersist()
+        def joined():
+            stats = stored(order_stats(spark, sf_dir))  # its shuffle files go before the next ones come
+            return enrich_left(contest_view(spark, sf_dir, stats), enrichment_view(spark, sf_dir, stats), ENRICH_KEYS, tie="src_id")
+        _CONTESTS[key] = stored_result(spark, joined)
     return _CONTESTS[key]
 
 
 _FEATURES: dict[tuple, DataFrame] = {}
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The feature table as consumers read it: built once per session and stored.
 
     Snapshots, fixture rows and training read the stored table, as the
-    scoring side reads the saved feature table rather than rebuilding it.
+    scoring side reads the saved feature table rather than rebuilding it. All its rows,
+    but only ``columns`` are built and stored for a consumer that names them, unless the whole table is there.
     """
     from .plans.features import build_features
     key = _input_key(spark, sf_dir)
+    if key in _FEATURES and columns is not None:
+        return _FEATURES[key].select(*columns)
+    if columns is not None:
+        key = (*key, *columns)
     if key not in _FEATURES:
-        _FEATURES[key] = stored(build_features(contests(spark, sf_dir), materialize=False))
+        c = contests(spark, sf_dir)
+        _FEATURES[key] = stored_result(spark, lambda: build_features(c, materialize=False, columns=columns))
     return _FEATURES[key]
 
 
@@ -963,10 +965,10 @@ def _asof_oracle() -> str:
 @register("fixture_asof", _asof_oracle())
 def q_fixture_asof(spark, sf):
     """Every contest as a fixture of its own time: the sides' latest rows strictly before it."""
-    from .operators.snapshot import fixture_rows
-    feats = feature_table(spark, sf)
+    from .operators.snapshot import columns_read, fixture_rows
     inputs = ["home_form_points", "away_form_points", "home_elo", "away_elo", "elo_diff", "home_season_pts", "away_season_pts",
               "h2h_home_win_rate", "h2h_draw_rate", "is_weekend", "month"]
+    feats = feature_table(spark, sf, columns_read(inputs))
     out = fixture_rows(feats.select("match_id", "ts", "pool", "home", "away"), feats, as_of=True, columns=inputs)
     return round_doubles(out.select("match_id", *inputs))
 

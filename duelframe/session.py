@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator in the package assumes. AQE re-plans joins at
 # runtime (broadcast only when the measured side is small, skew-join split),
@@ -84,20 +86,54 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+# Spark's switch to delete a query's shuffle files when the query ends; they stay else until the driver's garbage is collected
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_ON_THE_WAY = threading.local()  # folders stored for results that are being made, a list for each
+
+
 def stored(df):
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 
     Cuts the lineage, survives lost executors, and later scans still prune
-    columns and push filters down. ``clean_stored`` removes a session's tables.
+    columns and push filters down. The shuffle files of the write go when it ends, as nothing
+    reads them again. ``clean_stored`` removes a session's tables.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
+    for paths in getattr(_ON_THE_WAY, "lists", [])[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_result(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``stored(make())``; the tables that ``make`` stores on its way are deleted when the result is written.
+
+    Nothing else may read those tables: what outlives the result is made before the call.
+    """
+    lists = _ON_THE_WAY.lists = getattr(_ON_THE_WAY, "lists", [])
+    lists.append([])
+    try:
+        df = make()
+    finally:
+        paths = lists.pop()
+    out = stored(df)
+    _delete(spark, paths)
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_stored(spark: SparkSession) -> None:
     """Delete every table this session has stored; frames that read them become unusable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, [f"{shared_folder(spark)}/duelframe/{spark.sparkContext.applicationId}"])
